@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import markup  # noqa: F401
+    from . import listings, loads, markup  # noqa: F401

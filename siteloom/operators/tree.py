@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,28 +11,28 @@ from ..functions import urls
 from .joins import skew_join
 
 
-def type_closure(type_edges: DataFrame, max_depth: int = 100) -> DataFrame:
-    """(type, ancestor) over ``type_edges(name, supertype)``, each type being its own ancestor.
+def type_closure(type_edges: DataFrame, max_depth: int = 64) -> DataFrame:
+    """(type, ancestor, depth) over ``type_edges(name, supertype)``, each type being its own ancestor.
 
-    Duplicates are dropped at every level, so multiple inheritance and cycles stay small.
+    Declarations are schema, not data: a recursive query over their distinct edges. A path never
+    visits a type twice, so cycles end.
     """
-    view = f"siteloom_type_edges_{id(type_edges)}"
-    type_edges.select("name", "supertype").where("supertype IS NOT NULL").distinct().createOrReplaceTempView(view)
     spark = type_edges.sparkSession
-    names = type_edges.select(F.col("name").alias("type")).union(
-        type_edges.where("supertype IS NOT NULL").select("supertype")
-    ).distinct()
+    view = f"siteloom_type_edges_{uuid.uuid4().hex}"
+    edges = type_edges.select("name", "supertype").where("supertype IS NOT NULL").distinct()
+    edges.createOrReplaceTempView(view)
+    names = type_edges.select(F.explode(F.array("name", "supertype")).alias("t")).where("t IS NOT NULL").distinct()
     names.createOrReplaceTempView(f"{view}_names")
     return spark.sql(
         f"""
-        WITH RECURSIVE up MAX RECURSION LEVEL {max_depth} (type, ancestor, depth) AS (
-            SELECT type, type, 0 FROM {view}_names
+        WITH RECURSIVE up(t, ancestor, depth, trail) MAX RECURSION LEVEL {max_depth} AS (
+            SELECT t, t, 0, array(t) FROM {view}_names
             UNION ALL
-            SELECT up.type, e.supertype, up.depth + 1
+            SELECT up.t, e.supertype, up.depth + 1, array_append(up.trail, e.supertype)
             FROM up JOIN {view} e ON e.name = up.ancestor
-            WHERE up.depth < {max_depth - 1}
+            WHERE NOT array_contains(up.trail, e.supertype)
         )
-        SELECT type, ancestor, min(depth) AS depth FROM up GROUP BY type, ancestor
+        SELECT t AS type, ancestor, min(depth) AS depth FROM up GROUP BY t, ancestor
         """
     )
 
