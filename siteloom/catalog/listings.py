@@ -8,6 +8,7 @@ from ..operators import listing as ls
 from ..operators import tree
 from ..operators.coverage import with_category_name
 from ..operators.joins import skew_join
+from ..session import cut_lineage
 from . import query
 from .tables import customer_nodes, order_nodes, places, table
 
@@ -169,6 +170,7 @@ def nav_tree(spark, sf):
         "name string, supertype string",
     )
     items = tree.nav_items(regions.unionByName(nations).unionByName(leaves), tree.type_closure(edges))
+    items = cut_lineage(items, "nav-items")  # read once per level
     flat = tree.nav_tree(items, "/home")
     here = F.coalesce(F.col("title_2") == "NATION_3", F.lit(False)) & F.col("title_3").isNull()
     return flat.select("title_1", "title_2", "title_3", "level", here.alias("active"))
@@ -243,7 +245,7 @@ def item_links(spark, sf):
     kind = F.expr("CASE l_linenumber % 4 WHEN 0 THEN 'page' WHEN 1 THEN 'nodeLink' WHEN 2 THEN 'externalLink' ELSE 'text' END")
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", kind.alias("kind"))
     targets = table(spark, sf, "part").where("p_size > 10").withColumn("_url", F.concat(F.lit("/p/"), key("p_partkey")))
-    found = tree.resolve_refs(items, "l_partkey", targets, "p_partkey", {"_url": "target_url", "p_name": "target_title"})
+    found = tree.resolve_refs(items, "l_partkey", targets, "p_partkey", {"_url": "target_url", "p_name": "target_title"}, skew=True)
     return found.select(
         "l_orderkey", "l_linenumber", "kind",
         tree.item_link(

@@ -166,14 +166,14 @@ def slug_lookup(spark, sf):
 @query(
     "q26_prefix_classify",
     f"""WITH {_NODES}, pre AS (SELECT upper(nation_path) AS p, n_name AS folder, n_nationkey * 3 AS ord FROM places WHERE n_nationkey % 2 = 0
-          UNION ALL SELECT DISTINCT region_path, r_name, r_regionkey * 11 FROM places),
+          UNION ALL SELECT DISTINCT region_path, r_name, r_regionkey * 12 + 1 FROM places),
         all_paths AS (SELECT path FROM cust UNION ALL SELECT nation_path FROM places)
         SELECT path, arg_min(folder, ord) AS folder FROM all_paths LEFT JOIN pre ON starts_with(lower(path), lower(p) || '/') GROUP BY path""",
 )
 def prefix_classify(spark, sf):
     p = places(spark, sf)
     prefixes = p.where("n_nationkey % 2 = 0").select(F.upper("nation_path").alias("prefix"), F.col("n_name").alias("folder"), (F.col("n_nationkey") * 3).alias("ord")).unionByName(
-        p.select(F.col("region_path").alias("prefix"), F.col("r_name").alias("folder"), (F.col("r_regionkey") * 11).alias("ord")).distinct()
+        p.select(F.col("region_path").alias("prefix"), F.col("r_name").alias("folder"), (F.col("r_regionkey") * 12 + 1).alias("ord")).distinct()
     )
     paths = customer_nodes(spark, sf).select("path").unionByName(p.select(F.col("nation_path").alias("path")))
     return joins.prefix_classify(paths, "path", prefixes, "prefix", "folder", "ord").select("path", "folder")

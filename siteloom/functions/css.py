@@ -6,13 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _byte(x: Column) -> Column:
-    """Half-even rounding, clamped to one byte."""
-    return F.greatest(F.lit(0), F.least(F.lit(255), F.bround(x).cast("int")))
-
-
-def _hex2(x: Column) -> Column:
-    return F.lower(F.lpad(F.hex(x), 2, "0"))
+def _hex_byte(x: Column) -> Column:
+    """Two hex digits after half-even rounding and clamping to one byte."""
+    byte = F.greatest(F.lit(0), F.least(F.lit(255), F.bround(x).cast("int")))
+    return F.lower(F.lpad(F.hex(byte), 2, "0"))
 
 
 def _hex_canon(tok: Column) -> Column:
@@ -22,22 +19,17 @@ def _hex_canon(tok: Column) -> Column:
 
 
 def _rgb_canon(tok: Column) -> Column:
+    """Channels count to 255, opacity to 1; either may be a percentage. Missing opacity is opaque."""
     nums = F.regexp_extract_all(tok, F.lit(r"(-?[\d.]+%?)"), F.lit(1))
 
-    def number(i: int) -> Column:
-        return F.regexp_replace(F.try_element_at(nums, F.lit(i)), "%$", "").try_cast("double")
-
-    def is_pct(i: int) -> Column:
-        return F.try_element_at(nums, F.lit(i)).endswith("%")
+    def digits(part: Column, at: Column) -> Column:
+        value = F.regexp_replace(part, "%$", "").try_cast("double")
+        is_pct = part.endswith("%")
+        as_opacity = F.when(is_pct, value / 100).otherwise(value) * 255
+        return _hex_byte(F.when(at == 3, as_opacity).when(is_pct, value * 255 / 100).otherwise(value))
 
-    def channel(i: int) -> Column:
-        return _hex2(_byte(F.when(is_pct(i), number(i) * 255 / 100).otherwise(number(i))))
-
-    opacity = F.when(F.size(nums) < 4, 1.0).when(is_pct(4), number(4) / 100).otherwise(number(4))
-    return F.when(
-        F.size(nums) >= 3,
-        F.concat(F.lit("#"), channel(1), channel(2), channel(3), _hex2(_byte(opacity * 255))),
-    )
+    shown = F.array_join(F.transform(F.slice(nums, 1, 4), digits), "")
+    return F.when(F.length(shown) >= 6, F.rpad(F.concat(F.lit("#"), shown), 9, "f"))
 
 
 def canon(tok: Column) -> Column:

@@ -100,7 +100,7 @@ def heading_set_missing(ref_headings: Column, local_headings: Column) -> Column:
 def same_order(ref_headings: Column, local_headings: Column) -> Column:
     """Common headings appear in the same order; two or fewer common ones cannot differ."""
     common = F.filter(ref_headings, lambda h: F.array_contains(local_headings, h))
-    mine = F.array_distinct(F.filter(local_headings, lambda h: F.array_contains(common, h)))
+    mine = F.array_distinct(F.filter(local_headings, lambda h: F.array_contains(ref_headings, h)))
     return (F.size(common) <= 2) | (common == mine)
 
 
@@ -109,37 +109,48 @@ def section_gate(reference: DataFrame, local: DataFrame, key: str = "page") -> D
 
     Both sides: ``(key, headings array, max_cards, facet_options array, imgs)``.
     """
-    r, l = reference.alias("r"), local.alias("l")
-    j = r.join(l, F.col(f"r.{key}") == F.col(f"l.{key}"))
+    # normalised below the join, so that each page's arrays are normalised once
 
     def lowered(c: str) -> Column:
-        return F.transform(F.col(c), text.norm)
+        return F.transform(F.col(c), lambda x: text.norm(x))
 
-    # counts keep repeats, as the page shows them
-    ref_h, loc_h = F.col("r.headings"), lowered("l.headings")
-    missing = F.size(F.filter(ref_h, lambda h: (F.length(h) > 3) & ~F.array_contains(loc_h, text.norm(h))))
-    ref_f, loc_f = F.col("r.facet_options"), lowered("l.facet_options")
-    miss_f = F.size(F.filter(ref_f, lambda o: (F.length(o) > 1) & ~F.array_contains(loc_f, text.norm(o))))
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.select(
+            key, lowered("headings").alias(f"{p}h"), lowered("facet_options").alias(f"{p}f"),
+            F.transform("headings", lambda x: F.length(x)).alias(f"{p}n"),
+            F.transform("facet_options", lambda x: F.length(x)).alias(f"{p}m"),
+            F.col("max_cards").alias(f"{p}cards"), F.col("imgs").alias(f"{p}imgs"),
+        )
+
+    j = side(reference, "r").join(side(local, "l"), key)
+    ref_h, loc_h, ref_f, loc_f = F.col("rh"), F.col("lh"), F.col("rf"), F.col("lf")
+
+    def absent(mine: Column, lengths: Column, theirs: Column, over: int) -> Column:
+        """How many entries longer than ``over`` the other side lacks, repeats counted."""
+        return F.size(F.filter(F.arrays_zip(mine.alias("v"), lengths.alias("n")), lambda x: (x["n"] > over) & ~F.array_contains(theirs, x["v"])))
+
+    missing = absent(ref_h, F.col("rn"), loc_h, 3)
+    miss_f = absent(ref_f, F.col("rm"), loc_f, 1)
     fails = [
         ((F.size(ref_h) > 0) & (missing > F.size(ref_h) * 0.15), F.format_string("missing %d/%d sections", missing, F.size(ref_h))),
         (
-            (F.col("r.max_cards") >= 3) & (F.col("l.max_cards") < F.col("r.max_cards") * 0.5),
-            F.format_string("listing shortfall %d vs %d", F.col("l.max_cards"), F.col("r.max_cards")),
+            (F.col("rcards") >= 3) & (F.col("lcards") < F.col("rcards") * 0.5),
+            F.format_string("listing shortfall %d vs %d", F.col("lcards"), F.col("rcards")),
         ),
     ]
     warns = [
         ((F.size(ref_f) > 0) & (miss_f > F.size(ref_f) * 0.2), F.format_string("missing %d facet values", miss_f)),
         (
-            (F.col("r.imgs") >= 4) & (F.col("l.imgs") < F.col("r.imgs") * 0.6),
-            F.format_string("image shortfall %d vs %d", F.col("l.imgs"), F.col("r.imgs")),
+            (F.col("rimgs") >= 4) & (F.col("limgs") < F.col("rimgs") * 0.6),
+            F.format_string("image shortfall %d vs %d", F.col("limgs"), F.col("rimgs")),
         ),
-        (~same_order(lowered("r.headings"), loc_h), F.lit("section order differs")),
+        (~same_order(ref_h, loc_h), F.lit("section order differs")),
     ]
 
     def pack(checks) -> Column:
         return F.filter(F.array(*[F.when(c, m) for c, m in checks]), lambda x: x.isNotNull())
 
-    return j.select(F.col(f"r.{key}").alias(key), pack(fails).alias("fails"), pack(warns).alias("warns"))
+    return j.select(key, pack(fails).alias("fails"), pack(warns).alias("warns"))
 
 
 def score_card(scored: DataFrame, status: str = "status") -> DataFrame:

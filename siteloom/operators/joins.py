@@ -28,25 +28,28 @@ def hot_keys(df: DataFrame, on: list[str], share: float = 0.01) -> DataFrame:
 
 
 def skew_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = 32, share: float = 0.01
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", hot: DataFrame | None = None, salts: int = 32
 ) -> DataFrame:
-    """Equi-join where ``left`` may have hot keys and ``right`` is unique on them.
+    """Equi-join of a ``left`` that may have hot keys with a ``right`` that is unique on them.
 
-    Rows of a hot key are spread over ``salts`` sub-keys and only the matching right rows are
-    repeated; everything else joins as usual. Spark still broadcasts the right side by itself when
-    its measured size allows.
+    Without ``hot`` the plan is a plain join: Spark broadcasts the right side when its measured
+    size allows, and splits an oversized partition of the left side at run time otherwise. Where
+    heavy keys are certain, pass ``hot`` (see ``hot_keys``): their rows are spread over ``salts``
+    sub-keys, and only the matching right rows are repeated.
     """
-    hot = F.broadcast(hot_keys(left, on, share))  # at most 1/share rows
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    if hot is None:
+        return left.join(right, on, how)
+    hot = F.broadcast(hot)  # at most 1/share rows
+    # a hash of the row, not a random number: a re-run task must send a row to the same place
+    plain = [c for c, t in left.dtypes if not t.startswith(("map", "array", "struct", "variant"))]
+    spread = F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int")
     salted = (
         left.withColumn("_h", F.xxhash64(*on))
         .join(hot, F.col("_h") == F.col("_hot"), "left")
         .withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(spread))
         .drop("_h", "_hot")
     )
-    copies = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(
-        F.sequence(F.lit(0), F.lit(salts - 1))
-    )
+    copies = F.when(F.col("_hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
     repeated = (
         right.withColumn("_h", F.xxhash64(*on))
         .join(hot, F.col("_h") == F.col("_hot"), "left")
@@ -69,14 +72,15 @@ def tiered_lookup(
 
     Each tier lists extra columns that must agree besides ``key``; the last tier is usually empty
     ("any page"). Candidates are reduced to one per tier key before joining, so no pairs of a busy
-    key are ever formed.
+    key are ever formed. With ``skew`` the heavy keys of ``left`` are found by one scan of its key
+    columns per tier: pass a stored table, or switch it off.
     """
     out = left
     for i, extra in enumerate(tiers, start=1):
         on = [*key, *extra]
         best = pick(right.where(F.col(key[0]).isNotNull()), on, order, values)
         best = best.select(*on, F.struct(*values).alias(f"_tier{i}"))
-        out = skew_join(out, best, on) if skew else out.join(best, on, "left")
+        out = skew_join(out, best, on, hot=hot_keys(left, on) if skew else None)
     found = F.coalesce(*[F.col(f"_tier{i}") for i in range(1, len(tiers) + 1)])
     tier = F.coalesce(
         *[F.when(F.col(f"_tier{i}").isNotNull(), F.lit(i)) for i in range(1, len(tiers) + 1)]
@@ -92,8 +96,7 @@ def prefix_classify(
     """Label each path with the first prefix (by ``order``) it lies under; the prefix itself is excluded.
 
     The theta join 'path starts with prefix/' becomes an equi-join on the proper ancestors of the
-    path. The ladder of ancestors is carried as one row per level and folded back by path, so a
-    table of distinct paths is classified once and joined back to the rows.
+    path, one row per level, folded back by path. Each distinct path is classified once.
     """
     lower = F.regexp_replace(F.lower(F.col(path)), r"^/+|/+$", "")
     table = prefixes.select(
@@ -103,10 +106,9 @@ def prefix_classify(
     )
     table = pick(table, ["_prefix"], ["_ord"], ["_ord", "_label"])
     distinct = paths.select(F.col(path).alias("_path"), lower.alias("_low")).distinct()
-    ancestors = distinct.select(
-        "_path",
-        F.explode(F.slice(urls.path_prefixes(F.col("_low")), F.lit(1), F.greatest(F.size(urls.path_prefixes(F.col("_low"))) - 1, F.lit(0)))).alias("_anc"),
-    ).withColumn("_anc", F.substr("_anc", F.lit(2)))
+    steps = distinct.select("_path", urls.path_prefixes(F.col("_low")).alias("_up"))
+    proper = F.slice("_up", F.lit(1), F.greatest(F.size("_up") - 1, F.lit(0)))
+    ancestors = steps.select("_path", F.explode(proper).alias("_anc")).withColumn("_anc", F.substr("_anc", F.lit(2)))
     hits = skew_join(ancestors, table.withColumnRenamed("_prefix", "_anc"), ["_anc"], "inner")
     first = hits.groupBy("_path").agg(F.min_by("_label", "_ord").alias(label))
     return skew_join(paths, first.withColumnRenamed("_path", path), [path])

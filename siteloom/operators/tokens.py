@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import css, rules, text
+from ..session import cut_lineage
 from .ranking import number_rows, top_n
 
 
@@ -17,12 +18,18 @@ def css_blocks(sheets: DataFrame, keep: tuple[str, ...] = ("file",), column: str
     return sheets.select(*keep, F.posexplode(found).alias("block_seq", "body"))
 
 
+def _raw_colors(sheets: DataFrame, keep: tuple[str, ...], pattern: str) -> DataFrame:
+    found = F.regexp_extract_all("body", F.lit(f"({pattern})"), F.lit(1))
+    return css_blocks(sheets, keep).select(*keep, "block_seq", F.posexplode(found).alias("tok_seq", "raw"))
+
+
 def color_literals(sheets: DataFrame, keep: tuple[str, ...] = ("file",), pattern: str = rules.COLOR) -> DataFrame:
     """(keep, block_seq, tok_seq, raw, canon) of every visible colour literal."""
-    found = F.regexp_extract_all("body", F.lit(f"({pattern})"), F.lit(1))
-    rows = css_blocks(sheets, keep).select(*keep, "block_seq", F.posexplode(found).alias("tok_seq", "raw"))
-    rows = rows.withColumn("canon", css.canon(F.col("raw")))
-    return rows.where(F.col("canon").isNotNull() & (css.alpha(F.col("canon")) > 0))
+    return _visible(_raw_colors(sheets, keep, pattern).withColumn("canon", css.canon(F.col("raw"))))
+
+
+def _visible(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("canon").isNotNull() & ~F.col("canon").endswith("00"))
 
 
 def font_literals(sheets: DataFrame, keep: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -44,10 +51,13 @@ def color_tokens(sheets: DataFrame, order: tuple[str, ...] = ("file",), pattern:
 
     First light neutral is the background, first dark neutral the text, the three most used
     saturated ones primary, secondary and accent. The distinct colours are counted map-side; the
-    at most five semantic ones are picked by a top-n, the rest numbered by a range sort.
+    at most five semantic ones are picked by a top-n, the rest numbered by a range sort. Spellings
+    are counted before they are interpreted.
     """
-    lits = color_literals(sheets, order, pattern)
-    freq = frequencies(lits, "canon", [*order, "block_seq", "tok_seq"])
+    raw = frequencies(_raw_colors(sheets, order, pattern), "raw", [*order, "block_seq", "tok_seq"])
+    named = _visible(raw.withColumn("canon", css.canon(F.col("raw"))))
+    counts = named.groupBy("canon").agg(F.sum("uses").alias("uses"), F.min("first").alias("first"))
+    freq = cut_lineage(counts, "colors")  # one row per distinct colour, read by the steps below
     lum, sat = css.luminance(F.col("canon")), css.saturation(F.col("canon"))
     neutral = sat < rules.NEUTRAL_BELOW_SATURATION
     freq = freq.withColumn(
@@ -99,21 +109,21 @@ def rewrite_tokens(
 ) -> DataFrame:
     """(keep, css): every known literal inside a declaration block becomes ``var(--token)``.
 
-    Each sheet is cut into pieces (text between literals, literal), the distinct literals are
-    joined to their tokens, and the pieces are put back in order, so the token table may be of any
-    size and selectors are never touched. Idempotent: a ``var()`` is not a literal.
+    Each sheet is cut into pieces (text between literals, literal), the literals are joined to
+    their tokens, and the pieces are put back in order, so the token table may be of any size and
+    selectors are never touched. The cut marks are U+0001, which a style sheet cannot contain.
+    Idempotent: a ``var()`` is not a literal.
     """
     block = r"(?s)(\{[^{}]*\}|[^{]+|\{)"
     parts = F.regexp_extract_all("css", F.lit(block), F.lit(1))
     blocks = sheets.select(*keep, F.posexplode(parts).alias("_b", "_part"))
     inside = F.col("_part").startswith("{") & F.col("_part").endswith("}")
-    piece = rf"(?is)((?:font-family\s*:\s*[^;}}]+)|{pattern.replace('(?i)', '')}|(?:(?!font-family\s*:|{pattern.replace('(?i)', '')}).)+)"
+    literal = rf"(?i)(font-family\s*:\s*[^;}}]+|{pattern.replace('(?i)', '')})"
+    cut = F.split(F.regexp_replace("_part", literal, "\u0001$1\u0001"), "\u0001")
     pieces = blocks.select(
         *keep,
         "_b",
-        F.posexplode(
-            F.when(inside, F.regexp_extract_all("_part", F.lit(piece), F.lit(1))).otherwise(F.array("_part"))
-        ).alias("_p", "_text"),
+        F.posexplode(F.when(inside, cut).otherwise(F.array("_part"))).alias("_p", "_text"),
         inside.alias("_in"),
     )
     is_font = F.col("_in") & F.col("_text").rlike(r"(?i)^font-family\s*:")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from .joins import skew_join
+from .joins import hot_keys, skew_join
 
 
 def type_closure(type_edges: DataFrame, max_depth: int = 64) -> DataFrame:
@@ -54,11 +54,14 @@ def children(nodes: DataFrame, parent: str, wanted: Column | None = None) -> Dat
 
 
 def resolve_refs(
-    rows: DataFrame, ref: str, targets: DataFrame, uuid: str, keep: dict[str, str], skew: bool = True
+    rows: DataFrame, ref: str, targets: DataFrame, uuid: str, keep: dict[str, str], skew: bool = False
 ) -> DataFrame:
-    """Left-join reference targets; ``keep`` maps target columns to output names, null when unresolved."""
+    """Left-join reference targets; ``keep`` maps target columns to output names, null when unresolved.
+
+    ``skew`` salts the most referenced targets, at the price of one more scan of the ``ref`` column.
+    """
     dim = targets.select(F.col(uuid).alias(ref), *[F.col(a).alias(b) for a, b in keep.items()])
-    return skew_join(rows, dim, [ref]) if skew else rows.join(dim, ref, "left")
+    return skew_join(rows, dim, [ref], hot=hot_keys(rows, [ref]) if skew else None)
 
 
 def breadcrumbs(
@@ -83,7 +86,8 @@ def breadcrumbs(
     home_depth = len([p for p in home.split("/") if p])
     trail = below.select(F.col(path), F.posexplode(urls.path_prefixes(F.col(path))).alias("_i", "crumb_path"))
     trail = trail.where(F.col("_i") >= home_depth).withColumn("depth", F.col("_i") - home_depth + 1).drop("_i")
-    return skew_join(trail, dim, ["crumb_path"], "inner").select(path, "depth", "crumb_path", "crumb_title")
+    hot = hot_keys(trail, ["crumb_path"])
+    return skew_join(trail, dim, ["crumb_path"], "inner", hot).select(path, "depth", "crumb_path", "crumb_title")
 
 
 def is_active(path: Column, current: Column) -> Column:
@@ -103,7 +107,7 @@ def nav_items(nodes: DataFrame, closure: DataFrame, item: str = "navMenuItem", m
 def nav_tree(items: DataFrame, home: str, depth: int = 3) -> DataFrame:
     """Flattened menu: (level, path_1.., title_1.., ord_1..) from ``home`` down ``depth`` levels.
 
-    One row per leaf of the cut tree; parents without children stay as rows with null lower levels.
+    Reads ``items`` once per level: pass a stored table. One row per leaf of the cut tree; parents without children stay as rows with null lower levels.
     """
     level = items.select("parent_path", "path", "title", "ord")
     out = level.where(F.col("parent_path") == home).select(

@@ -79,7 +79,7 @@ def dangling_refs(refs: DataFrame, targets: DataFrame, ref: str = "target_uuid",
     """References whose target does not exist.
 
     Missing targets are found on the distinct references, so the busy targets shuffle as single
-    rows; only references to a missing target then meet the missing set, busy ones spread out.
+    rows; only references to a missing target then meet the missing set.
     """
     wanted = refs.select(F.col(ref)).distinct()
     missing = wanted.join(targets.select(F.col(uuid).alias(ref)).distinct(), ref, "left_anti")

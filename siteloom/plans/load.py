@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules, urls
 from ..operators.joins import skew_join, slug_lookup, tiered_lookup
 from ..operators.ranking import pick
+from ..session import cut_lineage
 
 
 def type_map(manifest: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def type_map(manifest: DataFrame) -> DataFrame:
     ``manifest(ord, nodeType, areaType, isContainer, sources array)``.
     """
     flat = manifest.select(
-        F.lower(F.explode("sources")).alias("source"), "ord",
+        F.explode(F.transform("sources", lambda x: F.lower(x))).alias("source"), "ord",
         F.col("nodeType").alias("node_type"), F.col("areaType").alias("area_type"),
         F.coalesce("isContainer", F.lit(False)).alias("is_container"),
     )
@@ -56,16 +57,18 @@ def load_plan(
 
     ``properties(node_type, text array, weakref array, names array)`` lists property names in
     declared order, mandatory first. ``media(page, seq, file, target_path)``. Values meet
-    properties by position inside the row; no shuffle is needed for that.
+    properties by position inside the row; no shuffle is needed for that. Three intermediate tables
+    are written, because each is read more than once.
     """
     typed = instances.withColumn("source", F.lower("type")).join(type_map(manifest), "source").drop("source")
     typed = typed.where(F.coalesce(F.col("area_type"), F.lit("")) != "absolute").join(properties, "node_type")
+    typed = cut_lineage(typed, "typed-instances")
 
     pics = typed.select(page, "idx", F.posexplode("images").alias("_n", "_im")).select(
         page, "idx", "_n", F.col("_im.file").alias("file"), F.col("_im.alt").alias("alt")
     )
     known = media.where(F.col("target_path").isNotNull())
-    found = tiered_lookup(pics, known, ["file"], [[page], []], [page, "seq"], ["target_path"])
+    found = tiered_lookup(cut_lineage(pics, "pictures"), known, ["file"], [[page], []], [page, "seq"], ["target_path"])
     wired = found.where(F.col("target_path").isNotNull()).groupBy(page, "idx").agg(
         F.array_sort(F.collect_list(F.struct("_n", "target_path", "alt"))).alias("_pics")
     )
@@ -100,15 +103,20 @@ def load_plan(
         optional("linkType", link.isNotNull() & has("linkType") & link["href"].startswith("http"), F.lit("external")),
     ]
     # a text value replaces an earlier entry of the same name
+    def overlay(base: Column, top: Column) -> Column:
+        return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(top, k)), top)
+
     merged = image_props
     for extra in (extras[0], text_props, extras[1], extras[2]):
-        merged = F.map_concat(F.map_filter(merged, lambda k, v, e=extra: ~F.map_contains_key(e, k)), extra)
+        merged = overlay(merged, extra)
     planned = rows.withColumn("props", merged).where((F.size("props") > 0) | F.col("is_container"))
+    planned = planned.select(page, "idx", "parent", "node_type", "props")
 
     located = slug_lookup(planned, page, sitemap, home).withColumn("main_area", F.concat("target_path", F.lit("/main")))
     named = located.withColumn(
         "name", F.concat_ws("-", short_name(F.col("node_type")), F.col(page), F.col("idx").cast("string"))
     )
+    named = cut_lineage(named, "named")
     created = named.select(page, F.col("idx").alias("parent"), F.lit(True).alias("_nested"))
     chained = named.join(created, [page, "parent"], "left").withColumn("_up", F.when(F.col("_nested"), F.col("parent")))
     return nested_paths(chained, page).select(
