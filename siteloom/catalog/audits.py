@@ -15,7 +15,7 @@ from ..sources import lists, manifests
 from . import query
 from .listings import _NODES
 from .markup import _clean, _hnorm
-from .tables import customer_nodes, places, table
+from .tables import customer_nodes, places, table, texts
 
 
 def _s(c):
@@ -100,9 +100,10 @@ def heading_match(spark, sf):
 
 
 def _heading_scores(spark, sf):
-    d = table(spark, sf, "documents")
-    ref = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", text.heading_norm(F.col("line")).alias("heading"))
-    ref = ref.where(F.length("heading").between(3, 80))
+    d = texts(spark, sf)
+    lines = F.transform(F.split("text", "\n"), lambda x: text.heading_norm(x))
+    kept = F.filter(lines, lambda h: F.length(h).between(3, 80))
+    ref = d.select("doc_id", F.explode(F.array_distinct(kept)).alias("heading"))
     half = F.expr("left(text, CAST(n_chars div 2 AS INT))")
     local = d.select("doc_id", text.heading_norm(half).alias("text"))
     return audit.heading_match(ref, local, "doc_id")
@@ -133,7 +134,7 @@ def score_card(spark, sf):
           (doc_id % 7 = 0)::INT + (doc_id % 8 >= 4 AND doc_id % 3 < doc_id % 8 * 0.6)::INT AS warns FROM m""",
 )
 def section_gate(spark, sf):
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf)
     k = F.col("doc_id")
 
     def lines(c):

@@ -12,7 +12,7 @@ from ..plans.article import article_core
 from ..session import cut_lineage
 from ..sources.lists import crawl_errors, throttled
 from . import query
-from .tables import PART_CARDS, PART_IMAGES, pages, part_pages, table
+from .tables import PART_CARDS, PART_IMAGES, pages, part_pages, table, texts
 
 HOST = r"regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)"
 ORIGIN = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1)"
@@ -67,7 +67,7 @@ def page_slug_host(spark, sf):
         FROM l GROUP BY host, target""",
 )
 def link_inventory(spark, sf):
-    links = blocks.links(table(spark, sf, "pages"))
+    links = blocks.links(pages(spark, sf))
     target = urls.resolve(F.col("url"), F.col("href"))
     rows = links.select("page_id", urls.host(F.col("url")).alias("host"), target.alias("target"), urls.is_external(F.col("href")).alias("_x"))
     return rows.groupBy("host", "target").agg(
@@ -96,7 +96,7 @@ def headings_norm(spark, sf):
         FROM d""",
 )
 def fingerprint_pages(spark, sf):
-    fp = fingerprint.fingerprint(table(spark, sf, "pages"), region="article")
+    fp = fingerprint.fingerprint(pages(spark, sf), region="article")
     return fp.select("page_id", "text_len", "imgs", "blocks")
 
 
@@ -443,7 +443,7 @@ def file_names(spark, sf):
 )
 def text_functions(spark, sf):
     body = F.col("text")
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf).select(
         "doc_id", F.length(text.clean(body)).alias("clean_len"), F.md5(text.norm(body)).alias("norm_md5"),
         text.truncate(body, 255).alias("title_255"), text.heading_norm(F.left(body, F.lit(120))).alias("heading"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import css
 from ..operators import tokens
 from ..session import cut_lineage
+from ..sources.pages import spread
 from . import query
 from .tables import table
 
@@ -17,7 +18,7 @@ _FONT = "CASE p_partkey % 4 WHEN 0 THEN 'Arial, sans-serif' WHEN 1 THEN 'Georgia
 
 
 def _sheets(spark, sf):
-    part = table(spark, sf, "part")
+    part = spread(table(spark, sf, "part"), "p_partkey")
     s = lambda e: F.expr(f"CAST({e} AS STRING)")
     grey = F.lower(F.hex(F.expr(_GREY)))
     text = F.concat(

@@ -81,12 +81,14 @@ def visible_text(c: Column, exact: bool = False) -> Column:
 
 
 def heading_norm(c: Column) -> Column:
-    """Accent-free, lower-case letters and digits separated by single blanks."""
+    """Accent-free, lower-case letters and digits separated by single blanks (Latin blocks)."""
     c = F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{M}+", "")
+    expanded = c
     for char, base in _EXPAND:
-        c = F.replace(c, F.lit(char), F.lit(base))
+        expanded = F.replace(expanded, F.lit(char), F.lit(base))
+    c = F.when(c.rlike("[" + "".join(a for a, _ in _EXPAND) + "]"), expanded).otherwise(c)
     c = F.replace(F.replace(F.lower(c), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[^a-z0-9 ]", " "), " +", " "))
+    return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
 
 def region(c: Column, tag: str = "main", fallback: str | None = None) -> Column:
@@ -102,6 +104,14 @@ def region(c: Column, tag: str = "main", fallback: str | None = None) -> Column:
     ).otherwise(c)
 
 
+@F.pandas_udf(StringType())
+def heading_norm_exact(s: pd.Series) -> pd.Series:
+    """As ``heading_norm`` for every script, not only the Latin blocks; Arrow batches."""
+    flat = s.str.normalize("NFKD").str.replace(r"[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]", "", regex=True)
+    flat = flat.str.lower().str.replace("œ", "oe").str.replace("æ", "ae")
+    return flat.str.replace("[^a-z0-9]+", " ", regex=True).str.strip()
+
+
 def truncate(c: Column, n: int) -> Column:
     return F.left(c, F.lit(n))
 

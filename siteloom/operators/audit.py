@@ -78,11 +78,11 @@ def heading_match(
 ) -> DataFrame:
     """(key, headings, matched, pct, status) per reference page.
 
-    ``reference(key, heading)`` holds normalised headings; ``local(key, text)`` the normalised page
-    text. Equi-join on the page, containment as the residual test. Fewer than three reference
+    ``reference(key, heading)`` holds distinct normalised headings; ``local(key, text)`` the
+    normalised page text. Equi-join on the page, containment as the residual test. Fewer than three reference
     headings cannot be scored.
     """
-    pairs = reference.select(key, "heading").distinct().join(local.select(key, "text"), key, "left")
+    pairs = reference.select(key, "heading").join(local.select(key, "text"), key, "left")
     hit = F.coalesce(F.contains("text", "heading"), F.lit(False))
     counted = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("headings"), F.count_if(hit).alias("matched"))
     pct = F.bround(F.col("matched") * 100 / F.col("headings")).cast("int")

@@ -81,9 +81,9 @@ def best_variant(hits: DataFrame, keys: list[str], width: str, order: list[str])
 
 def media_refs(dom: DataFrame, key: str = "page_id", base: str = "url") -> DataFrame:
     """(key, seq, src, file, role, alt, kind, width) per page and file, largest variant kept."""
-    hits = media_hits(dom, (key, base))
-    src = urls.resolve(F.col(base), F.col("src"))
-    rows = hits.withColumn("src", src).where(F.col("src").rlike(rules.IMAGE_EXT))
+    # resolving keeps the end of a reference, so the extension test can run on the short form first
+    hits = media_hits(dom, (key, base)).where(F.col("src").rlike(rules.IMAGE_EXT))
+    rows = hits.withColumn("src", urls.resolve(F.col(base), F.col("src")))
     rows = rows.select(
         key,
         urls.filename_for(F.col("src")).alias("file"),

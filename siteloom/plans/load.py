@@ -102,21 +102,24 @@ def load_plan(
         ),
         optional("linkType", link.isNotNull() & has("linkType") & link["href"].startswith("http"), F.lit("external")),
     ]
+    staged = rows.select(
+        page, "idx", "parent", "node_type", "is_container",
+        image_props.alias("_p0"), extras[0].alias("_p1"), text_props.alias("_p2"), extras[1].alias("_p3"), extras[2].alias("_p4"),
+    )
+
     # a text value replaces an earlier entry of the same name
     def overlay(base: Column, top: Column) -> Column:
         return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(top, k)), top)
 
-    merged = image_props
-    for extra in (extras[0], text_props, extras[1], extras[2]):
-        merged = overlay(merged, extra)
-    planned = rows.withColumn("props", merged).where((F.size("props") > 0) | F.col("is_container"))
-    planned = planned.select(page, "idx", "parent", "node_type", "props")
+    merged = F.map_concat(overlay(overlay(F.col("_p0"), F.col("_p1")), F.col("_p2")), "_p3", "_p4")
+    planned = staged.select(page, "idx", "parent", "node_type", "is_container", merged.alias("props"))
 
     located = slug_lookup(planned, page, sitemap, home).withColumn("main_area", F.concat("target_path", F.lit("/main")))
     named = located.withColumn(
         "name", F.concat_ws("-", short_name(F.col("node_type")), F.col(page), F.col("idx").cast("string"))
     )
-    named = cut_lineage(named, "named")
+    # tested on the written table: pushed further down, the test would rebuild every property map
+    named = cut_lineage(named, "named").where((F.size("props") > 0) | F.col("is_container"))
     created = named.select(page, F.col("idx").alias("parent"), F.lit(True).alias("_nested"))
     chained = named.join(created, [page, "parent"], "left").withColumn("_up", F.when(F.col("_nested"), F.col("parent")))
     return nested_paths(chained, page).select(

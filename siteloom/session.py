@@ -15,6 +15,8 @@ SQL_DEFAULTS = {
     # a skewed join stays split even when the next operator wanted its partitioning
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a derived "array is not empty" filter would evaluate every exploded expression twice
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate",
     # bounds the HTML text held by one Python worker at a time
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }

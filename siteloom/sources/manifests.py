@@ -40,7 +40,7 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_json_map(spark: SparkSession, path: str, schema: str, name: str) -> DataFrame:
     """Documents whose top level is an open map: one column ``name``."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.from_json("value", schema).alias(name))
 
 

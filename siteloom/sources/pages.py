@@ -10,8 +10,8 @@ from ..operators.ranking import top_n
 
 
 def lenient_text(content: Column) -> Column:
-    """UTF-8 with undecodable bytes dropped; they arrive as the replacement character."""
-    return F.replace(content.cast("string"), F.lit("\ufffd"), F.lit(""))
+    """UTF-8 with undecodable bytes dropped: they are first marked by the replacement character."""
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def html_files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -22,9 +22,7 @@ def html_files(spark: SparkSession, *paths: str) -> DataFrame:
         .option("pathGlobFilter", "*.html")
         .load(list(paths))
     )
-    return raw.select(F.col("path").alias("file"), F.decode(F.col("content"), "UTF-8").alias("_d"), "content").select(
-        "file", F.replace("_d", F.lit("�"), F.lit("")).alias("html")
-    )
+    return raw.select(F.col("path").alias("file"), lenient_text(F.col("content")).alias("html"))
 
 
 def captured_pages(spark: SparkSession, curated: str | None, crawl: str | None) -> DataFrame:
