@@ -138,7 +138,7 @@ def _tree(spark, sf):
         FROM pg a JOIN pg b ON a.path = b.path OR starts_with(a.path, b.path || '/')""",
 )
 def breadcrumbs(spark, sf):
-    out = tree.breadcrumbs(_tree(spark, sf), "/home")
+    out = tree.breadcrumbs(cut_lineage(_tree(spark, sf), "tree"), "/home")
     return out.select("path", F.col("depth").cast("bigint").alias("depth"), "crumb_path", "crumb_title")
 
 

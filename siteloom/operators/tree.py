@@ -75,7 +75,8 @@ def breadcrumbs(
     """(path, depth, crumb_path, crumb_title): trail below ``home`` down to each page, pages only.
 
     A path names its own ancestors, so the walk is an explode plus a lookup. Paths near the root
-    are ancestors of nearly everything; the lookup spreads those hot keys.
+    are ancestors of nearly everything; the lookup spreads those hot keys. Reads ``nodes`` several
+    times: pass a stored table.
     """
     pages = nodes.where(is_page) if is_page is not None else nodes
     below = pages.where(descendants_of(F.col(path), home))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rules, text, urls
 from ..operators.joins import tiered_lookup
+from ..session import cut_lineage
 
 
 def body_fragment(title: Column, desc: Column, page_title: Column) -> Column:
@@ -86,10 +87,11 @@ def article_plan(
     """Node path, type and hero reference of each article.
 
     ``cores`` carries (page, folder, ...); ``folders(folder, path, type)``;
-    ``imported(page, seq, file, target_path)``.
+    ``imported(page, seq, file, target_path)``. The placed articles are written once, because the
+    image lookup reads them several times.
     """
     dim = folders.select("folder", F.col("path").alias("folder_path"), F.col("type").alias("node_type"))
-    placed = cores.join(dim, "folder")
+    placed = cut_lineage(cores.join(dim, "folder"), "articles")
     known = imported.where(F.col("target_path").isNotNull()).select(page, "seq", F.col("file").alias("hero_file"), "target_path")
     wired = tiered_lookup(placed, known, ["hero_file"], [[page], []], [page, "seq"], ["target_path"])
     return wired.withColumnRenamed("target_path", "image").withColumn(

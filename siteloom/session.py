@@ -22,11 +22,17 @@ SQL_DEFAULTS = {
 }
 
 
+STATIC_DEFAULTS = {
+    # call-site capture costs a JVM round trip per column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
+
 def build_session(app: str = "siteloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_DEFAULTS, **conf}.items():
+    for key, value in {**STATIC_DEFAULTS, **SQL_DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -39,6 +39,32 @@ def test_ladder(spark):
     assert "x0.35" in got["edge"]["note"] and "x99.00" in got["empty"]["note"]
 
 
+# fixed values: text and image counts of a recorded site audit with the class each page was given
+RECORDED = [
+    ("STUB", 1885, 12454, 115, 117), ("MISSING-IMG", 4247, 5048, 88, 103), ("THIN", 1270, 2688, 4, 5),
+    ("MISSING-IMG", 1393, 941, 1, 81), ("THIN", 1383, 2496, 2, 5), ("THIN", 2399, 4423, 3, 5),
+    ("THIN", 1764, 5024, 3, 5), ("THIN", 1476, 2956, 1, 2), ("THIN", 1842, 3941, 1, 13),
+    ("THIN", 1752, 3676, 3, 6), ("THIN", 4013, 9241, 4, 19), ("REVIEW", 1702, 801, 1, 2),
+    ("REVIEW", 10308, 508, 23, 20), ("REVIEW", 2817, 3899, 4, 11), ("OK", 1628, 1239, 1, 3),
+    ("OK", 1237, 1239, 1, 3), ("OK", 3964, 3737, 3, 2), ("OK", 8438, 13418, 8, 10),
+    ("OK", 3244, 3719, 5, 3), ("N/A-REF", 1451, None, 1, None), ("OK", 903, 706, 1, 5),
+    ("OK", 78, 53, 1, 1), ("OK", 6639, 10001, 7, 11), ("OK", 1059, 1278, 3, 8),
+    ("N/A-NEW", 953, None, 1, None), ("N/A-NEW", 1320, None, 3, None), ("N/A-NEW", 883, None, 1, None),
+    ("N/A-NEW", 953, None, 1, None), ("N/A-NEW", 1006, None, 1, None), ("N/A-NEW", 1960, None, 2, None),
+    ("N/A-NEW", 1120, None, 1, None),
+]
+
+
+def test_recorded_audit(spark):
+    cases = []
+    for i, (cls, lt, rt, li, ri) in enumerate(RECORDED):
+        name = f"expo/{i}" if cls == "N/A-NEW" else f"p{i}"
+        ref = None if cls == "N/A-NEW" else (rt, ri, "500" if cls == "N/A-REF" else None)
+        cases.append((name, (lt, li, ref), cls))
+    got = ladder(spark, cases)
+    assert [got[n]["class"] for n, _, _ in cases] == [c for _, _, c in cases]
+
+
 def test_report(spark):
     got = audit.audit_pages(
         spark.createDataFrame([("b", 1, 0), ("a", 100, 0), ("c", 1, 0)], "page string, text_len int, imgs int"),
