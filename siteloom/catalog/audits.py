@@ -101,8 +101,7 @@ def heading_match(spark, sf):
 
 def _heading_scores(spark, sf):
     d = texts(spark, sf)
-    lines = F.transform(F.split("text", "\n"), lambda x: text.heading_norm(x))
-    kept = F.filter(lines, lambda h: F.length(h).between(3, 80))
+    kept = F.filter(text.heading_lines(F.col("text")), lambda h: F.length(h).between(3, 80))
     ref = d.select("doc_id", F.explode(F.array_distinct(kept)).alias("heading"))
     half = F.expr("left(text, CAST(n_chars div 2 AS INT))")
     local = d.select("doc_id", text.heading_norm(half).alias("text"))

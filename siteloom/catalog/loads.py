@@ -10,7 +10,7 @@ from ..functions import urls
 from ..operators import joins, media, upsert
 from ..operators.redirects import redirect_map
 from ..plans import article, load
-from ..session import checkpoint_root, cut_lineage
+from ..session import cut_lineage, stage_folder
 from ..sources import lists, manifests
 from ..sources.pages import cached_bodies
 from ..streaming import ingest
@@ -246,7 +246,7 @@ _INGEST = f"""SELECT cache_key, min(page_id) AS page_id FROM (SELECT page_id, re
 @query("q46_incremental_ingest", _INGEST)
 def incremental_ingest(spark, sf):
     schema = table(spark, sf, "pages").schema
-    root = f"{checkpoint_root(spark)}/siteloom/ingest-{uuid.uuid4().hex}"
+    root = f"{stage_folder(spark)}/ingest-{uuid.uuid4().hex}"
     stream = ingest.page_stream(spark, sf, schema, glob="pages.parquet")
     ingest.incremental_pages(stream, f"{root}/store", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/store").select("cache_key", "page_id")
@@ -258,7 +258,7 @@ def incremental_ingest(spark, sf):
 )
 def incremental_articles(spark, sf):
     schema = table(spark, sf, "documents").schema
-    root = f"{checkpoint_root(spark)}/siteloom/articles-{uuid.uuid4().hex}"
+    root = f"{stage_folder(spark)}/articles-{uuid.uuid4().hex}"
 
     def prepare(batch):
         rows = batch.select(

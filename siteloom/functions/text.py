@@ -47,6 +47,8 @@ def _accent_tables() -> tuple[str, str, list[tuple[str, str]]]:
 _FROM, _TO, _EXPAND = _accent_tables()
 # letters only: fractions and spacing marks end up as blanks either way
 _EXPAND = [(a, b) for a, b in _EXPAND if b.isalpha() and b.isascii()]
+# the ranges that hold them; few ranges keep the test cheap
+_HAS_DIGRAPH = "[\u0132-\u0149\u01c4-\u01f3\ufb00-\ufb06]"
 
 
 def clean(c) -> Column:
@@ -80,28 +82,30 @@ def visible_text(c: Column, exact: bool = False) -> Column:
     return clean(unescape_exact(stripped) if exact else unescape(stripped))
 
 
-def heading_norm(c: Column) -> Column:
-    """Accent-free, lower-case letters and digits separated by single blanks (Latin blocks)."""
-    c = F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{M}+", "")
-    expanded = c
+def _fold(c: Column, keep: str) -> Column:
+    """Lower-case letters and digits without accents (Latin blocks); the rest becomes single blanks."""
+    plain = F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{M}+", "")
+    expanded = plain
     for char, base in _EXPAND:
         expanded = F.replace(expanded, F.lit(char), F.lit(base))
-    c = F.when(c.rlike("[" + "".join(a for a, _ in _EXPAND) + "]"), expanded).otherwise(c)
+    c = F.when(c.rlike(_HAS_DIGRAPH), expanded).otherwise(plain)
     c = F.replace(F.replace(F.lower(c), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
-    return F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
+    return F.regexp_replace(c, f"[^a-z0-9{keep}]+", " ")
+
+
+def heading_norm(c: Column) -> Column:
+    """Accent-free, lower-case letters and digits separated by single blanks (Latin blocks)."""
+    return F.trim(_fold(c, ""))
 
 
-def region(c: Column, tag: str = "main", fallback: str | None = None) -> Column:
-    """Inner HTML of the first ``tag``; '' when absent unless a fallback tag is given."""
+def heading_lines(c: Column) -> Column:
+    """``heading_norm`` of every line of a text, folded in one pass over the whole text."""
+    return F.transform(F.split(_fold(c, r"\n"), "\n"), lambda line: F.trim(line))
 
-    def inner(name: str) -> Column:
-        return F.regexp_extract(c, rf"(?is)<{name}\b[^>]*>(.*?)</{name}>", 1)
 
-    if fallback is None:
-        return inner(tag)
-    return F.when(c.rlike(rf"(?i)<{tag}\b"), inner(tag)).when(
-        c.rlike(rf"(?is)<{fallback}\b[^>]*>.*</{fallback}>"), inner(fallback)
-    ).otherwise(c)
+def first_filled(*cols) -> Column:
+    """First value that is neither null nor empty: title, description and image fallbacks."""
+    return F.coalesce(*[F.nullif(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in cols])
 
 
 @F.pandas_udf(StringType())

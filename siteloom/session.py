@@ -56,12 +56,23 @@ def checkpoint_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{checkpoint_root(spark)}/siteloom/{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables; results still reading them must be done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the written table.
 
     One pass, readable by any executor afterwards, so a lost executor never forces a second,
     possibly different, evaluation of whatever produced it.
     """
-    path = f"{checkpoint_root(df.sparkSession)}/siteloom/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

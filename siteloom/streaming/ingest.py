@@ -40,7 +40,8 @@ def incremental_pages(
     Within a batch the first page per key (by ``order``) is kept; against the store an anti join on
     the key decides, so no streaming state grows. Each batch writes its own folder and overwrites
     only that, and looks up only earlier batches, so a replayed batch gives the same result.
-    ``force`` stores every page of the batch.
+    ``force`` stores one page per key of every batch, stored or not. ``store`` and ``checkpoint``
+    belong together: start both anew or neither.
     """
     key = key if key is not None else urls.cache_key(F.col("url"))
 

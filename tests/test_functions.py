@@ -67,6 +67,10 @@ def test_text(spark):
     assert one(spark, ["  a \n b ", None], text.clean) == ["a b", ""]
     assert one(spark, ["É́tat  d’œuvre ﬁn", "ÀÉÎ-Ça"], text.heading_norm) == ["etat d oeuvre fin", "aei ca"]
     assert one(spark, ["É́tat  d’œuvre ﬁn №", None], text.heading_norm_exact) == ["etat d oeuvre fin no", None]
+    assert one(spark, ["Été!\n - \n a  b"], text.heading_lines) == [["ete", "", "a b"]]
+    df = spark.createDataFrame([("", None, "c"), (None, "b", "c")], "x string, y string, z string")
+    assert [r[0] for r in df.select(text.first_filled("x", "y", "z")).collect()] == ["c", "b"]
+    assert one(spark, ["a", "q"], lambda c: text.label_or_self(c, {"a": "Label"})) == ["Label", "q"]
     assert one(spark, ["&amp;lt; &lt;b&gt; &copy;"], text.unescape) == ["&lt; <b> ©"]
     assert one(spark, ["&eacute;&thinsp;&#233;"], text.unescape_exact) == ["é é"]
     doc = "<body>x<main class=a>y<b>z</b></main></body>"

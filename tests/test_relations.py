@@ -5,6 +5,7 @@ from conftest import rows
 from siteloom.operators import joins, listing, ranking, tree, upsert
 from siteloom.operators.redirects import redirect_map, unmatched
 from siteloom.plans import load
+from siteloom.session import checkpoint_root, cut_lineage
 
 
 def hot_table(spark, n=3000):
@@ -28,6 +29,14 @@ def test_row_numbers_with_null_groups(spark):
     assert sorted(rows(ranking.number_rows(df, ["v"], ["g"])), key=str) == [("a", 5, 1), (None, 1, 1), (None, 2, 2)]
 
 
+def test_stage_tables_belong_to_the_application(spark):
+    root = checkpoint_root(spark)
+    stored = cut_lineage(spark.range(5), "probe")
+    assert stored.count() == 5
+    file = stored.inputFiles()[0]
+    assert spark.sparkContext.applicationId in file and root.split(":")[-1] in file
+
+
 def test_pick_and_top(spark):
     df = hot_table(spark)
     want = rows(df.groupBy("k").agg(F.min("v").alias("v")), "k")
@@ -121,6 +130,8 @@ def test_paginate_slots_facets(spark):
     assert rows(listing.slots(df.select("id"), ["id"], ["big", "small", "small"])) == [(1, 1, "big"), (2, 2, "small"), (3, 3, "small")]
     f = spark.createDataFrame([(1, "a", "Ah"), (2, "a", "Other"), (3, "", "x"), (4, None, "y"), (5, "b", " ")], "i int, v string, l string")
     assert rows(listing.facets(f, {"t": ("v", "l")}, "i"), "value") == [("t", "a", "Ah", 2), ("t", "b", "b", 1)]
+    counted = listing.facets(df.withColumn("l", F.lit("x")), {"c": ("c", "l")}, "id").agg(F.sum("n")).first()[0]
+    assert counted == df.where("c IS NOT NULL").count()
     assert listing.apply_facets(df, {"categories": "a", "c": 1}).count() == 5 and listing.apply_facets(df, {"c": None}).count() == 14
     assert listing.parse_facet("newsTheme|Topic") == ("newsTheme", "Topic", "theme") and listing.parse_facet("Le Pays") == ("Le Pays", "Le Pays", "le-pays")
 
@@ -200,6 +211,12 @@ def test_type_map_last_declaration_wins(spark):
     assert {r.source: (r.node_type, r.is_container) for r in load.type_map(m).collect()} == {"x": ("n:b", True), "y": ("n:a", False)}
 
 
+def test_areas(spark):
+    df = spark.createDataFrame([("n:mainNav", "absolute"), ("n:topic", "absolute"), ("n:x", "page"), ("n:x", None)], "t string, a string")
+    got = [r[0] for r in df.select(load.area_path(F.col("t"), F.col("a"), F.lit("/home/p/main"), "/home")).collect()]
+    assert got == ["/home/nav", "/home/topic", "/home/p/main", "/home/p/main"]
+
+
 def test_load_plan_nests_and_skips(spark):
     im = "array<struct<file:string,alt:string>>"
     inst = spark.createDataFrame(
