@@ -59,7 +59,7 @@ def id_and_text(docs: DataFrame) -> DataFrame:
 
 
 def write_blocks(docs: DataFrame, count: Callable[[list[bytes | None]], int], limit: int = 1 << 20) -> DataFrame:
-    """Blocks of (doc_id, text), written to the shared folder."""
+    """Blocks of (doc_id, text), written to the shared folder. ``block + i`` is the number of row i."""
 
     def pack(batches):
         task, at = TaskContext.get().partitionId(), 0
@@ -69,7 +69,7 @@ def write_blocks(docs: DataFrame, count: Callable[[list[bytes | None]], int], li
             nonlocal at
             lens = [-1 if t is None else len(t) for t in texts]
             row = [(task << 33) + at, count(texts), ids, lens, pack_texts([t or b"" for t in texts])]
-            at += 1
+            at += len(ids)
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             names = ["block", "n_words", "ids", "lens", "body"]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .histogram_shards import histogram_shards
+from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
+from .winnowing import decontaminate
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +31,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_substring_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), length=35, with_text=False)
+
+
+@query("op2_ngram_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query("op9_winnowing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op10_histogram_shards")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = histogram_shards(table(spark, sf_dir, "documents"), shards=8)
+    return dealt.select(
+        "doc_id", "size",
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
