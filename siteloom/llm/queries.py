@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from .histogram_shards import histogram_shards
 from .ngram_join import ngram_join
+from .pu_quality import quality
 from .substring_dedup import substring_dedup
+from .template_lines import template_lines, template_lines_sql
 from .winnowing import decontaminate
 
 QUERIES: dict = {}
@@ -52,3 +54,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op7_template_lines", template_lines_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+@query("op8_pu_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
