@@ -215,6 +215,7 @@ def _large_groups(sets: DataFrame, sizes: DataFrame, percent: int, at_most: int)
     # one row per group, repeated for each of its blocks
     pivots = big.where("sig = pivot").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
     cols = ["group", "part", "sig", "n_shingles", "tokens"]
+    pivots = pivots.select(*[F.col(c).alias(c) for c in cols])
 
     def to_pivot(members: pa.Table, pivot: pa.Table) -> pa.Table:
         one = _sets(pivot)
@@ -228,7 +229,7 @@ def _large_groups(sets: DataFrame, sizes: DataFrame, percent: int, at_most: int)
 
     key = ["group", "part"]
     settled = cut_lineage(
-        big.select(*cols).groupBy(*key).cogroup(pivots.select(*cols).groupBy(*key)).applyInArrow(to_pivot, "a long, b long"), "pivots"
+        big.select(*cols).groupBy(*key).cogroup(pivots.groupBy(*key)).applyInArrow(to_pivot, "a long, b long"), "pivots"
     )
     open_ = big.where("sig <> pivot").join(settled.select(F.col("a").alias("sig")), "sig", "left_anti")
     n_open = open_.groupBy("group").agg(F.ceil(F.count("*") / at_most).cast("int").alias("open_parts"))
@@ -241,7 +242,8 @@ def _large_groups(sets: DataFrame, sizes: DataFrame, percent: int, at_most: int)
         queries = _sets(few)
         return _links_table((a, b) for a, b in search(_sets(members), queries, percent) if a != b)
 
-    met = index.select(*cols).groupBy(*key).cogroup(asked.select(*cols).groupBy(*key)).applyInArrow(meet, "a long, b long")
+    asked = asked.select(*[F.col(c).alias(c) for c in cols])  # columns of its own, as both come from one table
+    met = index.select(*cols).groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(meet, "a long, b long")
     return settled.unionByName(met)
 
 
