@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .histogram_shards import histogram_shards
+from .mih_search import nearest
 from .ngram_join import ngram_join
+from .piece_codec import encode, read_model
+from .pseudonyms import pseudonyms
 from .pu_quality import quality
 from .substring_dedup import substring_dedup
 from .template_lines import template_lines, template_lines_sql
 from .winnowing import decontaminate
 
+#: the model file that op5 and the pipeline read; any SentencePiece model of kind unigram or BPE will do
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -65,3 +73,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op4_pseudonyms")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the query's own key, so that its result can be compared; production passes a secret
+    return pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), key=b"op4 query")
+
+
+@query("op5_piece_codec")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), read_model(spark, PIECE_MODEL))
+
+
+@query("op6_mih_search")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
