@@ -266,7 +266,8 @@ def pseudonyms(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     null, with 0 values. Other columns, ids included, are not touched, whatever they hold.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_values", "kinds")])
-    at = docs.columns.index("text")
+    own = docs.columns
+    at = own.index("text")
 
     def rows(batches):
         permute = Feistel(key, back)
@@ -280,7 +281,7 @@ def pseudonyms(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
                 columns = part.columns
                 columns[at] = pa.array([t for t, _ in new], batch.schema.field(at).type)
                 counts, kinds = pa.array([len(k) for _, k in new], pa.int64()), pa.array([k for _, k in new], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([*columns, counts, kinds], names=[*docs.columns, "n_values", "kinds"])
+                yield pa.RecordBatch.from_arrays([*columns, counts, kinds], names=[*own, "n_values", "kinds"])
 
     schema = docs.select("*", F.lit(0).cast("long").alias("n_values"), F.array(F.lit("")).alias("kinds")).schema
     return docs.mapInArrow(rows, schema)
