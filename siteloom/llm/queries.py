@@ -14,6 +14,7 @@ from .piece_codec import encode, read_model
 from .pseudonyms import pseudonyms
 from .pu_quality import quality
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .template_lines import template_lines, template_lines_sql
 from .winnowing import decontaminate
 
@@ -89,3 +90,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_mih_search")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op3_suffix_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=50).drop("span_text")
