@@ -1,4 +1,73 @@
-"""Corpus pipeline (being built)."""
+"""From raw documents to tokens: quality, recurring lines, near duplicates, benchmark passages, tokens.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns what stays of
+``docs``, in the columns of documents (the last one: tokens). ``run`` writes what a stage returns and
+reads it again as the next one's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siteloom.llm.ngram_join import ngram_join
+from siteloom.llm.piece_codec import encode, read_model
+from siteloom.llm.pu_quality import quality
+from siteloom.llm.queries import PIECE_MODEL, table
+from siteloom.llm.template_lines import template_lines
+from siteloom.llm.winnowing import decontaminate
+from siteloom.session import cut_lineage
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier accepts."""
+    return quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+
+
+def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that earlier ones have; those left with nothing of their own go."""
+    found = template_lines(docs)
+    emptied = (F.col("n_dropped") > 0) & (F.trim("text") == "")
+    kept = found.where(~emptied)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else kept.select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least doc_id of every group of near duplicates."""
+    found = ngram_join(docs)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is benchmark text."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document that is left."""
+    return encode(docs, read_model(spark, PIECE_MODEL))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("line dedup", own_lines),
+    ("n-gram Jaccard join", one_of_each),
+    ("benchmark decontamination", uncontaminated),
+    ("SentencePiece encoding", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut_lineage(docs, name.split()[0].lower())
+    return docs
+
+
+#: a fitted classifier and a tokenizer are beyond SQL; the stages are tested one by one instead
+ORACLE_SQL = None
+QUERIES = {"pipeline": run}
+ORACLE: dict[str, str] = {} if ORACLE_SQL is None else {"pipeline": ORACLE_SQL}

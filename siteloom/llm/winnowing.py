@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .blocks import text_batches
 from .words import NOT_ALPHANUMERIC, Words, minimisers, words
 
-HIT_SCHEMA = "doc_id long, text string, hit binary, items array<string>"
+_ADDED = ("_hit", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "hit_text")
 
 
 class Fingerprints:
@@ -113,47 +113,50 @@ def decontaminate(
     the usual case; each further one adds a pass over the documents in the same job, without a
     shuffle, so a benchmark of any size gives the whole result.
 
-    Returns one row per row of ``docs``: doc_id, n_words, n_hit, n_items, items (their ids as
-    sorted strings), items_sha256 (of the ids, comma-joined), contaminated (``one_in * n_hit >= n_words``
-    with a hit), text, hit_text (the words hit). A null text has no words. An item of null text
-    has no window; one of null id marks words but has no name to count. Equal items, and rows that
-    repeat an id, count once. Other columns are ignored.
+    Returns all columns of ``docs`` plus n_words, n_hit, n_items, items (their ids as sorted strings),
+    items_sha256 (of the ids, comma-joined), contaminated (``one_in * n_hit >= n_words`` with a hit) and
+    hit_text (the words hit); columns of these names are replaced. A null text has no words. An item
+    of null text has no window; one of null id marks words but has no name to count. Equal items, and
+    rows that repeat an id, count once. Ids of documents are not looked at.
     """
     spark = docs.sparkSession
-    now = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    now = now.withColumns({"hit": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in _ADDED])
+    own = docs.columns
+    at = own.index("text")
+    now = docs.withColumns({"_hit": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
     for items in _slices(benchmark, slice_bytes):
         sent = spark.sparkContext.broadcast(Fingerprints(items, length, k))
 
         def mark(batches, sent=sent):
-            prints = sent.value
-            for batch in batches:
-                at = 0
-                for ids, texts in text_batches([batch]):
-                    n = len(ids)
-                    old = [batch.column(c).slice(at, n).to_pylist() for c in ("hit", "items")]
-                    yield _mark(prints, ids, texts, batch.column(1).slice(at, n), *old)
-                    at += n
+            for part, texts, hit, items in _parts(batches, at):
+                columns = [*part.columns[: len(own)], *_mark(sent.value, texts, hit, items)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*own, "_hit", "items"])
 
-        now = now.mapInArrow(mark, HIT_SCHEMA)
+        now = now.mapInArrow(mark, now.schema)
 
     def finish(batches):
-        for batch in batches:
-            at = 0
-            for ids, texts in text_batches([batch]):
-                n = len(ids)
-                hit, items = (batch.column(c).slice(at, n).to_pylist() for c in ("hit", "items"))
-                yield _digest(ids, texts, batch.column(1).slice(at, n), hit, items, one_in)
-                at += n
-
-    return now.mapInArrow(
-        finish,
-        "doc_id long, text string, n_words long, n_hit long, n_items long, items array<string>,"
-        " items_sha256 string, contaminated boolean, hit_text string",
-    )
-
-
-def _mark(prints: Fingerprints, ids, texts, column, hit, items) -> pa.RecordBatch:
+        for part, texts, hit, items in _parts(batches, at):
+            added = _digest(texts, hit, items, one_in)
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *added.values()], names=[*own, *added])
+
+    schema = now.drop("_hit", "items").withColumns(
+        {c: F.lit(None).cast(t) for c, t in zip(_ADDED[1:], ("long", "long", "long", "array<string>", "string", "boolean", "string"))}
+    ).schema
+    return now.mapInArrow(finish, schema)
+
+
+def _parts(batches, at: int):
+    """(rows, texts, hit words so far, items so far) in parts of about a megabyte of text."""
+    for batch in batches:
+        numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows)), batch.column(at)], names=["row", "text"])
+        done = 0
+        for names, texts in text_batches([numbered]):
+            part = batch.slice(done, len(names))
+            done += len(names)
+            yield part, texts, *(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("_hit", "items"))
+
+
+def _mark(prints: Fingerprints, texts, hit, items) -> list[pa.Array]:
     w = words(texts, NOT_ALPHANUMERIC, lower=True)
     cover = np.zeros(len(w.hash) + 1, np.int32)
     named: dict[int, set] = {}
@@ -170,11 +173,10 @@ def _mark(prints: Fingerprints, ids, texts, column, hit, items) -> pa.RecordBatc
             own = own | np.unpackbits(np.frombuffer(hit[d], np.uint8), count=len(own)).astype(bool)
         hit[d] = np.packbits(own).tobytes()
         items[d] = sorted(set(items[d] or ()) | named.get(d, set()))
-    fields = [pa.array(ids, pa.int64()), column, pa.array(hit, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(fields, names=["doc_id", "text", "hit", "items"])
+    return [pa.array(hit, pa.binary()), pa.array(items, pa.list_(pa.string()))]
 
 
-def _digest(ids, texts, column, hit, items, one_in: int) -> pa.RecordBatch:
+def _digest(texts, hit, items, one_in: int) -> dict[str, pa.Array]:
     w = words(texts, NOT_ALPHANUMERIC, lower=True)
     n_words = w.counts.tolist()
     n_hit, hit_text = [], []
@@ -184,9 +186,7 @@ def _digest(ids, texts, column, hit, items, one_in: int) -> pa.RecordBatch:
         spans = zip(w.start[own].tolist(), w.end[own].tolist())
         hit_text.append(b" ".join(w.data[a:b].tobytes() for a, b in spans).decode("utf-8", "replace") if len(own) else None)
     items = [i or [] for i in items]
-    out = {
-        "doc_id": pa.array(ids, pa.int64()),
-        "text": column,
+    return {
         "n_words": pa.array(n_words, pa.int64()),
         "n_hit": pa.array(n_hit, pa.int64()),
         "n_items": pa.array([len(i) for i in items], pa.int64()),
@@ -195,4 +195,3 @@ def _digest(ids, texts, column, hit, items, one_in: int) -> pa.RecordBatch:
         "contaminated": pa.array([h > 0 and one_in * h >= n for h, n in zip(n_hit, n_words)], pa.bool_()),
         "hit_text": pa.array(hit_text, pa.string()),
     }
-    return pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
