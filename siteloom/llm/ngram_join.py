@@ -67,10 +67,10 @@ class Forest:
             i = self.up[i]
         return i
 
-    def join(self, i: int, j: int) -> None:
+    def join(self, i: int, j: int) -> bool:
         i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
 
 
 def search(index: list, queries: list | None, percent: int) -> Iterator[tuple[int, int]]:
@@ -118,27 +118,26 @@ def search(index: list, queries: list | None, percent: int) -> Iterator[tuple[in
         found, often = found[keep], often[keep]
         fits = (100 * sizes[found] >= percent * n) & (100 * n >= percent * sizes[found])
         found, often = found[fits], often[fits]
-        while len(found):
-            # compare in growing groups: one link settles all sets that are tied to it already
+        # first the likeliest set of each tree: one link settles all sets tied to it; then the others at once
+        for likeliest in (True, False):
             mine = forest.root(base + q)
-            other = np.array([forest.root(int(i)) for i in found])
-            open_ = other != mine
-            found, often, other = found[open_], often[open_], other[open_]
+            other = np.array([forest.root(int(i)) for i in found], np.int64)
+            found, often, other = (x[other != mine] for x in (found, often, other))
             if not len(found):
                 break
-            _, first = np.unique(other, return_index=True)
-            pick, overlap = found[first], often[first].astype(np.int64)
+            pick = np.arange(len(found))
+            if likeliest:
+                by = np.lexsort((-often, other))
+                pick = by[np.concatenate([[True], other[by][1:] != other[by][:-1]])]
+            sets, overlap = found[pick], often[pick].astype(np.int64)
             for i in long:
                 run = member[starts[i] : ends[i]]
-                spot = np.minimum(np.searchsorted(run, pick), len(run) - 1)
-                overlap += run[spot] == pick
-            linked = 100 * overlap >= percent * (n + sizes[pick] - overlap)
-            for i in pick[linked].tolist():
-                forest.join(i, base + q)
-                yield int(key), int(index[i][0])
-            rest = np.ones(len(found), bool)
-            rest[first] = False
-            found, often = found[rest], often[rest]
+                spot = np.minimum(np.searchsorted(run, sets), len(run) - 1)
+                overlap += run[spot] == sets
+            linked = 100 * overlap >= percent * (n + sizes[sets] - overlap)
+            for i in sets[linked].tolist():
+                if forest.join(i, base + q):
+                    yield int(key), int(index[i][0])
 
 
 def _sets(rows: pa.Table) -> list:
@@ -247,7 +246,9 @@ def _large_groups(sets: DataFrame, sizes: DataFrame, percent: int, at_most: int)
     return settled.unionByName(met)
 
 
-def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75, group_sets: int = 2000, task_tokens: int = 1 << 20) -> DataFrame:
+def ngram_join(
+    docs: DataFrame, size: int = 5, percent: int = 75, group_sets: int = 500, block_sets: int = 1000, task_tokens: int = 1 << 20
+) -> DataFrame:
     """Documents whose sets of ``size``-word shingles have a Jaccard similarity of ``percent`` % or more.
 
     Words are runs without ASCII white space, A-Z lower-cased, of the whole text. A text of fewer
@@ -261,7 +262,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75, group_sets: in
     3. Within a group, T-occurrence search by DivideSkip finds the links (``search``).
 
     Groups are packed so that a task holds about ``task_tokens`` shingles; a group of over
-    ``group_sets`` sets is searched in blocks. Sets are named by a 64-bit hash and compared
+    ``group_sets`` sets is first compared with one of its sets, and only those not similar to it are searched,
+    in blocks of ``block_sets``. Sets are named by a 64-bit hash and compared
     through 48-bit shingle hashes.
 
     Returns one row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by
@@ -330,9 +332,10 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75, group_sets: in
 
     small = sets.join(large.select("group"), "group", "left_anti")
     small = small.withColumn("pack", F.pmod(F.xxhash64("group"), F.lit(packs)))
-    links = small.groupBy("pack").applyInArrow(within, "a long, b long")
+    # a set number of partitions, as run time depends on more than bytes
+    links = small.repartition(packs, "pack").groupBy("pack").applyInArrow(within, "a long, b long")
     if not large.isEmpty():
-        links = links.unionByName(_large_groups(sets, large, percent, group_sets))
+        links = links.unionByName(_large_groups(sets, large, percent, block_sets))
     labels = components(cut_lineage(links, "links")).withColumnRenamed("node", "sig")
     classes = found.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))

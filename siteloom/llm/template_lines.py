@@ -11,31 +11,45 @@ _BLANKS = r"[ \t\x0B\f\r]+"
 _FIELD = r"(^| )[^ 0-9]*+[0-9][^ ]*+"  # a token with a digit; begins at a token's start, so one pass
 
 
-def masked(line: Column) -> Column:
-    """The line with single blanks and every token that holds a digit as ``<*>``."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, _BLANKS, " ")), _FIELD, "$1<*>")
-
-
 def _n_tokens(mask: Column) -> Column:
     return F.length(mask) - F.length(F.replace(mask, F.lit(" "))) + 1
 
 
+def _template(pair: Column, similarity: float) -> Column:
+    """The masked line, or the line itself where too few of its tokens are fixed to tell it by."""
+    mask = pair["mask"]
+    fields = (F.length(mask) - F.length(F.replace(mask, F.lit("<*>")))) / 3
+    return F.when(fields > (1 - similarity) * _n_tokens(mask), pair["line"]).otherwise(mask)
+
+
+def templates(text: Column, similarity: float) -> Column:
+    """For each line of a text: single blanks, and every token that holds a digit as ``<*>``."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.trim(F.regexp_replace(x, _BLANKS, " ")))
+    pairs = F.transform(lines, lambda x: F.struct(x.alias("line"), F.regexp_replace(x, _FIELD, "$1<*>").alias("mask")))
+    return F.transform(pairs, lambda p: _template(p, similarity))
+
+
 def _leaf(mask: Column, depth: int) -> Column:
     return F.xxhash64(_n_tokens(mask), F.substring_index(mask, " ", depth))
 
 
-def _lines(depth: int) -> Column:
+def _lines(depth: int, similarity: float) -> Column:
     """Distinct (line, leaf) hashes of a text's non-empty lines."""
-    masks = F.array_distinct(F.transform(F.split("text", "\n", -1), masked))
-    masks = F.filter(masks, lambda m: m != "")
+    masks = F.filter(F.array_distinct(templates(F.col("text"), similarity)), lambda m: m != "")
     return F.transform(masks, lambda m: F.struct(F.xxhash64(m).alias("line"), _leaf(m, depth).alias("leaf")))
 
 
+def _same() -> Column:
+    """1 for a position with one fixed token in all lines."""
+    return ((F.min("token") == F.max("token")) & (F.min("token") != "<*>")).cast("int")
+
+
 def template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarity: float = 0.5) -> DataFrame:
     """Drop lines whose template recurs in ``min_docs`` documents or more; the first keeps its own.
 
     A tree of fixed depth sorts lines: by their number of tokens, then by ``depth`` leading tokens, with
-    tokens that hold a digit as a variable field. The lines of a leaf share one template when at
+    tokens that hold a digit as a variable field (in a line where less than ``similarity`` of the tokens would
+    be left, none is). The lines of a leaf share one template when at
     least ``similarity`` of the positions behind the leading ones hold the same token in all of them;
     the other positions are its variable fields. In other leaves each masked line is a template of
     its own. A template found in ``min_docs`` documents is dropped from all but the document of least
@@ -51,7 +65,7 @@ def template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
     unless all are.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped", "_dropped")])
-    pairs = docs.select("doc_id", F.explode(_lines(depth)).alias("l")).select("doc_id", "l.*").distinct()
+    pairs = docs.select("doc_id", F.explode(_lines(depth, similarity)).alias("l")).select("doc_id", "l.*").distinct()
     pairs = cut_lineage(pairs, "lines")
     ids = [F.count("*").alias("n_docs"), F.min("doc_id").alias("first")]
     lines = pairs.groupBy("line", "leaf").agg(*ids)
@@ -61,21 +75,23 @@ def template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
     several = lines.groupBy("leaf").agg(F.count("*").alias("n_lines")).where("n_lines > 1")
     leaves = cut_lineage(leaves.join(several, "leaf").select("leaf", F.col("first").alias("leaf_first")), "leaves")
 
-    mask = F.explode(F.transform(F.split("text", "\n", -1), masked)).alias("mask")
+    mask = F.explode(templates(F.col("text"), similarity)).alias("mask")
     tokens = docs.select(mask).where("mask <> ''").withColumn("leaf", _leaf(F.col("mask"), depth))
     tokens = tokens.where(_n_tokens(F.col("mask")) > depth).join(leaves.select("leaf"), "leaf", "left_semi").distinct()
     tokens = tokens.select("leaf", F.posexplode(F.split("mask", " ")).alias("pos", "token"))
-    fixed = tokens.groupBy("leaf", "pos").agg((F.min("token") == F.max("token")).cast("int").alias("same"))
+    fixed = tokens.groupBy("leaf", "pos").agg(_same().alias("same"))
     fixed = fixed.where(F.col("pos") >= depth).groupBy("leaf").agg(F.avg("same").alias("share"))
-    templates = leaves.join(fixed.where(F.col("share") >= similarity), "leaf").select("leaf", "leaf_first")
+    alike = leaves.join(fixed.where(F.col("share") >= similarity), "leaf").select("leaf", "leaf_first")
 
-    judged = pairs.join(recurring, "line", "left").join(templates, "leaf", "left")
+    judged = pairs.join(recurring, "line", "left").join(alike, "leaf", "left")
     again = [F.col(c).isNotNull() & ~F.col("doc_id").eqNullSafe(F.col(c)) for c in ("line_first", "leaf_first")]
     # a document first for its own line may still not be the first of the leaf's template
     dropped = judged.where(again[0] | again[1]).groupBy("doc_id").agg(F.collect_set("line").alias("_dropped"))
     dropped = dropped.withColumnRenamed("doc_id", "_doc_id")
     out = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_dropped", F.xxhash64(masked(x))))
+    both = F.arrays_zip(F.split("text", "\n", -1).alias("line"), templates(F.col("text"), similarity).alias("mask"))
+    kept = F.filter(both, lambda p: ~F.array_contains("_dropped", F.xxhash64(p["mask"])))
+    kept = F.transform(kept, lambda p: p["line"])
     out = out.withColumn("_kept", F.when(F.col("_dropped").isNotNull(), kept))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
     changed = F.col("_kept").isNotNull()
@@ -88,12 +104,15 @@ def template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
 
 def template_lines_sql(source: str = "documents", min_docs: int = 3, depth: int = 3, similarity: float = 0.5) -> str:
     """The same rows in DuckDB's SQL: doc_id, text, n_lines, n_dropped; ids must be distinct and not null."""
-    mask = r"regexp_replace(trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g'), ' '), '(^| )[^ 0-9]*[0-9][^ ]*', '\1<*>', 'g')"
+    line = r"trim(regexp_replace(line, '[ \t\x0B\f\r]+', ' ', 'g'), ' ')"
+    mask = r"regexp_replace(line, '(^| )[^ 0-9]*[0-9][^ ]*', '\1<*>', 'g')"
     return f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM {source}
 ), masks AS (
-  SELECT *, {mask} AS mask FROM lines
+  SELECT doc_id, spot, raw, CASE WHEN (length(mask) - length(replace(mask, '<*>', ''))) / 3
+    > {1 - similarity} * (length(mask) - length(replace(mask, ' ', '')) + 1) THEN line ELSE mask END AS mask
+  FROM (SELECT *, {mask} AS mask FROM (SELECT doc_id, spot, line AS raw, {line} AS line FROM lines))
 ), placed AS (
   SELECT *, length(mask) - length(replace(mask, ' ', '')) + 1 AS n,
          array_to_string(list_slice(string_split(mask, ' '), 1, {depth}), ' ') AS lead FROM masks
@@ -106,14 +125,14 @@ leaves AS (
   SELECT n, lead, unnest(string_split(mask, ' ')) AS token, generate_subscripts(string_split(mask, ' '), 1) AS pos
   FROM (SELECT DISTINCT mask, n, lead FROM pairs) SEMI JOIN leaves USING (n, lead)
 ), fixed AS (
-  SELECT n, lead, pos, CASE WHEN min(token) = max(token) THEN 1 ELSE 0 END AS same FROM tokens WHERE pos > {depth} GROUP BY n, lead, pos
+  SELECT n, lead, pos, CASE WHEN min(token) = max(token) AND min(token) <> '<*>' THEN 1 ELSE 0 END AS same FROM tokens WHERE pos > {depth} GROUP BY n, lead, pos
 ), templates AS (
   SELECT n, lead, first FROM leaves JOIN (SELECT n, lead FROM fixed GROUP BY n, lead HAVING avg(same) >= {similarity}) USING (n, lead)
 ), judged AS (
   SELECT p.*, coalesce(p.doc_id <> r.first, false) OR coalesce(p.doc_id <> t.first, false) AS dropped
   FROM placed p LEFT JOIN recurring r ON p.mask = r.mask LEFT JOIN templates t ON p.n = t.n AND p.lead = t.lead AND p.mask <> ''
 ), kept AS (
-  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY spot) FILTER (WHERE NOT dropped), '') AS text,
+  SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY spot) FILTER (WHERE NOT dropped), '') AS text,
          count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
   FROM judged GROUP BY doc_id
 )
