@@ -89,7 +89,7 @@ _LINES = "string_split(text, chr(10))"
 @query(
     "q28_heading_match",
     f"""WITH h AS (SELECT DISTINCT doc_id, {_hnorm('line')} AS heading FROM (SELECT doc_id, unnest({_LINES}) AS line FROM documents)),
-        r AS (SELECT doc_id, heading FROM h WHERE length(heading) BETWEEN 3 AND 80),
+        r AS (SELECT doc_id, heading FROM h WHERE length(heading) >= 3),
         l AS (SELECT doc_id, {_hnorm('left(text, (n_chars // 2)::INT)')} AS body FROM documents),
         c AS (SELECT r.doc_id, count(*) AS headings, count(*) FILTER (contains(body, heading)) AS matched FROM r JOIN l USING (doc_id) GROUP BY r.doc_id),
         p AS (SELECT *, round_even(100 * matched / headings, 0)::INT AS pct FROM c)
@@ -101,7 +101,7 @@ def heading_match(spark, sf):
 
 def _heading_scores(spark, sf):
     d = texts(spark, sf)
-    kept = F.filter(text.heading_lines(F.col("text")), lambda h: F.length(h).between(3, 80))
+    kept = F.filter(text.heading_lines(F.col("text")), lambda h: F.length(h) >= 3)
     ref = d.select("doc_id", F.explode(F.array_distinct(kept)).alias("heading"))
     half = F.expr("left(text, CAST(n_chars div 2 AS INT))")
     local = d.select("doc_id", text.heading_norm(half).alias("text"))
@@ -111,7 +111,7 @@ def _heading_scores(spark, sf):
 @query(
     "q83_score_card",
     f"""WITH h AS (SELECT DISTINCT doc_id, {_hnorm('line')} AS heading FROM (SELECT doc_id, unnest({_LINES}) AS line FROM documents)),
-        r AS (SELECT doc_id, heading FROM h WHERE length(heading) BETWEEN 3 AND 80),
+        r AS (SELECT doc_id, heading FROM h WHERE length(heading) >= 3),
         l AS (SELECT doc_id, {_hnorm('left(text, (n_chars // 2)::INT)')} AS body FROM documents),
         c AS (SELECT r.doc_id, count(*) AS headings, count(*) FILTER (contains(body, heading)) AS matched FROM r JOIN l USING (doc_id) GROUP BY r.doc_id),
         s AS (SELECT CASE WHEN headings < 3 THEN 'unscorable' WHEN round_even(100 * matched / headings, 0) < 85 THEN 'fail' ELSE 'pass' END AS status FROM c)
@@ -157,15 +157,15 @@ def section_gate(spark, sf):
 
 @query(
     "q29_heading_order",
-    f"""WITH b AS (SELECT doc_id, list_transform(list_filter({_LINES}, lambda x: x <> ''), lambda x: left(x, 2)) AS r,
-            list_reverse(list_transform(list_filter({_LINES}, lambda x: x <> ''), lambda x: left(x, 2))) AS l FROM documents),
+    f"""WITH b AS (SELECT doc_id, list_filter({_LINES}, lambda x: x <> '') AS r,
+            list_reverse(list_filter({_LINES}, lambda x: x <> '')) AS l FROM documents),
         c AS (SELECT doc_id, r, l, list_filter(l, lambda x: list_contains(r, x)) AS mine FROM b),
         d AS (SELECT doc_id, r, (SELECT list(v ORDER BY p) FROM (SELECT v, min(p) AS p FROM (SELECT unnest(mine) AS v, generate_subscripts(mine, 1) AS p) GROUP BY v)) AS m FROM c)
         SELECT doc_id, len(r) <= 2 OR r = m AS same_order FROM d WHERE len(r) > 0""",
 )
 def heading_order(spark, sf):
     d = table(spark, sf, "documents")
-    heads = F.transform(F.filter(F.split("text", "\n"), lambda x: x != ""), lambda x: F.left(x, F.lit(2)))
+    heads = F.filter(F.split("text", "\n"), lambda x: x != "")
     rows = d.select("doc_id", heads.alias("r"), F.reverse(heads).alias("l")).where(F.size("r") > 0)
     return rows.select("doc_id", audit.same_order(F.col("r"), F.col("l")).alias("same_order"))
 
@@ -313,7 +313,7 @@ def label_gaps(spark, sf):
         F.struct(F.lit("de").alias("lang"), (F.col("p_size") % 11 == 0).alias("ok")),
     )
     docs = part.select(doc.alias("json"), F.inline(langs)).where("ok").select("lang", "json").distinct()
-    return coverage.label_gaps(used, lists.flatten_labels(docs, max_depth=4), ["en", "fr", "de"])
+    return coverage.label_gaps(used, lists.flatten_labels(docs), ["en", "fr", "de"])
 
 
 @query(

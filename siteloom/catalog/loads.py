@@ -58,15 +58,15 @@ def publish_parity(spark, sf):
 
 @query(
     "q20_translation_gaps",
-    """WITH e AS (SELECT doc_id, unnest(['en', 'fr']) AS lang, unnest([left(text, 40), CASE WHEN doc_id % 4 <> 0 THEN left(text, 30) ELSE '' END]) AS value FROM documents),
+    """WITH e AS (SELECT doc_id, unnest(['en', 'fr']) AS lang, unnest([text, CASE WHEN doc_id % 4 <> 0 THEN text ELSE '' END]) AS value FROM documents),
         l AS (SELECT e.* FROM e JOIN labels USING (doc_id) WHERE quality = 1 AND NOT (lang = 'fr' AND doc_id % 5 = 0))
         SELECT doc_id, lang, CASE WHEN doc_id IN (SELECT doc_id FROM l) THEN 'missing_translation' ELSE 'missing_node' END AS kind
         FROM e WHERE value <> '' AND NOT EXISTS (SELECT 1 FROM l WHERE l.doc_id = e.doc_id AND l.lang = e.lang AND l.value <> '')""",
 )
 def translation_gaps(spark, sf):
     values = F.array(
-        F.struct(F.lit("en").alias("lang"), F.left("text", F.lit(40)).alias("value")),
-        F.struct(F.lit("fr").alias("lang"), F.when(F.col("doc_id") % 4 != 0, F.left("text", F.lit(30))).otherwise("").alias("value")),
+        F.struct(F.lit("en").alias("lang"), F.col("text").alias("value")),
+        F.struct(F.lit("fr").alias("lang"), F.when(F.col("doc_id") % 4 != 0, F.col("text")).otherwise("").alias("value")),
     )
     edit = table(spark, sf, "documents").select("doc_id", F.inline(values))
     good = table(spark, sf, "labels").where("quality = 1").select("doc_id")
@@ -254,7 +254,7 @@ def incremental_ingest(spark, sf):
 
 @query(
     "q46_incremental_upserts",
-    """SELECT '/news/' || source || '-' || doc_id AS path, left(text, 20) AS title, n_chars FROM documents WHERE doc_id % 6 <> 0""",
+    """SELECT '/news/' || source || '-' || doc_id AS path, text AS title, n_chars FROM documents WHERE doc_id % 6 <> 0""",
 )
 def incremental_articles(spark, sf):
     schema = table(spark, sf, "documents").schema
@@ -262,7 +262,7 @@ def incremental_articles(spark, sf):
 
     def prepare(batch):
         rows = batch.select(
-            F.concat_ws("-", "source", _s("doc_id")).alias("name"), F.left("text", F.lit(20)).alias("title"), F.lit(None).cast("string").alias("excerpt"),
+            F.concat_ws("-", "source", _s("doc_id")).alias("name"), F.col("text").alias("title"), F.lit(None).cast("string").alias("excerpt"),
             F.lit(None).cast("string").alias("date"), F.lit(None).cast("string").alias("image"), F.array("text").alias("body"),
             (F.col("doc_id") % 6 == 0).alias("done"), "n_chars",
         )
@@ -339,7 +339,6 @@ def start_node_check(spark, sf):
 
 def _manifest(spark, sf):
     """Type manifest over the component classes found in the part pages; a later entry overrides."""
-    part = table(spark, sf, "part").agg(F.count(F.lit(1)).alias("_n"))
     rows = [
         (0, "ns:oldHeading", "page", False, ["TITLE"]),
         (1, "ns:heading", "page", False, ["Title", "hero"]),
@@ -347,8 +346,7 @@ def _manifest(spark, sf):
         (3, "ns:card", "page", False, ["card"]),
         (4, "ns:footer", "absolute", True, ["spacer"]),
     ]
-    m = spark.createDataFrame(rows, "ord int, nodeType string, areaType string, isContainer boolean, sources array<string>")
-    return m.crossJoin(F.broadcast(part)).drop("_n")  # one row
+    return spark.createDataFrame(rows, "ord int, nodeType string, areaType string, isContainer boolean, sources array<string>")
 
 
 @query(
@@ -418,7 +416,7 @@ def article_plan(spark, sf):
 
 @query(
     "q75_article_manifest",
-    """SELECT '/news/doc-' || doc_id AS path, 'T' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS excerpt, left(text, 10) || source AS body,
+    """SELECT '/news/doc-' || doc_id AS path, 'T' || doc_id AS title, CASE WHEN doc_id % 2 = 0 THEN lang ELSE '' END AS excerpt, text || source AS body,
           CASE WHEN doc_id % 3 = 0 THEN '2024-01-0' || (doc_id % 9 + 1) || 'T00:00:00.000' END AS publish_date
         FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 <> 0""",
 )
@@ -429,7 +427,7 @@ def article_manifest(spark, sf):
         F.when(k % 7 != 0, F.concat(F.lit("T"), _s("doc_id"))).alias("title"),
         F.when(k % 2 == 0, F.col("lang")).alias("excerpt"),
         F.when(k % 3 == 0, F.concat(F.lit("2024-01-0"), (k % 9 + 1).cast("string"))).alias("date"),
-        F.array(F.left("text", F.lit(10)), F.col("source")).alias("body"),
+        F.array(F.col("text"), F.col("source")).alias("body"),
         F.when(k % 5 == 0, F.lit(True)).alias("done"),
     )
     doc = table(spark, sf, "documents").select(F.to_json(F.struct(F.lit("b").alias("base"), F.array(entry).alias("articles"))).alias("j"))
@@ -441,7 +439,7 @@ def article_manifest(spark, sf):
     "q76_page_manifest",
     """WITH u AS (SELECT doc_id, 'hero' AS name, 'pageHero' AS node_type, 'H' || doc_id AS heading, NULL AS body, NULL AS overline, NULL AS dark FROM documents WHERE doc_id % 3 = 0
           UNION ALL SELECT doc_id, 'intro', 'introText', 'I', lang, source, NULL FROM documents WHERE doc_id % 2 = 0
-          UNION ALL SELECT doc_id, 'block-' || i, 'editorialBlock', CASE WHEN i = 1 THEN '' ELSE 'B0' END, left(text, 5) || i, NULL, i = 1
+          UNION ALL SELECT doc_id, 'block-' || i, 'editorialBlock', CASE WHEN i = 1 THEN '' ELSE 'B0' END, text || i, NULL, i = 1
             FROM (SELECT *, unnest(generate_series(0, doc_id % 3 - 1)) AS i FROM documents))
         SELECT doc_id::VARCHAR AS page, name, node_type, heading, body, overline, dark FROM u""",
 )
@@ -449,7 +447,7 @@ def page_manifest(spark, sf):
     k = F.col("doc_id")
     block = lambda i: F.struct(
         F.when(i == 1, F.lit(None).cast("string")).otherwise(F.concat(F.lit("B"), i.cast("string"))).alias("heading"),
-        F.array(F.left("text", F.lit(5)), i.cast("string")).alias("body"), F.when(i == 1, True).alias("dark"),
+        F.array(F.col("text"), i.cast("string")).alias("body"), F.when(i == 1, True).alias("dark"),
     )
     n = (k % 3).cast("int")
     doc = F.struct(

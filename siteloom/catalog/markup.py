@@ -59,15 +59,21 @@ def page_slug_host(spark, sf):
 
 @query(
     "q02_link_inventory",
-    f"""WITH a AS (
-          SELECT page_id, lower({HOST}) AS host, {ORIGIN} AS origin,
-                 unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*href="[^"]*"[^>]*>.*?</a>')) AS tag FROM pages),
-        l AS (SELECT page_id, host, origin || regexp_extract(tag, 'href="([^"]*)"', 1) AS target FROM a)
-        SELECT host, target, count(*) AS links, count(DISTINCT page_id) AS pages, false AS is_external
+    f"""WITH p AS (SELECT page_id, lower({HOST}) AS host, {ORIGIN} AS origin, html FROM pages),
+        a AS (SELECT page_id, host, origin, split_part(unnest(string_split(html, '<a href="')[2:]), '"', 1) AS href FROM p
+              UNION ALL SELECT page_id, host, origin, unnest(['/one', '/two-' || page_id % 3, '/three?a=1&b=2', 'https://elsewhere.example/' || page_id % 4]) FROM p),
+        l AS (SELECT page_id, host, CASE WHEN href[1] = '/' THEN origin || href ELSE href END AS target, href[1] <> '/' AS ext FROM a)
+        SELECT host, target, count(*) AS links, count(DISTINCT page_id) AS pages, bool_or(ext) AS is_external
         FROM l GROUP BY host, target""",
 )
 def link_inventory(spark, sf):
-    links = blocks.links(pages(spark, sf))
+    # every page also gets links in other notations, and one that is commented out
+    more = F.format_string(
+        "<a href='/one'>1</a><A class=x HREF=/two-%d>2</A><a href=\"/three?a=1&amp;b=2\">3</a><!-- <a href=\"/no\">x</a> -->"
+        "<a\nhref = \"https://elsewhere.example/%d\"><img src=x></a>", F.col("page_id") % 3, F.col("page_id") % 4,
+    )
+    linked = pages(spark, sf).withColumn("html", F.concat("html", more))
+    links = blocks.links(dom.dom_nodes(linked, keep=("page_id", "url")))
     target = urls.resolve(F.col("url"), F.col("href"))
     rows = links.select("page_id", urls.host(F.col("url")).alias("host"), target.alias("target"), urls.is_external(F.col("href")).alias("_x"))
     return rows.groupBy("host", "target").agg(
@@ -78,9 +84,9 @@ def link_inventory(spark, sf):
 @query(
     "q03_headings_norm",
     f"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-4]\\b[^>]*>(.*?)</h[1-4]>', 1)) AS raw FROM pages),
-        n AS (SELECT page_id, {_hnorm(_unesc("regexp_replace(raw, '<[^>]+>', '', 'g')"))} AS heading FROM h)
+        n AS (SELECT page_id, {_hnorm(_unesc("regexp_replace(raw, '<[^>]+>', ' ', 'g')"))} AS heading FROM h)
         SELECT page_id, heading, length(heading) AS chars FROM n
-        WHERE length(heading) BETWEEN 3 AND 80 GROUP BY page_id, heading""",
+        WHERE length(heading) >= 3 GROUP BY page_id, heading""",
 )
 def headings_norm(spark, sf):
     found = blocks.headings(dom.dom_nodes(pages(spark, sf)))
@@ -113,12 +119,12 @@ _SITES = """all_pages AS (
              ['drupal-settings-json', '/sites/default/files', 'data-drupal', '\\bDrupal\\b'],
              ['/wp-content/', '/wp-json/', '/wp-includes/', 'class="[^"]*\\bwp-'],
              ['/etc\\.clientlibs/', '/content/dam/', '\\bcq:', 'data-sly-', '\\bgranite\\b']] AS sigs, html FROM pages),
-        s AS (SELECT * FROM all_pages QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) <= 8),
+        s AS (SELECT * FROM all_pages),
         x AS (SELECT host, list_sum(list_transform(sigs[1], lambda p: regexp_matches(html, p)::INT))::BIGINT AS a,
                      list_sum(list_transform(sigs[2], lambda p: regexp_matches(html, p)::INT))::BIGINT AS b,
                      list_sum(list_transform(sigs[3], lambda p: regexp_matches(html, p)::INT))::BIGINT AS c,
                      list_sum(list_transform(sigs[4], lambda p: regexp_matches(html, p)::INT))::BIGINT AS d FROM s
-              UNION ALL (SELECT 'shop.example.com', 3, 0, 0, 0 FROM part ORDER BY p_partkey LIMIT 8)),
+              UNION ALL SELECT 'shop.example.com', 3, 0, 0, 0 FROM part),
         g AS (SELECT host, count(*) AS pages, sum(a)::BIGINT AS a, sum(b)::BIGINT AS b, sum(c)::BIGINT AS c, sum(d)::BIGINT AS d FROM x GROUP BY host),
         m AS (SELECT *, greatest(a, b, c, d) AS score FROM g)
         SELECT host, pages, score, CASE WHEN score < 2 THEN 'generic' WHEN score = a THEN 'sitecore-sxa'
@@ -127,7 +133,7 @@ _SITES = """all_pages AS (
 def platform_detect(spark, sf):
     both = table(spark, sf, "pages").unionByName(part_pages(spark, sf).select("page_id", "url", "html"))
     sites = both.withColumn("host", urls.host(F.col("url")))
-    return fingerprint.detect_platform(sites, ["host"], sample=rules.SAMPLE_PAGES)
+    return fingerprint.detect_platform(sites, ["host"])
 
 
 @query(
@@ -236,21 +242,29 @@ def part_dom(spark, sf, keep=("page_id", "url")):
     "q32_component_inventory",
     f"""WITH {_INST}
         SELECT type, count(*) AS instances, count(DISTINCT page_id) AS pages,
-          CASE type WHEN 'title' THEN 'date,titre' WHEN 'picture-grid' THEN 'text,title' WHEN 'rich-text' THEN 'content' ELSE '' END AS fields,
-          '' AS child_types,
+          (CASE type WHEN 'title' THEN 2 WHEN 'picture-grid' THEN 2 * (SELECT max({PART_CARDS}) > 0 FROM part)::INT WHEN 'rich-text' THEN 1 ELSE 0 END)::BIGINT AS fields,
+          0::BIGINT AS child_types,
           CASE type WHEN 'picture-grid' THEN (SELECT max({PART_CARDS}) FROM part) ELSE 0 END::BIGINT AS link_series,
-          CASE type WHEN 'picture-grid' THEN 'link series' END AS hint,
-          array_to_string(list_slice(list_sort(list(DISTINCT page_id)), 1, 8), ',') AS page_sample
+          CASE type WHEN 'picture-grid' THEN 'link series' END AS hint
         FROM inst WHERE type <> 'card' GROUP BY type""",
 )
 def component_inventory(spark, sf):
     found = components.source_components(part_dom(spark, sf))
-    inv = components.component_inventory(cut_lineage(found, "components"))
-    return inv.select(
-        "type", "instances", "pages", F.array_join("fields", ",").alias("fields"),
-        F.array_join("child_types", ",").alias("child_types"), "link_series", "hint",
-        F.array_join(F.col("page_sample").cast("array<string>"), ",").alias("page_sample"),
-    )
+    return components.component_inventory(found).select("type", "instances", "pages", "fields", "child_types", "link_series", "hint")
+
+
+@query(
+    "q32_component_values",
+    f"""WITH {_INST}, v AS (
+          SELECT type, 'page' AS kind, page_id::VARCHAR AS value FROM inst WHERE type <> 'card'
+          UNION ALL SELECT type, 'alias', type FROM inst WHERE type <> 'card'
+          UNION ALL SELECT type, 'field', unnest(['date', 'titre']) FROM inst WHERE type = 'title'
+          UNION ALL SELECT type, 'field', 'content' FROM inst WHERE type = 'rich-text'
+          UNION ALL SELECT 'picture-grid', 'field', unnest(['text', 'title']) FROM part WHERE {PART_CARDS} > 0)
+        SELECT type, kind, value, count(*) AS n FROM v GROUP BY type, kind, value""",
+)
+def component_values(spark, sf):
+    return components.component_values(components.source_components(part_dom(spark, sf))).select("type", "kind", "value", "n")
 
 
 @query(
@@ -408,7 +422,7 @@ def extraction_summary(spark, sf):
     "SELECT p_partkey AS page_id, 1 AS hits, 'javax.jcr.PathNotFoundException: /x/' || p_partkey || ' --' || '>' AS marker FROM part WHERE p_partkey % 50 = 0",
 )
 def error_markers(spark, sf):
-    return blocks.error_markers(part_pages(spark, sf)).select("page_id", "hits", F.col("markers")[0].alias("marker"))
+    return blocks.error_markers(part_pages(spark, sf)).select("page_id", "hits", F.array_join("markers", "|").alias("marker"))
 
 
 @query(
@@ -418,7 +432,7 @@ def error_markers(spark, sf):
         SELECT p_partkey, replace(replace(regexp_extract(path, '([^/]*)$', 1), '%20', '-'), '+', '-') || CASE WHEN e = 3 THEN '.img' ELSE '' END AS file,
           CASE e WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/svg+xml' WHEN 4 THEN 'image/webp' WHEN 5 THEN 'image/gif' ELSE 'image/jpeg' END AS mime,
           lower(replace(replace(regexp_extract(path, '([^/]*)$', 1), '%', '-'), '+', '-')) || CASE WHEN e = 3 THEN '.jpg' ELSE '' END AS upload,
-          'https://cdn.example:8443/' AS referer, left(regexp_replace(lower(p_name || ' ' || p_partkey || '!'), '[^a-z0-9-]', '-', 'g'), 60) AS node_name,
+          'https://cdn.example:8443/' AS referer, regexp_replace(lower(p_name || ' ' || p_partkey || '!'), '[^a-z0-9-]', '-', 'g') AS node_name,
           e <> 3 AS is_image, 300 + p_partkey % 7 AS width FROM u""",
 )
 def file_names(spark, sf):
@@ -439,13 +453,13 @@ def file_names(spark, sf):
 @query(
     "q82_text_functions",
     f"""SELECT doc_id, length({_clean('text')}) AS clean_len, md5(lower({_clean('text')})) AS norm_md5,
-          left(text, 255) AS title_255, {_hnorm('left(text, 120)')} AS heading FROM documents""",
+          left(text, 255) AS title_255, md5({_hnorm('text')}) AS heading_md5 FROM documents""",
 )
 def text_functions(spark, sf):
     body = F.col("text")
     return texts(spark, sf).select(
         "doc_id", F.length(text.clean(body)).alias("clean_len"), F.md5(text.norm(body)).alias("norm_md5"),
-        text.truncate(body, 255).alias("title_255"), text.heading_norm(F.left(body, F.lit(120))).alias("heading"),
+        text.truncate(body, 255).alias("title_255"), F.md5(text.heading_norm(body)).alias("heading_md5"),
     )
 
 

@@ -3,7 +3,6 @@
 # --- images ------------------------------------------------------------------------------
 IMAGE_EXT = r"(?i)\.(png|jpe?g|webp|gif|svg|avif)(\?|$)"
 LAZY_ATTRS = ["src", "data-src", "data-original", "data-lazy-src"]
-STYLE_TEXT_LIMIT = 200000
 
 # ordered: the first needle found decides
 ROLE_HINTS = [
@@ -72,7 +71,7 @@ BLOCK_CLASS = r'(?i)class="[^"]*(block|section|card|hero|grid)'
 ERROR_MARKERS = (
     r"(?i)(?:node type does not exist|invalidqueryexception|repositoryexception|"
     r"pathnotfoundexception|itemnotfoundexception|javax\.jcr\.[a-z]+exception|"
-    r"error rendering [^<]{0,60})[^<]{0,90}"
+    r"error rendering [^<]*)[^<]*"
 )
 
 # --- source platforms: ordered, ties go to the earlier one -----------------------------------
@@ -83,7 +82,6 @@ SIGNATURES = [
     ("aem", [r"/etc\.clientlibs/", r"/content/dam/", r"\bcq:", r"data-sly-", r"\bgranite\b"]),
 ]
 MIN_SIGNATURE_HITS = 2
-SAMPLE_PAGES = 8
 
 # --- fetching ----------------------------------------------------------------------------
 CHALLENGE = (
@@ -118,11 +116,6 @@ GATE_IMAGE_PROPERTIES = [
     "thumbnailImage",
 ]
 AREA_NAMES = [("mainNav", "nav"), ("footer", "footer"), ("topBar", "topBar")]
-TEXT_LIMIT = 5000
-SUMMARY_LIMIT = 2000
-TITLE_LIMIT = 255
-LABEL_LIMIT = 120
-NODE_NAME_LIMIT = 60
 
 # --- style sheets ------------------------------------------------------------------------
 CSS_BLOCK = r"\{([^{}]*)\}"

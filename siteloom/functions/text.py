@@ -71,15 +71,21 @@ def unescape(c: Column) -> Column:
     return c
 
 
+def unescape_all(c: Column) -> Column:
+    """Every entity, numeric ones included; only texts with an ampersand go to Python."""
+    return F.when(F.contains(c, F.lit("&")), unescape_exact(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
+
+
 @F.pandas_udf(StringType())
 def unescape_exact(s: pd.Series) -> pd.Series:
     """Every HTML5 entity; Arrow batches, for corpora where the common list is not enough."""
     return s.map(html.unescape, na_action="ignore")
 
 
-def visible_text(c: Column, exact: bool = False) -> Column:
+def visible_text(c: Column, exact: bool = True) -> Column:
+    """Text between the tags; without ``exact`` only the common named entities are decoded."""
     stripped = strip_tags(c)
-    return clean(unescape_exact(stripped) if exact else unescape(stripped))
+    return clean(unescape_all(stripped) if exact else unescape(stripped))
 
 
 def _fold(c: Column, keep: str) -> Column:
@@ -133,9 +139,9 @@ def truncate(c: Column, n: int) -> Column:
     return F.left(c, F.lit(n))
 
 
-def title_clean(c: Column, fallback: Column, limit: int = 255) -> Column:
+def title_clean(c: Column, fallback: Column, limit: int | None = None) -> Column:
     joined = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s*\|\s*", " "))
-    return F.coalesce(F.nullif(truncate(joined, limit), F.lit("")), fallback)
+    return F.coalesce(F.nullif(truncate(joined, limit) if limit else joined, F.lit("")), fallback)
 
 
 def join_fragments(c: Column) -> Column:

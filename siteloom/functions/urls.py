@@ -99,8 +99,10 @@ def upload_name(url: Column) -> Column:
     return F.when(name.contains("."), name).otherwise(F.concat(name, F.lit(".jpg")))
 
 
-def node_name(c: Column) -> Column:
-    return F.left(F.regexp_replace(F.lower(c), "[^a-z0-9-]", "-"), F.lit(rules.NODE_NAME_LIMIT))
+def node_name(c: Column, limit: int | None = None) -> Column:
+    """Name of a node; ``limit`` cuts it, at the price that long names may fall together."""
+    name = F.regexp_replace(F.lower(c), "[^a-z0-9-]", "-")
+    return F.left(name, F.lit(limit)) if limit else name
 
 
 def _squash_dots(path: Column) -> Column:

@@ -45,32 +45,36 @@ def content_blocks(dom: DataFrame, keys: tuple[str, ...] = ("page_id",), min_cha
     )
 
 
-def headings(dom: DataFrame, keys: tuple[str, ...] = ("page_id",), tags=("h1", "h2", "h3", "h4")) -> DataFrame:
-    """Distinct normalised headings of 3-80 characters with their first position."""
-    rows = dom.where(F.col("tag").isin(*tags)).select(
-        *keys, "seq", text.heading_norm(F.col("text")).alias("heading")
+def headings(
+    dom: DataFrame, keys: tuple[str, ...] = ("page_id",), tags=("h1", "h2", "h3", "h4"), min_chars: int = 3, max_chars: int | None = None
+) -> DataFrame:
+    """Distinct normalised headings of the main region (else the body) with their first position.
+
+    Shorter ones than ``min_chars`` say nothing; ``max_chars`` leaves out long ones where that is wanted.
+    """
+    rows = dom.where(F.col("tag").isin(*tags) & F.col("main")).select(
+        *keys, "seq", text.heading_norm(F.col("spaced")).alias("heading")
     )
-    rows = rows.where(F.length("heading").between(3, 80))
+    size = F.length("heading")
+    rows = rows.where((size >= min_chars) & (size <= max_chars) if max_chars else size >= min_chars)
     return rows.groupBy(*keys, "heading").agg(F.min("seq").alias("seq"))
 
 
-def links(html_pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """Anchor rows straight from the text, without a Python worker."""
-    pattern = r'(?is)(<a\s[^>]*href="[^"]*"[^>]*>.*?</a>)'
-    found = html_pages.select(
-        *keep, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))).alias("pos", "_a")
-    )
-    return found.select(
-        *keep,
-        "pos",
-        F.regexp_extract("_a", r'(?i)href="([^"]*)"', 1).alias("href"),
-        text.visible_text(F.col("_a")).alias("text"),
+def links(dom: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+    """(keep, pos, href, text) of every anchor with a target, however it is quoted; none from comments."""
+    href = F.col("attrs")["href"]
+    return dom.where((F.col("tag") == "a") & href.isNotNull()).select(
+        *keep, F.col("seq").alias("pos"), F.trim(href).alias("href"), text.clean(F.col("spaced")).alias("text")
     )
 
 
-def error_markers(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",), first: int = 3) -> DataFrame:
-    """Repository and rendering errors left in the markup, comments included."""
-    hits = F.regexp_extract_all(F.col(html), F.lit(f"({rules.ERROR_MARKERS})"), F.lit(1))
-    return pages.select(*keep, hits.alias("_hits")).where(F.size("_hits") > 0).select(
-        *keep, F.size("_hits").alias("hits"), F.slice("_hits", 1, first).alias("markers")
+def error_markers(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id",), extra: tuple[str, ...] = ()) -> DataFrame:
+    """Repository and rendering errors left in the markup, comments included, each up to the next tag.
+
+    ``extra`` holds further patterns, such as a vendor's own exceptions.
+    """
+    pattern = "|".join([rules.ERROR_MARKERS, *[f"(?:{p})[^<]*" for p in extra]])
+    hits = F.regexp_extract_all(F.col(html), F.lit(f"({pattern})"), F.lit(1))
+    return pages.select(*keep, hits.alias("markers")).where(F.size("markers") > 0).select(
+        *keep, F.size("markers").alias("hits"), "markers"
     )

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import rules, text, urls
 from .dom import field_names, semantic_class
 from .joins import skew_join
-from .ranking import top_n
 
 
 def _image(src: Column, alt: Column, seq: Column) -> Column:
@@ -47,7 +46,7 @@ def component_instances(
     names = field_names(F.col("classes"), field_prefix)
     is_img = (F.col("tag") == "img") & urls.is_image(src)
     is_link = (F.col("tag") == "a") & (F.coalesce(attr["href"], F.lit("")) != "")
-    value = text.clean(F.col("text"))
+    value = text.clean(F.col("spaced"))
     facts = dom.select(
         key,
         F.when(marked, F.col("seq")).otherwise(F.col("owner")).alias("idx"),
@@ -199,63 +198,47 @@ def source_components(
     )
 
 
-def component_inventory(components: DataFrame, key: str = "page_id", sample: int = 8) -> DataFrame:
-    """One row per component type, most frequent first. Reads its input twice: pass a stored table.
+def component_values(components: DataFrame, key: str = "page_id") -> DataFrame:
+    """(type, kind, value, n, links, list_items, at): each page, field, child type, alias and icon of a type, once.
 
-    Names and pages are reduced to distinct (type, kind, value) rows first, so a list is as long as
-    a type's vocabulary, never as its number of instances; the page sample is cut to ``sample``
-    rows per task before its shuffle.
+    Rows, not lists: a type's pages and vocabulary may be of any length.
     """
 
     def named(kind: str, column: str) -> Column:
         return F.transform(column, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
 
-    entries = F.concat(
-        F.array(
-            F.struct(F.lit("row").alias("kind"), F.lit("").alias("value")),
-            F.struct(F.lit("page").alias("kind"), F.col(key).cast("string").alias("value")),
-        ),
-        named("field", "fields"), named("child", "children"), named("alias", "aliases"), named("icon", "icons"),
-    )
-    first = F.struct(key, "idx")
-    flat = components.select("type", "links", "list_items", first.alias("_at"), F.inline(entries))
-    level = flat.groupBy("type", "kind", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.max("links").alias("links"), F.max("list_items").alias("list_items"), F.min("_at").alias("_at")
+    page = F.array(F.struct(F.lit("page").alias("kind"), F.col(key).cast("string").alias("value")))
+    entries = F.concat(page, named("field", "fields"), named("child", "children"), named("alias", "aliases"), named("icon", "icons"))
+    flat = components.select("type", "links", "list_items", F.struct(key, "idx").alias("at"), F.inline(entries))
+    return flat.groupBy("type", "kind", "value").agg(
+        F.count(F.lit(1)).alias("n"), F.max("links").alias("links"), F.max("list_items").alias("list_items"), F.min("at").alias("at")
     )
 
-    def names(kind: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value"))))
 
-    out = level.groupBy("type").agg(
-        F.max(F.when(F.col("kind") == "row", F.col("n"))).alias("instances"),
-        F.count_if(F.col("kind") == "page").alias("pages"),
+def component_inventory(components: DataFrame, key: str = "page_id") -> DataFrame:
+    """One row per component type, most frequent first: instances, and how many pages, fields, child types,
+    aliases and icons. ``component_values`` names these."""
+    kind = F.col("kind")
+    icon = (kind == "icon") & (F.col("value").startswith("fa-brand") | F.col("value").isin(rules.BRAND_ICONS))
+    out = component_values(components, key).groupBy("type").agg(
+        F.sum(F.when(kind == "page", F.col("n"))).alias("instances"),
+        F.count_if(kind == "page").alias("pages"),
         F.max("links").alias("link_series"),
         F.max("list_items").alias("list_items"),
-        names("field").alias("fields"),
-        names("child").alias("child_types"),
-        names("alias").alias("aliases"),
-        names("icon").alias("icons"),
-        F.min("_at").alias("_first"),
+        F.count_if(kind == "field").alias("fields"),
+        F.count_if(kind == "child").alias("child_types"),
+        F.count_if(kind == "alias").alias("aliases"),
+        F.count_if(kind == "icon").alias("icons"),
+        F.bool_or(icon).alias("_branded"),
+        F.min("at").alias("_first"),
     )
-    pages = (
-        top_n(components.select("type", key).distinct(), ["type"], [key], sample)
-        .groupBy("type")
-        .agg(F.array_sort(F.collect_list(key)).alias("page_sample"))
-    )
-    branded = F.exists("icons", lambda i: i.startswith("fa-brand") | i.isin(rules.BRAND_ICONS))
     hint = (
-        F.when((F.col("link_series") >= 3) & branded, "social link series")
+        F.when((F.col("link_series") >= 3) & F.col("_branded"), "social link series")
         .when(F.col("link_series") >= 3, "link series")
-        .when((F.col("list_items") >= 3) & (F.size("child_types") == 0), "repeating list items")
-    )
-    return (
-        out.join(pages, "type")
-        .withColumn("is_container", F.size("child_types") > 0)
-        .withColumn("hint", hint)
-        .withColumn("icons", F.slice("icons", 1, 6))
-        .orderBy(F.desc("instances"), "_first")
-        .drop("_first")
+        .when((F.col("list_items") >= 3) & (F.col("child_types") == 0), "repeating list items")
     )
+    out = out.withColumn("is_container", F.col("child_types") > 0).withColumn("hint", hint)
+    return out.orderBy(F.desc("instances"), "_first").drop("_first", "_branded")
 
 
 def extraction_totals(instances: DataFrame, key: str = "page_id") -> DataFrame:

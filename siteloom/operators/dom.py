@@ -18,7 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ELEMENT = (
     "struct<seq:int,end_seq:int,depth:int,parent:int,owner:int,component:int,chrome:boolean,"
-    "tag:string,classes:array<string>,attrs:map<string,string>,text:string>"
+    "tag:string,classes:array<string>,attrs:map<string,string>,text:string,spaced:string,main:boolean>"
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = set(
@@ -37,7 +37,7 @@ _TEXT = {*rules.HEADING_TAGS, *rules.TEXT_TAGS, "a", "title", "option", "style"}
 
 # a tag (quotes count only after '='), a comment, or a declaration
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)>",
+    r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?)*+)>",
     re.S,
 )
 _ATTR = re.compile(r"([^\s=/>\"'][^\s=/>]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
@@ -45,7 +45,7 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style")}
 
 # positions inside a row while a page is being read
 _SEQ, _END, _DEPTH, _PARENT, _OWNER, _COMPONENT, _IN_CHROME, _TAG, _CLASSES, _ATTRS, _OWN_TEXT = range(11)
-_MARK, _FROM, _UPTO = 11, 12, 13
+_SPACED, _MAIN, _MARK, _FROM, _UPTO, _FROM_CHUNK, _UPTO_CHUNK = range(11, 18)
 
 
 def outline(doc: str, primary: str, veto: str, items: frozenset) -> list[list]:
@@ -53,12 +53,12 @@ def outline(doc: str, primary: str, veto: str, items: frozenset) -> list[list]:
     rows: list[list] = []
     stack: list[list] = []
     chunks: list[str] = []
-    size = 0
+    size = seen = 0
 
     def close(depth):
         for row in stack[depth:]:
             row[_END] = len(rows) - 1
-            row[_UPTO] = size
+            row[_UPTO], row[_UPTO_CHUNK] = size, len(chunks)
         del stack[depth:]
 
     def close_nearest(tags, stop):
@@ -103,10 +103,13 @@ def outline(doc: str, primary: str, veto: str, items: frozenset) -> list[list]:
         classes = attrs["class"].split() if "class" in attrs else []
         parent = owner = component = None
         chrome = tag in _CHROME
+        regions = 1 if tag == "main" else 2 if tag == "body" else 0
+        seen |= regions
         if stack:
             top = stack[-1]
             parent, owner, component = top[_SEQ], top[_OWNER], top[_COMPONENT]
             chrome = chrome or top[_IN_CHROME]
+            regions |= top[_MAIN]
             if top[_MARK]:
                 owner = parent
                 if top[_MARK] == 1:
@@ -118,7 +121,7 @@ def outline(doc: str, primary: str, veto: str, items: frozenset) -> list[list]:
             elif component is not None and not items.isdisjoint(classes):
                 mark = 2
         seq = len(rows)
-        row = [seq, seq, len(stack), parent, owner, component, chrome, tag, classes, attrs, None, mark, size, size]
+        row = [seq, seq, len(stack), parent, owner, component, chrome, tag, classes, attrs, None, None, regions, mark, size, size, len(chunks), len(chunks)]
         rows.append(row)
         if tag in _VOID or (body.endswith("/") and body[-2:-1] in _BEFORE_SLASH):
             continue
@@ -131,12 +134,16 @@ def outline(doc: str, primary: str, veto: str, items: frozenset) -> list[list]:
             at = end.end() if end else len(doc)
             close(len(stack) - 1)
     close(0)
-    page = "".join(chunks)
+    page, apart = "".join(chunks), " ".join(chunks)
+    wanted = seen & 1 or seen & 2
     for row in rows:
+        row[_MAIN] = bool(row[_MAIN] & wanted) if wanted else True
         if row[_OWN_TEXT] is None and (
             row[_TAG] in _TEXT or any(c.startswith(_FIELD) for c in row[_CLASSES])
         ):
             row[_OWN_TEXT] = page[row[_FROM] : row[_UPTO]]
+            # each chunk before is followed by one blank there
+            row[_SPACED] = apart[row[_FROM] + row[_FROM_CHUNK] : row[_UPTO] + row[_UPTO_CHUNK]]
     return rows
 
 
@@ -162,10 +169,12 @@ def _to_arrow(pages: list[list[list]]) -> pa.Array:
                 pa.array(offs, pa.int32()), pa.array(keys, pa.string()), pa.array(vals, pa.string())
             ),
             pa.array([r[10] for r in rows], pa.string()),
+            pa.array([r[11] for r in rows], pa.string()),
+            pa.array([r[12] for r in rows], pa.bool_()),
         ],
         names=[
             "seq", "end_seq", "depth", "parent", "owner", "component", "chrome", "tag", "classes",
-            "attrs", "text",
+            "attrs", "text", "spaced", "main",
         ],
     )
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), element)
@@ -181,7 +190,9 @@ def parse(
 
     ``owner`` is the nearest enclosing component or item, ``component`` the nearest enclosing
     component, both found on the way so that no containment join is needed later. ``text`` is the
-    element's own subtree text, kept for headings, text blocks, links, titles, options and fields.
+    element's own subtree text, kept for headings, text blocks, links, titles, options and fields;
+    ``spaced`` is the same with a blank between the pieces of adjacent elements. ``main``: the element
+    lies in a main element; on a page without one in the body; without either anywhere.
     """
     markers = frozenset(items)
 

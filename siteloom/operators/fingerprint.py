@@ -17,10 +17,13 @@ def fingerprint(
     region: str = "main",
     fallback: str | None = None,
     keep: tuple[str, ...] = ("page_id",),
-    max_headings: int = 12,
-    exact: bool = False,
+    max_headings: int | None = None,
+    exact: bool = True,
 ) -> DataFrame:
-    """Text length, image counts by source, first headings, block count; narrow, no shuffle."""
+    """Text length, image counts by source, headings, block count; narrow, no shuffle.
+
+    ``max_headings`` keeps the first so many, for a preview; all by default.
+    """
     doc = text.region(F.col(html), region, fallback)
     base = pages.select(*keep, doc.alias("_doc"))
     imgs = F.regexp_extract_all("_doc", F.lit(r"(?i)(<img\b[^>]*>)"), F.lit(1))
@@ -39,7 +42,7 @@ def fingerprint(
         *keep,
         F.length(text.visible_text(F.col("_doc"), exact)).alias("text_len"),
         kinds.alias("_kinds"),
-        F.slice(h2, 1, max_headings).alias("h2"),
+        (F.slice(h2, 1, max_headings) if max_headings else h2).alias("h2"),
         F.regexp_count("_doc", F.lit(rules.BLOCK_CLASS)).alias("blocks"),
     ).select(
         *keep,

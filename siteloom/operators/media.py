@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import rules, text, urls
+from ..functions import rules, urls
 
 
 def media_hits(dom: DataFrame, keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -51,7 +51,7 @@ def media_hits(dom: DataFrame, keys: tuple[str, ...] = ("page_id", "url")) -> Da
         )
 
     sheet = F.when(
-        (tag == "style") & (F.length("text") < rules.STYLE_TEXT_LIMIT),
+        tag == "style",
         F.filter(urls.css_urls(F.col("text")), lambda u: u.rlike(rules.IMAGE_EXT)),
     )
     hits = F.concat(
@@ -79,11 +79,17 @@ def best_variant(hits: DataFrame, keys: list[str], width: str, order: list[str])
     )
 
 
-def media_refs(dom: DataFrame, key: str = "page_id", base: str = "url") -> DataFrame:
-    """(key, seq, src, file, role, alt, kind, width) per page and file, largest variant kept."""
+def media_refs(dom: DataFrame, key: str = "page_id", base: str = "url", origin: str | None = None) -> DataFrame:
+    """(key, seq, src, file, role, alt, kind, width) per page and file, largest variant kept.
+
+    A reference is resolved against the page's address; on a page without one against ``origin``
+    (``corpus_origin``), and without that it stays as it is written.
+    """
     # resolving keeps the end of a reference, so the extension test can run on the short form first
     hits = media_hits(dom, (key, base)).where(F.col("src").rlike(rules.IMAGE_EXT))
-    rows = hits.withColumn("src", urls.resolve(F.col(base), F.col("src")))
+    own = F.nullif(F.col(base), F.lit(""))
+    own = F.coalesce(own, F.lit(origin.rstrip("/") + "/")) if origin else own
+    rows = hits.withColumn("src", F.coalesce(urls.resolve(own, F.col("src")), F.col("src")))
     rows = rows.select(
         key,
         urls.filename_for(F.col("src")).alias("file"),
@@ -148,7 +154,3 @@ def url_image_references(nodes: DataFrame, pairs: DataFrame, root: str) -> DataF
     rows = nodes.where(F.col("path").startswith(root.rstrip("/") + "/")).join(pairs, "primary_type")
     url = F.col("props")[F.col("url_field")]
     return rows.where(url.isNotNull()).select("path", "primary_type", "url_field", "ref_field", url.alias("url"))
-
-
-def clean_alt(c: Column) -> Column:
-    return text.clean(c)

@@ -2,39 +2,35 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..session import cut_lineage
 from .joins import hot_keys, skew_join
 
 
-def type_closure(type_edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def type_closure(type_edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(type, ancestor, depth) over ``type_edges(name, supertype)``, each type being its own ancestor.
 
-    Declarations are schema, not data: a recursive query over their distinct edges. A path never
-    visits a type twice, so cycles end.
+    Declarations are schema, not data. Each step adds the distinct pairs one level up that were not
+    known before, until there is none (or ``max_depth`` levels): work grows with the pairs, not with
+    the paths between them, and cycles end.
     """
-    spark = type_edges.sparkSession
-    view = f"siteloom_type_edges_{uuid.uuid4().hex}"
-    edges = type_edges.select("name", "supertype").where("supertype IS NOT NULL").distinct()
-    edges.createOrReplaceTempView(view)
-    names = type_edges.select(F.explode(F.array("name", "supertype")).alias("t")).where("t IS NOT NULL").distinct()
-    names.createOrReplaceTempView(f"{view}_names")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up(t, ancestor, depth, trail) MAX RECURSION LEVEL {max_depth} AS (
-            SELECT t, t, 0, array(t) FROM {view}_names
-            UNION ALL
-            SELECT up.t, e.supertype, up.depth + 1, array_append(up.trail, e.supertype)
-            FROM up JOIN {view} e ON e.name = up.ancestor
-            WHERE NOT array_contains(up.trail, e.supertype)
-        )
-        SELECT t AS type, ancestor, min(depth) AS depth FROM up GROUP BY t, ancestor
-        """
-    )
+    edges = type_edges.select("name", "supertype").where("supertype IS NOT NULL AND name IS NOT NULL").distinct()
+    edges = cut_lineage(edges, "type-edges")
+    names = type_edges.select(F.explode(F.array("name", "supertype")).alias("type")).where("type IS NOT NULL").distinct()
+    known = cut_lineage(names.select("type", F.col("type").alias("ancestor"), F.lit(0).alias("depth")), "closure")
+    last, depth = known, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        up = last.join(edges, F.col("ancestor") == F.col("name")).select("type", F.col("supertype").alias("ancestor")).distinct()
+        last = up.join(known.select("type", "ancestor"), ["type", "ancestor"], "left_anti").withColumn("depth", F.lit(depth))
+        last = cut_lineage(last, "closure")
+        if last.isEmpty():
+            break
+        known = known.unionByName(last)
+    return known
 
 
 def of_type(nodes: DataFrame, closure: DataFrame, wanted: str, type_col: str = "primary_type") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dates, rules, text, urls
+from ..functions import dates, text, urls
 from ..operators.joins import tiered_lookup
 from ..session import cut_lineage
 
@@ -26,10 +26,12 @@ def article_core(
     body_types: tuple[str, ...] = ("content", "rich-text"),
     key: str = "page_id",
     slug: str | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """(key, title, publish_date, date, summary, location, body, hero_file, hero_alt) per page.
 
-    One grouping by page. ``field_map`` names the source field of each property.
+    One grouping by page. ``field_map`` names the source field of each property; ``limit`` cuts title,
+    summary and location for a store that cannot hold more.
     """
     fields = F.col("fields")
 
@@ -59,14 +61,15 @@ def article_core(
         *extra,
     )
     fallback = F.col("_slug") if slug else F.col(key).cast("string")
-    titled = pages.withColumn("title", text.title_clean(F.col("_h.title"), fallback, rules.TITLE_LIMIT))
+    titled = pages.withColumn("title", text.title_clean(F.col("_h.title"), fallback, limit))
     frags = F.filter(
         F.transform("_parts", lambda p: body_fragment(p["t"], p["d"], F.col("title"))), lambda x: x != ""
     )
     body = F.array_join(frags, "\n")
 
     def short(c: str) -> Column:
-        return F.nullif(text.truncate(F.trim(F.col(c)), rules.SUMMARY_LIMIT), F.lit(""))
+        whole = F.trim(F.col(c))
+        return F.nullif(text.truncate(whole, limit) if limit else whole, F.lit(""))
 
     return titled.select(
         key,

@@ -80,9 +80,7 @@ def load_plan(
 
     none = F.array().cast("array<string>")
     paths = F.coalesce(F.transform("_pics", lambda p: p["target_path"]), none)
-    vals = F.transform(
-        F.filter(F.map_values("fields"), lambda v: F.trim(v) != ""), lambda v: F.left(F.trim(v), F.lit(rules.TEXT_LIMIT))
-    )
+    vals = F.transform(F.filter(F.map_values("fields"), lambda v: F.trim(v) != ""), lambda v: F.trim(v))
     image_props = zipped(_image_names(F.col("weakref")), paths)
     text_props = zipped(F.col("text"), vals)
     has = lambda p: F.array_contains("names", p)
@@ -98,9 +96,13 @@ def load_plan(
         optional(
             "ctaLabel",
             link.isNotNull() & has("ctaLabel") & ~F.map_contains_key(text_props, "ctaLabel"),
-            F.left(F.coalesce(link["text"], F.lit("")), F.lit(rules.LABEL_LIMIT)),
+            F.coalesce(link["text"], F.lit("")),
+        ),
+        optional(
+            "linkType",
+            link.isNotNull() & has("linkType") & link["href"].startswith("http") & ~F.map_contains_key(text_props, "linkType"),
+            F.lit("external"),
         ),
-        optional("linkType", link.isNotNull() & has("linkType") & link["href"].startswith("http"), F.lit("external")),
     ]
     staged = rows.select(
         page, "idx", "parent", "node_type", "is_container",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,22 +38,35 @@ def build_session(app: str = "siteloom", master: str | None = None, **conf: str)
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings to a session somebody else created."""
-    for key, value in SQL_DEFAULTS.items():
-        spark.conf.set(key, value)
+    """What the registered queries need of a session somebody else created: UTC, and no second parse."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rule, key = SQL_DEFAULTS["spark.sql.optimizer.excludedRules"], "spark.sql.optimizer.excludedRules"
+    own = spark.conf.get(key, "") or ""
+    if rule not in own:
+        spark.conf.set(key, ",".join(filter(None, [own, rule])))
     return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the cluster's own, or a local one in tests only."""
+    """Shared folder for intermediate tables: the one the cluster names, else below the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    root = tempfile.mkdtemp(prefix="siteloom-")
-    spark.sparkContext.setCheckpointDir(root)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
+        if spark.sparkContext.applicationId not in _cleaned:
+            _cleaned.add(spark.sparkContext.applicationId)
+            atexit.register(_quiet_drop, spark)
+    return root.rstrip("/")
+
+
+_cleaned: set[str] = set()
+
+
+def _quiet_drop(spark: SparkSession) -> None:
+    """Stages below the warehouse go with the program; a stopped session has nothing left to ask."""
+    try:
+        drop_stages(spark)
+    except Exception:  # noqa: BLE001  the JVM may be gone
+        return
 
 
 def stage_folder(spark: SparkSession) -> str:

@@ -56,12 +56,23 @@ def property_labels(lines: DataFrame, lang: str) -> DataFrame:
     )
 
 
-def flatten_labels(docs: DataFrame, column: str = "json", keep: tuple[str, ...] = ("lang",), max_depth: int = 16) -> DataFrame:
+def flatten_labels(docs: DataFrame, column: str = "json", keep: tuple[str, ...] = ("lang",)) -> DataFrame:
     """(keep, key, value): nested dictionaries -> dotted leaf keys.
 
-    Each level explodes the objects and sets the leaves aside. An object nested deeper than
-    ``max_depth`` stays a leaf with its JSON text.
+    Each level explodes the objects and sets the leaves aside, as many times as the deepest text
+    has open braces.
     """
+    outside = F.regexp_replace(F.regexp_replace(F.col(column), r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}]+", "")
+    nested = F.aggregate(
+        F.split(outside, ""),
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda a, c: F.struct(
+            (a["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"),
+            F.greatest(a["most"], a["now"] + F.when(c == "{", 1).otherwise(0)).alias("most"),
+        ),
+        lambda a: a["most"],
+    )
+    max_depth = docs.agg(F.max(nested)).first()[0] or 0
     level = docs.select(*keep, F.lit("").alias("key"), F.try_parse_json(F.col(column)).alias("v"))
     exploded = level
     for _ in range(max_depth):

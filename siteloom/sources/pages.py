@@ -46,7 +46,7 @@ def captured_pages(spark: SparkSession, curated: str | None, crawl: str | None)
     return parts[0].unionByName(parts[1].join(parts[0].select("slug"), "slug", "left_anti"))
 
 
-def sample_pages(pages: DataFrame, by: list[str], order: str = "page_id", n: int = rules.SAMPLE_PAGES) -> DataFrame:
+def sample_pages(pages: DataFrame, by: list[str], order: str = "page_id", n: int = 8) -> DataFrame:
     """First ``n`` pages per site, by a stated order."""
     return top_n(pages, by, [order], n)
 

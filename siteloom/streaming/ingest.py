@@ -34,10 +34,13 @@ def incremental_pages(
     order: str = "page_id",
     force: bool = False,
     trigger: dict | None = None,
+    html: str = "html",
+    status: str | None = None,
 ) -> StreamingQuery:
-    """Append pages whose key is not stored yet.
+    """Append good pages whose key is not stored yet.
 
-    Within a batch the first page per key (by ``order``) is kept; against the store an anti join on
+    A capture that is empty, a challenge page or, where ``status`` names a column, a blocked or failed
+    response is not stored, so a later good one of the same address still can be. Within a batch the first page per key (by ``order``) is kept; against the store an anti join on
     the key decides, so no streaming state grows. Each batch writes its own folder and overwrites
     only that, and looks up only earlier batches, so a replayed batch gives the same result.
     ``force`` stores one page per key of every batch, stored or not. ``store`` and ``checkpoint``
@@ -47,11 +50,18 @@ def incremental_pages(
 
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.withColumn("cache_key", key)
-        rows = pick(rows, ["cache_key"], [order])
+        good = (F.length(F.trim(html)) > 0) & ~urls.is_challenge(F.col(html))
+        if status:
+            code = F.coalesce(F.col(status), F.lit(200))
+            good = good & ~urls.is_block_status(code) & (code < 400)
+        rows = batch.where(good).withColumn("cache_key", key)
         if not force and batch_id > 0 and _exists(spark, store):
             seen = spark.read.option("basePath", store).parquet(store).where(F.col("batch") < batch_id)
             rows = rows.join(seen.select("cache_key"), "cache_key", "left_anti")
+        # the narrow keys choose, then the chosen rows are kept
+        first = rows.groupBy("cache_key").agg(F.min(order).alias("_first")).withColumnRenamed("cache_key", "_key")
+        rows = rows.join(first, (F.col("cache_key") == F.col("_key")) & (F.col(order) == F.col("_first")), "left_semi")
+        rows = rows.dropDuplicates(["cache_key"])
         rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     return (

@@ -107,6 +107,22 @@ def test_incremental_pages_equal_batch(spark, tmp_path):
     assert rows(spark.read.parquet(store).select("page_id"), "page_id") == [(1,), (3,), (5,), (6,), (8,)]
 
 
+def test_ingest_rejects_bad_captures(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    schema = put_pages(spark, src, "1.parquet", [(1, "https://h/a", ""), (2, "https://h/b", "<title>Just a moment...</title>")])
+    put_pages(spark, src, "2.parquet", [(3, "https://h/a", "good"), (4, "https://h/b", "good")])
+    stream = ingest.page_stream(spark, str(src), schema, per_trigger=1)
+    ingest.incremental_pages(stream, str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "s")).select("page_id"), "page_id") == [(3,), (4,)]
+
+
+def test_labels_of_any_depth(spark):
+    deep = '{"k' + '":{"k'.join(str(i) for i in range(20)) + '":"v"' + "}" * 20
+    got = rows(lists.flatten_labels(spark.createDataFrame([("en", deep), ("fr", '{"a{":"}{"}')], "lang string, json string")), "lang")
+    assert got == [("en", ".".join(f"k{i}" for i in range(20)), "v"), ("fr", "a{", "}{")]
+
+
 def test_forced_ingest_keeps_everything_new(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

@@ -239,3 +239,14 @@ def test_load_plan_nests_and_skips(spark):
     assert got[1].parent_path == "/home/main/grid-home-0" and got[3].parent_path == "/home/main"
     assert got[1].props == {"heading": "T", "image": "/dam/x", "imageAltText": "image", "ctaLabel": "go", "linkType": "external"}
     assert got[1].node_path == "/home/main/grid-home-0/card-home-1"
+
+
+def test_layered_inheritance_counts_pairs_not_paths(spark):
+    layers = [[f"t{i}_{j}" for j in range(5)] for i in range(10)]
+    edges = [(a, b) for low, high in zip(layers, layers[1:]) for a in low for b in high] + [("x", "y"), ("y", "x")]
+    closure = tree.type_closure(spark.createDataFrame(edges, "name string, supertype string"))
+    assert closure.where("type like 't%'").count() == 50 + sum(5 * 5 * (9 - i) for i in range(9))
+    assert sorted((r.type, r.ancestor, r.depth) for r in closure.where("type in ('x', 'y')").collect()) == [
+        ("x", "x", 0), ("x", "y", 1), ("y", "x", 1), ("y", "y", 0)
+    ]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("siteloom")]
