@@ -136,9 +136,11 @@ def nearest(
     """
     rows = _usable(vectors)
     n = rows.count()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     first = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample).select("v").toArrow()
     matrix = first.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(first.num_rows, -1)
-    codes = vectors.sparkSession.sparkContext.broadcast(learn(matrix, k, target) if n else None)
+    codes = vectors.sparkSession.sparkContext.broadcast(learn(matrix, k, target))
     asked = vectors.where(queries).select(F.col("vec_id").cast("long").alias("vec_id")).distinct()
     asked = rows.join(asked, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
     n_blocks, n_asks = max(1, -(-n // block)), max(1, -(-asked.count() // ask))
