@@ -66,6 +66,7 @@ def features(texts: list[bytes | None]) -> np.ndarray:
 
 @dataclass
 class Model:
+    used: np.ndarray  # features that vary at all
     mean: np.ndarray
     scale: np.ndarray
     weight: np.ndarray
@@ -73,7 +74,7 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(((x - self.mean) / self.scale).astype(np.float64) @ self.weight + self.bias)
+        return _sigmoid((((x[:, self.used] - self.mean) / self.scale) @ self.weight).astype(np.float64) + self.bias)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -87,14 +88,15 @@ def _descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None,
 
     where a round in which the bracket is negative steps back along the bracket instead.
     """
-    w, b = np.zeros(positive.shape[1]), 0.0
+    # single precision throughout: a mixed product would copy the whole matrix in every round
+    w, b = np.zeros(positive.shape[1], np.float32), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
 
     def mean_grad(x, c):
-        return np.append(c @ x, c.sum()) / len(x)
+        return np.append(c.astype(np.float32) @ x, c.sum()) / len(x)
 
     for t in range(1, rounds + 1):
-        gp, gu = positive @ w + b, unlabelled @ w + b
+        gp, gu = ((x @ w).astype(np.float64) + b for x in (positive, unlabelled))
         up = mean_grad(positive, -_sigmoid(-gp))  # gradient of E_p[l(g)]
         pn = mean_grad(positive, _sigmoid(gp))  # of E_p[l(-g)]
         un = mean_grad(unlabelled, _sigmoid(gu))  # of E_u[l(-g)]
@@ -106,7 +108,7 @@ def _descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None,
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
     return w, b
 
 
@@ -121,15 +123,18 @@ def _class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 300, rate: float = 0.02, decay: float = 1e-3) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 200, rate: float = 0.03, decay: float = 1e-3) -> Model:
     """Class prior from halves kept apart, then the non-negative risk over all rows."""
+    used = np.flatnonzero(np.maximum(np.ptp(positive, axis=0), np.ptp(np.concatenate([positive[:1], unlabelled]), axis=0)) > 0)
+    positive, unlabelled = positive[:, used], unlabelled[:, used]
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), np.maximum(both.std(axis=0), 0.05)
+    del both
     p, u = (((x - mean) / scale).astype(np.float32) for x in (positive, unlabelled))
     w, b = _descend(p[::2], u[::2], None, rounds, rate, decay)
     prior = _class_prior(p[1::2] @ w + b, u[1::2] @ w + b) if len(p) > 1 and len(u) > 1 else 0.5
     w, b = _descend(p, u, prior, rounds, rate, decay)
-    return Model(mean, scale, w, float(b), prior)
+    return Model(used, mean, scale, w, float(b), prior)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
