@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import audits, listings, loads, markup, sheets  # noqa: F401
+    from . import audits, checks, listings, loads, markup, sheets  # noqa: F401

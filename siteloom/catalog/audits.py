@@ -470,4 +470,4 @@ def component_manifest(spark, sf):
 def shell_units(spark, sf):
     manifest = table(spark, sf, "part").where("p_type = 'PROMO'").select(F.col("p_partkey").alias("l_partkey"))
     units = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return units.join(manifest, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
+    return coverage.shell_units(units, manifest, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey")

@@ -357,8 +357,7 @@ def unpivot_figures(spark, sf):
 def pricing_matrix(spark, sf):
     headers = F.array(F.lit("Brand"), F.lit("Type"))
     cells = F.array("p_brand", "p_type", F.col("p_size").cast("string"))
-    flat = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("label"), F.posexplode(cells).alias("pos", "cell"))
-    return flat.withColumn("header", F.try_element_at(headers, F.col("pos") + 1))
+    return tree.labelled_cells(table(spark, sf, "part").withColumnRenamed("p_name", "label"), ["p_partkey", "label"], cells, headers)
 
 
 @query(

@@ -131,6 +131,7 @@ SEMANTIC_COLORS = ["primary", "secondary", "accent", "text", "bg"]
 HEADING_MIN_PCT = 85
 HEADING_MIN_COUNT = 3
 MIN_IMAGES = 5
+MIN_CARDS = 4
 MIN_TEXT_CHARS = 500
 IMPORT_MIN_RATE = 0.6
 TRANSLATION_MAX_GAP = 0.2

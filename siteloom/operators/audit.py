@@ -187,3 +187,22 @@ def report_lines(audit: DataFrame) -> DataFrame:
         F.lit(" |"),
     )
     return punch_list(audit).select("severity", "page", line.alias("value"))
+
+
+def structure_gate(reference: DataFrame, local: DataFrame, key: str = "page", least: int = rules.MIN_CARDS) -> DataFrame:
+    """(key, ref_cards, local_cards, status): fails where less than half of at least ``least`` repeated
+    structures are there; a page that is missing has none."""
+    ref = reference.select(key, F.col("cards").alias("ref_cards"))
+    both = ref.join(local.select(key, F.col("cards").alias("_l")), key, "left").withColumn("local_cards", F.coalesce("_l", F.lit(0)))
+    fails = (F.col("ref_cards") >= least) & (F.col("local_cards") * 2 < F.col("ref_cards"))
+    return both.select(key, "ref_cards", "local_cards", F.when(fails, "fail").otherwise("pass").alias("status"))
+
+
+def punch_summary(audit: DataFrame) -> DataFrame:
+    """(rank, value): the summary lines above the punch list, one for each class and a total."""
+    counts = audit.rollup("class").agg(F.count(F.lit(1)).alias("n"), F.grouping("class").alias("_all"))
+    named = F.when(F.col("_all") == 1, "pages").otherwise(F.col("class"))
+    return counts.select(
+        F.when(F.col("_all") == 1, -1).otherwise(F.col("n") * 0).cast("int").alias("rank"),
+        F.concat(F.lit("- "), named, F.lit(": "), F.col("n").cast("string")).alias("value"),
+    )

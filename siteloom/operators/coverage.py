@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,17 +148,41 @@ def listing_ratio(found: Column, expected: Column) -> Column:
     )
 
 
-def duplicate_targets(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
-def any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
-
-
 def with_category_name(rows: DataFrame, names: DataFrame, key: str = "category") -> DataFrame:
     """Display name of a category id, the id itself where it cannot be resolved."""
     dim = names.select(F.col("category_uuid").alias(key), F.col("name").alias("_name"))
     return skew_join(rows, dim, [key]).withColumn(
         "category_name", F.coalesce("_name", F.col(key).cast("string"))
     ).drop("_name")
+
+
+def translation_coverage(nodes: DataFrame, source: str, target: str, max_gap: float = rules.TRANSLATION_MAX_GAP) -> DataFrame:
+    """One row: titled nodes, those with a ``source`` but no ``target`` title, status.
+
+    ``nodes(titles map<lang,string>)``; a gap above ``max_gap`` of the titled nodes fails, a smaller one is a note.
+    """
+    filled = lambda lang: F.coalesce(F.col("titles")[lang], F.lit("")) != ""
+    titled = nodes.where(F.size(F.map_keys("titles")) > 0)
+    counted = titled.agg(F.count(F.lit(1)).alias("total"), F.count_if(filled(source) & ~filled(target)).alias("gap"))
+    status = F.when(F.col("gap") > F.col("total") * max_gap, "fail").when(F.col("gap") > 0, "note").otherwise("ok")
+    return counted.withColumn("status", status)
+
+
+def image_references(nodes: DataFrame, names: tuple[str, ...] = tuple(rules.GATE_IMAGE_PROPERTIES)) -> DataFrame:
+    """One row: nodes, and how many image references are set on them, each counted."""
+    filled = F.filter(F.map_entries("refs"), lambda e: e["key"].isin(*names) & (F.coalesce(e["value"], F.lit("")) != ""))
+    return nodes.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum(F.size(filled)), F.lit(0)).alias("references"))
+
+
+def type_baseline(found: DataFrame, declared: DataFrame, column: str = "type") -> DataFrame:
+    """(type, found, declared): types that pages use or declarations name, once each."""
+    yes, no = F.lit(True), F.lit(False)
+    both = found.select(column, yes.alias("found"), no.alias("declared")).unionByName(
+        declared.select(column, no.alias("found"), yes.alias("declared"))
+    )
+    return both.where(F.col(column).isNotNull()).groupBy(column).agg(F.bool_or("found").alias("found"), F.bool_or("declared").alias("declared"))
+
+
+def shell_units(units: DataFrame, manifest: DataFrame, on: str) -> DataFrame:
+    """Units whose type the manifest marks as needing a resource of its own."""
+    return units.join(manifest.select(on).distinct(), on, "left_semi")

@@ -32,8 +32,11 @@ def fingerprint(
     )
     h2 = F.transform(
         F.regexp_extract_all("_doc", F.lit(r"(?is)<h2\b[^>]*>(.*?)</h2>"), F.lit(1)),
-        lambda h: F.trim(text.unescape(text.strip_tags(h, ""))),
+        lambda h: text.strip_tags(h, ""),
     )
+    # decoded in one piece, as entities of every kind need Python
+    whole = F.split(text.unescape_all(F.array_join(h2, "\x01")), "\x01")
+    h2 = F.when(F.size(h2) > 0, F.transform(whole, lambda h: F.trim(h))).otherwise(F.array().cast("array<string>"))
 
     def kind_count(kind: str) -> Column:
         return F.size(F.filter("_kinds", lambda k: k == kind))
@@ -169,3 +172,27 @@ def video_players(dom: DataFrame, key: str = "page_id", section: str = "video")
     )
     found = rows.groupBy(key, "section").agg(F.bool_or("_is").alias("_is"), F.bool_or("_play").alias("playable"))
     return found.where("_is").select(key, "section", "playable")
+
+
+def page_sections(dom: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, headings array, facet_options array, max_cards, imgs): what ``audit.section_gate`` compares.
+
+    All from the main region (else the body): texts of h1 to h3 and of the options of selects, in order;
+    the largest cluster of one class string (two or more); images. A group is one page's elements.
+    """
+    piece = text.clean(F.col("spaced"))
+    main = dom.where("main")
+    cls = F.when(F.size("classes") > 0, F.array_join("classes", " "))
+    said = lambda test: F.transform(
+        F.array_sort(F.collect_list(F.when(test & (piece != ""), F.struct("seq", piece.alias("t"))))), lambda x: x["t"]
+    )
+    parts = main.groupBy(key).agg(
+        said(F.col("tag").isin("h1", "h2", "h3")).alias("headings"),
+        said(F.col("tag") == "option").alias("facet_options"),
+        F.count_if(F.col("tag") == "img").alias("imgs"),
+    )
+    clusters = main.where(cls.isNotNull()).groupBy(key, cls.alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    clusters = clusters.where("_n >= 2").groupBy(key).agg(F.max("_n").alias("max_cards"))
+    return parts.join(clusters, key, "left").select(
+        key, "headings", "facet_options", F.coalesce("max_cards", F.lit(0)).alias("max_cards"), "imgs"
+    )

@@ -193,11 +193,11 @@ def present_categories(rows: DataFrame, category: str, fixed_order: list[str]) -
 
 
 def group_by_category(rows: DataFrame, category: str, order: list, keep: list[str]) -> DataFrame:
-    """Per category ('' for none): row count and first member."""
-    grouped = rows.withColumn("_cat", F.coalesce(F.col(category), F.lit("")))
-    counts = grouped.groupBy("_cat").agg(F.count(F.lit(1)).alias("n"))
-    first = pick(grouped, ["_cat"], order, keep)
-    return counts.join(first, "_cat").withColumnRenamed("_cat", category)
+    """Per category ('' for none): row count and first member, in one grouping."""
+    cat = F.coalesce(F.col(category), F.lit("")).alias("_cat")
+    rank = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    grouped = rows.groupBy(cat).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct(*keep), rank).alias("_first"))
+    return grouped.select(F.col("_cat").alias(category), "n", "_first.*")
 
 
 def type_counts(nodes: DataFrame, type_col: str = "primary_type") -> DataFrame:

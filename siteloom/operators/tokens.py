@@ -169,6 +169,13 @@ def stylesheet_lines(colors: DataFrame, fonts: DataFrame) -> DataFrame:
     return c.unionByName(f).orderBy("grp", "ord")
 
 
+def stylesheet(colors: DataFrame, fonts: DataFrame) -> DataFrame:
+    """(grp, ord, value): the whole generated sheet, a rule around its lines."""
+    lines = stylesheet_lines(colors, fonts).select("grp", F.col("ord").cast("bigint").alias("ord"), "value")
+    ends = colors.sparkSession.createDataFrame([(-1, 0, ":root {"), (3, 0, "}")], "grp int, ord bigint, value string")
+    return lines.unionByName(ends).orderBy("grp", "ord")
+
+
 def report_lines(colors: DataFrame) -> DataFrame:
     """(grp, ord, value): Markdown rows of the token report."""
     semantic = F.col("token").isin([f"--color-{n}" for n in rules.SEMANTIC_COLORS])

@@ -158,3 +158,9 @@ def folder_tree(paths: DataFrame, path: str = "path") -> DataFrame:
     """Every folder a set of paths implies, once each, shallow first."""
     folders = paths.select(F.explode(urls.path_prefixes(F.col(path))).alias("folder")).distinct()
     return folders.withColumn("depth", F.size(F.split("folder", "/")) - 1)
+
+
+def labelled_cells(df: DataFrame, ids: list[str], cells: Column, headers: Column) -> DataFrame:
+    """(ids, pos, header, cell) of a row of cells; a cell beyond the headers has none."""
+    flat = df.select(*ids, headers.alias("_h"), F.posexplode(cells).alias("pos", "cell"))
+    return flat.withColumn("header", F.try_element_at("_h", F.col("pos") + 1)).drop("_h")

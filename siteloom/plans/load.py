@@ -39,6 +39,33 @@ def area_path(node_type: Column, area_type: Column, main_area: Column, home: str
     )
 
 
+def property_lists(node_types: DataFrame, title: str = "jcr:title") -> DataFrame:
+    """(node_type, text array, weakref array, names array): properties by kind, mandatory first, then as declared.
+
+    ``node_types(node_type, ord, name, ptype, mandatory)`` has a row per declared property; the title and
+    names of the system prefixes (``j:``, ``jcr:``) are not for loading. A group is one type's declaration.
+    """
+    loaded = (F.col("name") != title) & ~F.col("name").startswith("j:") & ~F.col("name").startswith("jcr:")
+    entry = F.struct((~F.coalesce("mandatory", F.lit(False))).alias("m"), "ord", "name", F.lower("ptype").alias("ptype"))
+    packed = node_types.where(loaded).groupBy("node_type").agg(F.array_sort(F.collect_list(entry)).alias("_p"))
+
+    def named(kind: str | None) -> Column:
+        return F.transform(F.filter("_p", lambda p: (p["ptype"] == kind) if kind else F.lit(True)), lambda p: p["name"])
+
+    return packed.select("node_type", named("string").alias("text"), named("weakreference").alias("weakref"), named(None).alias("names"))
+
+
+def area_plan(instances: DataFrame, manifest: DataFrame, home: str = "/home", page: str = "page") -> DataFrame:
+    """(area, node_type, instances, first_page): absolute areas of a site, once each, where their first instance is.
+
+    Types declared with area ``absolute`` (menus, footers) are built once per site below ``home``.
+    """
+    typed = instances.withColumn("source", F.lower("type")).join(type_map(manifest), "source")
+    typed = typed.where(F.col("area_type") == "absolute")
+    area = area_path(F.col("node_type"), F.col("area_type"), F.lit(None).cast("string"), home)
+    return typed.groupBy(area.alias("area"), "node_type").agg(F.count(F.lit(1)).alias("instances"), F.min(page).alias("first_page"))
+
+
 def _image_names(props: Column) -> Column:
     allowed = F.array(*[F.lit(n) for n in rules.IMAGE_PROPERTIES])
     return F.filter(props, lambda p: F.array_contains(allowed, p))

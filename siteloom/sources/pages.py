@@ -41,9 +41,12 @@ def captured_pages(spark: SparkSession, curated: str | None, crawl: str | None)
         rel = F.regexp_replace(F.substring_index("file", f"/{root}/", -1), r"\.html$", "")
         url = F.concat(F.lit("https://"), rel)
         parts.append(c.select(urls.page_slug(url).alias("slug"), url.alias("url"), "html"))
-    if len(parts) == 1:
-        return parts[0]
-    return parts[0].unionByName(parts[1].join(parts[0].select("slug"), "slug", "left_anti"))
+    return parts[0] if len(parts) == 1 else merge_captures(*parts)
+
+
+def merge_captures(curated: DataFrame, crawled: DataFrame) -> DataFrame:
+    """All curated captures, and crawled ones for the slugs they lack."""
+    return curated.unionByName(crawled.join(curated.select("slug"), "slug", "left_anti"))
 
 
 def sample_pages(pages: DataFrame, by: list[str], order: str = "page_id", n: int = 8) -> DataFrame:
