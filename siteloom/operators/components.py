@@ -94,54 +94,48 @@ def component_instances(
 
 
 def finish_page(rows: DataFrame, key: str = "page_id") -> DataFrame:
-    """Hand out container images and flag empty leaves, page by page inside the row.
+    """Hand out container images and flag empty leaves.
 
     A container's images go to its item children, n-th to n-th, only where no item has an image of
     its own; surplus images stay behind. ``empty``: no fields, images or links, nothing nested.
+
+    Two groupings below the page, one by parent and one by element. Both keep the partitioning by
+    page, so nothing is shuffled, and work grows with the number of elements of a page.
     """
     cols = ["idx", "type", "parent", "is_item", "fields", "images", "links"]
-    page = rows.groupBy(key).agg(F.collect_list(F.struct(*cols)).alias("_raw"))
-    ordered = page.select(key, F.array_sort("_raw", lambda a, b: a["idx"] - b["idx"]).alias("_all"))
-    givers = F.filter(
-        F.transform(
-            F.filter("_all", lambda p: F.size(p["images"]) > 0),
-            lambda p: F.struct(
-                p["idx"].alias("idx"),
-                p["images"].alias("images"),
-                F.filter("_all", lambda c: c["is_item"] & (c["parent"] == p["idx"])).alias("items"),
-            ),
-        ),
-        lambda g: (F.size(g["items"]) > 0) & ~F.exists(g["items"], lambda c: F.size(c["images"]) > 0),
+    roles = F.array(
+        F.struct(F.col("idx").alias("_gid"), F.lit(False).alias("_child")), F.struct(F.col("parent").alias("_gid"), F.lit(True).alias("_child"))
     )
+    each = rows.select(key, F.struct(*cols).alias("_row"), F.inline(roles)).where(F.col("_gid").isNotNull())
+    item = F.col("_child") & F.col("_row.is_item")
+    met = each.groupBy(key, "_gid").agg(
+        F.first(F.when(~F.col("_child"), F.col("_row")), ignorenulls=True).alias("_own"),
+        F.array_sort(F.collect_list(F.when(item, F.col("_row.idx")))).alias("_items"),
+        F.bool_or(item & (F.size("_row.images") > 0)).alias("_busy"),
+        F.count_if("_child").alias("_kids"),
+    )
+    images = F.col("_own.images")
+    gives = (F.size("_items") > 0) & ~F.col("_busy") & (F.size(images) > 0)
+    nothing = F.array().cast("array<struct<file:string,alt:string>>")
+    kept = F.when(gives, F.slice(images, F.size("_items") + 1, F.size(images))).otherwise(images)
     given = F.transform(
-        givers,
-        lambda g: F.struct(
-            g["idx"].alias("idx"), g["images"].alias("images"), F.transform(g["items"], lambda c: c["idx"]).alias("items")
-        ),
+        F.slice("_items", F.lit(1), F.size(images)),
+        lambda x, n: F.struct(x.alias("idx"), F.lit(None).cast("bigint").alias("kids"), F.slice(images, n + 1, F.lit(1)).alias("images"), F.lit(True).alias("given")),
+    )
+    own = F.array(F.struct(F.col("_gid").alias("idx"), F.col("_kids").alias("kids"), F.coalesce(kept, nothing).alias("images"), F.lit(False).alias("given")))
+    parts = met.select(key, "_gid", "_own", F.inline(F.concat(own, F.when(gives, given).otherwise(F.filter(own, lambda _: F.lit(False))))))
+    mine = F.col("idx") == F.col("_gid")
+    done = parts.groupBy(key, "idx").agg(
+        F.first(F.when(mine, F.col("_own")), ignorenulls=True).alias("_r"),
+        F.max("kids").alias("_kids"),
+        F.first(F.when(F.col("given"), F.col("images")), ignorenulls=True).alias("_given"),
+        F.first(F.when(~F.col("given"), F.col("images")), ignorenulls=True).alias("_left"),
+    ).where(F.col("_r").isNotNull())
+    flat = done.select(
+        key, *[F.col(f"_r.{c}").alias(c) for c in cols if c != "images"], F.coalesce("_given", "_left").alias("images"), "_kids"
     )
-    ordered = ordered.withColumn("_givers", given)
-
-    def image_list(i: Column) -> Column:
-        mine = F.filter("_givers", lambda g: g["idx"] == i["idx"])
-        source = F.filter("_givers", lambda g: F.array_contains(g["items"], i["idx"]))
-        nth = F.array_position(source[0]["items"], i["idx"]).cast("int")
-        return (
-            F.when(F.size(mine) > 0, F.slice(i["images"], F.size(mine[0]["items"]) + 1, F.size(i["images"])))
-            .when((F.size(source) > 0) & (nth <= F.size(source[0]["images"])), F.slice(source[0]["images"], nth, F.lit(1)))
-            .otherwise(i["images"])
-        )
-
-    def finished(i: Column) -> Column:
-        return F.struct(
-            *[i[c].alias(c) for c in cols if c not in ("images", "links")],
-            image_list(i).alias("images"),
-            i["links"].alias("links"),
-            F.exists("_all", lambda c: c["parent"] == i["idx"]).alias("_nested"),
-        )
-
-    done = ordered.select(key, F.inline(F.transform("_all", finished)))
     bare = (F.size("fields") == 0) & (F.size("images") == 0) & (F.size("links") == 0)
-    return done.select(key, *cols, (bare & ~F.coalesce("_nested", F.lit(False))).alias("empty"))
+    return flat.select(key, *cols, (bare & (F.coalesce("_kids", F.lit(0)) == 0)).alias("empty"))
 
 
 def source_components(

@@ -156,11 +156,12 @@ def load_plan(
     )
 
 
-def nested_paths(rows: DataFrame, page: str, levels: int = 64) -> DataFrame:
+def nested_paths(rows: DataFrame, page: str, usual: int = 8) -> DataFrame:
     """Resolve ``_up`` (created parent of the same page, if any) to ``parent_path``.
 
     A page's rows are packed once, bounded by that page, and each row walks up its own chain inside
-    the row; nesting in markup is shallow, so no iteration over the table is needed.
+    the row. Nesting in markup is shallow: ``usual`` steps nearly always reach the top, and only a row
+    still below it then goes on for as many steps as the page has rows.
     """
     tree = rows.groupBy(page).agg(
         F.map_from_entries(F.collect_list(F.struct("idx", F.struct("name", F.col("_up").alias("up"))))).alias("_tree")
@@ -173,14 +174,16 @@ def nested_paths(rows: DataFrame, page: str, levels: int = 64) -> DataFrame:
             F.struct(here["up"].alias("at"), F.array_prepend(acc["names"], here["name"]).alias("names"))
         )
 
-    steps = F.sequence(F.lit(1), F.greatest(F.size(F.map_keys("_tree")), F.lit(1)))
-    walked = F.aggregate(steps, start, climb)
+    few = F.sequence(F.lit(1), F.lit(usual))
+    rest = F.sequence(F.lit(1), F.greatest(F.size(F.map_keys("_tree")), F.lit(1)))
+    near = rows.join(tree, page).withColumn("_near", F.aggregate(few, start, climb))
+    walked = F.when(F.col("_near.at").isNull(), F.col("_near")).otherwise(F.aggregate(rest, F.col("_near"), climb))
     return (
-        rows.join(tree, page)
+        near
         .withColumn("_chain", F.when(F.col("_up").isNull(), F.array().cast("array<string>")).otherwise(walked["names"]))
         .withColumn("parent_path", F.concat_ws("/", F.col("main_area"), F.array_join("_chain", "/")))
         .withColumn("parent_path", F.regexp_replace("parent_path", "/$", ""))
-        .drop("_tree", "_chain")
+        .drop("_tree", "_chain", "_near")
     )
 
 
@@ -196,8 +199,10 @@ def start_node_plan(queries: DataFrame, folders: DataFrame, listing_pages: DataF
     )
     managed = skew_join(queries, counted, ["type"], "inner")
     page = F.substring_index("path", "/main/", 1)
-    tails = F.transform(F.sequence(F.lit(1), F.length(page)), lambda i: F.substr(page, i))
-    suffix = managed.where("_n > 1").select("path", F.explode(tails).alias("page"))
+    # only suffixes as long as some listing page; their lengths are one row
+    lengths = listing_pages.agg(F.collect_set(F.length("page")).alias("_lens"))
+    tails = F.transform(F.filter("_lens", lambda n: (n > 0) & (n <= F.length(page))), lambda n: F.right(page, n))
+    suffix = managed.where("_n > 1").crossJoin(F.broadcast(lengths)).select("path", F.explode(tails).alias("page"))
     hits = skew_join(
         suffix, pick(listing_pages, ["page"], ["ord"], ["ord", "path"]).withColumnRenamed("path", "_target"), ["page"], "inner"
     )
