@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from .blocks import SENT_SCHEMA, Codec, answers, bucket_bits, map_blocks, unpack_texts, with_replies, write_blocks
 from .words import Words, minimisers, mix, words
 
-SUFFIX_SCHEMA = "bucket int, block long, position binary, room binary, right binary, left binary"
+SUFFIX_SCHEMA = "bucket int, block long, position binary, member binary, weight binary, room binary, right binary, left binary"
 HIT_SCHEMA = "block long, position binary, first binary, last binary"
 SPAN_SCHEMA = "doc_id long, start_word long, n_words long, span_sha256 string, span_text string"
 
@@ -41,15 +41,27 @@ def _context(w: Words, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray,
     return room.astype(np.uint16), right, left
 
 
-def compare(room: np.ndarray, right: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First row of each distinct row over all columns, which of them each row is, and how often it occurs."""
+    raw = np.ascontiguousarray(np.concatenate([c.astype(np.uint32) for c in columns], axis=1))
+    _, first, member, weight = np.unique(
+        raw.view(np.dtype((np.void, raw.shape[1] * 4))).ravel(), return_index=True, return_inverse=True, return_counts=True
+    )
+    return first, member.astype(np.int32), weight.astype(np.int32)
+
+
+def compare(
+    room: np.ndarray, right: np.ndarray, left: np.ndarray, length: int, weight: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest number of words to the left at which the ``length`` words around a suffix repeat.
 
     The suffixes are sorted by the words from their anchor on. Neighbours are compared: those sharing
     at least ``length - l`` words stand in one run. Within a run the match is extended ``l`` words to the
     left; two suffixes equal there share a passage of ``length`` words that starts ``l`` words before
-    the anchor. -1 where there is none.
+    the anchor. -1 where there is none. ``weight``: how many suffixes a row stands for.
     """
     n, before = len(right), left.shape[1]
+    many = np.ones(n) if weight is None else weight.astype(np.float64)
     order = np.argsort(np.ascontiguousarray(right.astype(">u4")).view(f"S{4 * length}").ravel(), kind="stable")
     r, a = right[order], room[order].astype(np.int64)
     differ = r[1:] != r[:-1]
@@ -63,8 +75,8 @@ def compare(room: np.ndarray, right: np.ndarray, left: np.ndarray, length: int)
         run = np.concatenate([[0], np.cumsum(shared < length - l)])
         fit = np.flatnonzero((a[:, 0] >= l) & (a[:, 1] >= length - l))
         key = mix(behind[fit] + mix(run[fit].astype(np.uint64) + np.uint64(1)))
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        hit = fit[count[inverse] > 1]
+        _, inverse = np.unique(key, return_inverse=True)
+        hit = fit[np.bincount(inverse, many[order[fit]])[inverse] > 1] if len(fit) else fit
         last[hit] = l
         first[hit] = np.where(first[hit] < 0, l, first[hit])
     out = np.empty((2, n), np.int64)
@@ -104,36 +116,39 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 8) -> DataFrame:
         order = np.argsort(grams, kind="stable")
         at, bucket = at[order], (grams[order] >> np.uint64(64 - bits)).astype(np.int32)
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(at)]
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(8)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 room, right, left = _context(w, at[a:b], length, k)
-                row = (int(bucket[a]), block, at[a:b].astype(np.int32), room, right, left)
+                one, member, weight = _distinct(room, right, left)
+                row = (int(bucket[a]), block, at[a:b].astype(np.int32), member, weight, room[one], right[one], left[one])
                 for column, value in zip(out, row):
                     column.append(value if isinstance(value, int) else value.tobytes())
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+        types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
         names = [f.split()[0] for f in SUFFIX_SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=names)
 
     def meet(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        sizes = [len(r["position"]) // 4 for r in rows]
+        sizes = [len(r["weight"]) // 4 for r in rows]
 
         def stacked(name: str, kind, width: int) -> np.ndarray:
             return np.frombuffer(b"".join(r[name] for r in rows), kind).reshape(-1, width)
 
         first, last = compare(
-            stacked("room", np.uint16, 2), stacked("right", np.uint32, length), stacked("left", np.uint32, length - k), length
-        )
+            stacked("room", np.uint16, 2), stacked("right", np.uint32, length), stacked("left", np.uint32, length - k), length,
+            stacked("weight", np.int32, 1).ravel(),
+        )
         at = np.concatenate([[0], np.cumsum(sizes)])
         out = {"block": [], "position": [], "first": [], "last": []}
         for r, a, b in zip(rows, at, at[1:]):
-            hit = np.flatnonzero(last[a:b] >= 0)
+            member = np.frombuffer(r["member"], np.int32)
+            hit = np.flatnonzero(last[a:b][member] >= 0)
             if len(hit):
                 out["block"].append(r["block"])
                 out["position"].append(np.frombuffer(r["position"], np.int32)[hit].tobytes())
-                out["first"].append(first[a:b][hit].astype(np.int32).tobytes())
-                out["last"].append(last[a:b][hit].astype(np.int32).tobytes())
+                out["first"].append(first[a:b][member[hit]].astype(np.int32).tobytes())
+                out["last"].append(last[a:b][member[hit]].astype(np.int32).tobytes())
         types = [pa.int64(), *[pa.binary()] * 3]
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
 
