@@ -52,6 +52,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Ite
             part = batch.slice(a, b - a)
             kind = pa.large_binary() if pa.types.is_large_string(part.column(1).type) else pa.binary()
             yield part.column(0).to_pylist(), part.column(1).cast(kind).to_pylist()
+    pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:

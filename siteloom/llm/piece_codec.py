@@ -20,6 +20,7 @@ _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
 _UNKNOWN, _CONTROL, _USER, _BYTE = 2, 3, 4, 6
 _UNIGRAM, _BPE = 1, 2
+_AT_ONCE = 4000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -142,17 +143,17 @@ class Codec:
 
     _built: dict[int, Codec] = {}
 
-    def __init__(self, data: bytes, threads: int = 1, keep: int = 200_000):
+    def __init__(self, data: bytes, threads: int = 1, keep: int = 50_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model = PieceModel.parse(data)
-        self.tokenizer = build(self.model)
         self.by_word = _words(self.model)
         self.keep = keep
+        self._whole = None
         if self.by_word:
-            self.normalizer = self.tokenizer.normalizer
-            self.simple = not self.model.charsmap and not self.model.squeeze
             self.parts = build(self.model)
+            self.normalizer = self.parts.normalizer
+            self.simple = not self.model.charsmap and not self.model.squeeze
             self.parts.normalizer = None
             self.parts.pre_tokenizer = None
             # what each id stands for; an unknown piece stands for no text
@@ -167,12 +168,21 @@ class Codec:
             cls._built[key] = cls(data, threads)
         return cls._built[key]
 
+    @property
+    def tokenizer(self):
+        """For whole texts; words need only the part without normaliser, so it is built when asked for."""
+        if self._whole is None:
+            self._whole = build(self.model)
+        return self._whole
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.starts, self.same = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, bool)]
 
     def _learn(self, new: list[str]) -> None:
-        coded = [e.ids for e in self.parts.encode_batch_fast(new, add_special_tokens=False)]
+        coded: list[list[int]] = []
+        for i in range(0, len(new), _AT_ONCE):  # an encoding is much larger than its ids
+            coded += [e.ids for e in self.parts.encode_batch_fast(new[i : i + _AT_ONCE], add_special_tokens=False)]
         last = self.starts[-1][-1]
         self.ids.append(np.fromiter((i for c in coded for i in c), np.int32))
         self.starts.append(last + np.cumsum([len(c) for c in coded]))
