@@ -319,8 +319,8 @@ def ngram_join(
     sets = found.where("tokens is not null").select("sig", "n_shingles", "n_tokens", "tokens")
     groups = components(cut_lineage(_candidates(sets, bits, percent), "candidates"))
     groups = groups.select(F.col("node").alias("sig"), F.col("label").alias("group"))
-    # copies in several blocks bring the same set; one is enough
-    sets = sets.join(groups, "sig").groupBy("sig").agg(*[F.first(c).alias(c) for c in ("group", "n_shingles", "n_tokens", "tokens")])
+    # copies in several blocks bring the same set; one is enough, chosen before the shuffle and after it
+    sets = sets.groupBy("sig").agg(*[F.first(c).alias(c) for c in ("n_shingles", "n_tokens", "tokens")]).join(groups, "sig")
     sets = cut_lineage(sets, "grouped-sets")
     sizes = sets.groupBy("group").agg(F.count("*").alias("n_sets"), F.min("sig").alias("pivot"))
     large = cut_lineage(sizes.where(F.col("n_sets") > group_sets), "large-sizes")
