@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .blocks import text_batches
 from .words import NOT_ALPHANUMERIC, Words, minimisers, words
 
@@ -99,7 +100,7 @@ def _slices(benchmark: DataFrame, slice_bytes: int):
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, length: int = 13, k: int = 7, one_in: int = 20, slice_bytes: int = 16 << 20
+    docs: DataFrame, benchmark: DataFrame, length: int = 13, k: int = 7, one_in: int = 20, slice_bytes: int = 16 << 20, in_a_row: int = 4
 ) -> DataFrame:
     """Words of documents that lie inside an occurrence of a benchmark window.
 
@@ -110,8 +111,8 @@ def decontaminate(
     windows around them, which are compared by 64-bit hash.
 
     The benchmark is sent to the tasks in slices of at most about ``slice_bytes`` of text. One slice is
-    the usual case; each further one adds a pass over the documents in the same job, without a
-    shuffle, so a benchmark of any size gives the whole result.
+    the usual case; each further one adds a pass over the documents, ``in_a_row`` of them in one job before
+    the marked documents are written, without a shuffle, so a benchmark of any size gives the whole result.
 
     Returns all columns of ``docs`` plus n_words, n_hit, n_items, items (their ids as sorted strings),
     items_sha256 (of the ids, comma-joined), contaminated (``one_in * n_hit >= n_words`` with a hit) and
@@ -124,18 +125,25 @@ def decontaminate(
     own = docs.columns
     at = own.index("text")
     now = docs.withColumns({"_hit": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
-    for items in _slices(benchmark, slice_bytes):
+    sent = None
+    for i, items in enumerate(_slices(benchmark, slice_bytes)):
+        if sent is not None:
+
+            def mark(batches, sent=sent):
+                for part, texts, hit, items in _parts(batches, at):
+                    _mark(sent.value, texts, hit, items)
+                    columns = [*part.columns[: len(own)], pa.array(hit, pa.binary()), pa.array(items, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*own, "_hit", "items"])
+
+            now = now.mapInArrow(mark, now.schema)
+            if i % in_a_row == 0:
+                now = cut_lineage(now, "marked")
         sent = spark.sparkContext.broadcast(Fingerprints(items, length, k))
 
-        def mark(batches, sent=sent):
-            for part, texts, hit, items in _parts(batches, at):
-                columns = [*part.columns[: len(own)], *_mark(sent.value, texts, hit, items)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*own, "_hit", "items"])
-
-        now = now.mapInArrow(mark, now.schema)
-
-    def finish(batches):
+    # the last slice is marked in the pass that gives the result
+    def finish(batches, sent=sent):
         for part, texts, hit, items in _parts(batches, at):
+            _mark(sent.value, texts, hit, items)
             added = _digest(texts, hit, items, one_in)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *added.values()], names=[*own, *added])
 
@@ -156,7 +164,8 @@ def _parts(batches, at: int):
             yield part, texts, *(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("_hit", "items"))
 
 
-def _mark(prints: Fingerprints, texts, hit, items) -> list[pa.Array]:
+def _mark(prints: Fingerprints, texts, hit: list, items: list) -> None:
+    """Add the hit words and items of each text to ``hit`` and ``items``."""
     w = words(texts, NOT_ALPHANUMERIC, lower=True)
     cover = np.zeros(len(w.hash) + 1, np.int32)
     named: dict[int, set] = {}
@@ -173,7 +182,6 @@ def _mark(prints: Fingerprints, texts, hit, items) -> list[pa.Array]:
             own = own | np.unpackbits(np.frombuffer(hit[d], np.uint8), count=len(own)).astype(bool)
         hit[d] = np.packbits(own).tobytes()
         items[d] = sorted(set(items[d] or ()) | named.get(d, set()))
-    return [pa.array(hit, pa.binary()), pa.array(items, pa.list_(pa.string()))]
 
 
 def _digest(texts, hit, items, one_in: int) -> dict[str, pa.Array]:
