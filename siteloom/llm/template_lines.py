@@ -65,17 +65,18 @@ def template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
     unless all are.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped", "_dropped")])
-    pairs = docs.select("doc_id", F.explode(_lines(depth, similarity)).alias("l")).select("doc_id", "l.*").distinct()
+    # the outer form: else Spark derives a test for empty arrays, which would mask every line again
+    pairs = docs.select("doc_id", F.explode_outer(_lines(depth, similarity)).alias("l")).where("l is not null")
+    pairs = pairs.select("doc_id", "l.*").distinct()
     pairs = cut_lineage(pairs, "lines")
     ids = [F.count("*").alias("n_docs"), F.min("doc_id").alias("first")]
     lines = pairs.groupBy("line", "leaf").agg(*ids)
-    recurring = lines.where(F.col("n_docs") >= min_docs).select("line", F.col("first").alias("line_first"))
     leaves = pairs.select("doc_id", "leaf").distinct().groupBy("leaf").agg(*ids).where(F.col("n_docs") >= min_docs)
     # a leaf of a single masked line says nothing new
     several = lines.groupBy("leaf").agg(F.count("*").alias("n_lines")).where("n_lines > 1")
     leaves = cut_lineage(leaves.join(several, "leaf").select("leaf", F.col("first").alias("leaf_first")), "leaves")
 
-    mask = F.explode(templates(F.col("text"), similarity)).alias("mask")
+    mask = F.explode_outer(templates(F.col("text"), similarity)).alias("mask")
     tokens = docs.select(mask).where("mask <> ''").withColumn("leaf", _leaf(F.col("mask"), depth))
     tokens = tokens.where(_n_tokens(F.col("mask")) > depth).join(leaves.select("leaf"), "leaf", "left_semi").distinct()
     tokens = tokens.select("leaf", F.posexplode(F.split("mask", " ")).alias("pos", "token"))
@@ -83,9 +84,12 @@ def template_lines(docs: DataFrame, min_docs: int = 3, depth: int = 3, similarit
     fixed = fixed.where(F.col("pos") >= depth).groupBy("leaf").agg(F.avg("same").alias("share"))
     alike = leaves.join(fixed.where(F.col("share") >= similarity), "leaf").select("leaf", "leaf_first")
 
-    judged = pairs.join(recurring, "line", "left").join(alike, "leaf", "left")
-    again = [F.col(c).isNotNull() & ~F.col("doc_id").eqNullSafe(F.col(c)) for c in ("line_first", "leaf_first")]
-    # a document first for its own line may still not be the first of the leaf's template
+    # decided once per distinct line, so the rows of a hot leaf need not meet
+    own_first = F.when(F.col("n_docs") >= min_docs, F.col("first")).alias("line_first")
+    decided = lines.join(alike, "leaf", "left").select("line", (F.col("n_docs") >= min_docs).alias("recurs"), own_first, "leaf_first")
+    decided = decided.where(F.col("recurs") | F.col("leaf_first").isNotNull())
+    judged = pairs.select("doc_id", "line").join(decided, "line")
+    again = [~F.col("doc_id").eqNullSafe(F.col(c)) & F.col(c).isNotNull() for c in ("line_first", "leaf_first")]
     dropped = judged.where(again[0] | again[1]).groupBy("doc_id").agg(F.collect_set("line").alias("_dropped"))
     dropped = dropped.withColumnRenamed("doc_id", "_doc_id")
     out = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
