@@ -19,6 +19,7 @@ _SIGNS = [b for b in range(0x80) if not (chr(b).isalnum() or b in (0x20, 0x0A))]
 _CLASS[_SIGNS] = 5 + np.arange(len(_SIGNS)) % 64
 _N = 5 + 64
 N_FEATURES = _N * _N + 8
+_AT_ONCE = 200  # texts; short ones would else make a wide table of many rows
 
 
 def features(texts: list[bytes | None]) -> np.ndarray:
@@ -26,6 +27,11 @@ def features(texts: list[bytes | None]) -> np.ndarray:
 
     Nothing but the text is used. A null or empty text has a row of zeros.
     """
+    parts = [_features(texts[i : i + _AT_ONCE]) for i in range(0, len(texts), _AT_ONCE)]
+    return np.concatenate(parts) if parts else np.zeros((0, N_FEATURES), np.float32)
+
+
+def _features(texts: list[bytes | None]) -> np.ndarray:
     w = words(texts, SPACE)
     n = len(texts)
     size = np.fromiter((len(t or b"") for t in texts), np.int64, n)
@@ -137,24 +143,38 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 200, rate: f
     return Model(used, mean, scale, w, float(b), prior)
 
 
+def _scores(model: Model, texts: list[bytes | None]) -> np.ndarray:
+    return np.concatenate([model.score(_features(texts[i : i + _AT_ONCE])) for i in range(0, len(texts), _AT_ONCE)])
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, ids: DataFrame, n: int) -> np.ndarray:
-    """Features of at most ``n`` documents whose ids are in ``ids``, those of least id hash."""
+def _sample(docs: DataFrame, ids: DataFrame, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Features that are not zero (places, values) of at most ``n`` documents, those of least id hash."""
     ids = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
     def rows(batches):
         for names, texts in text_batches(batches):
             x = features(texts)
-            fields = [pa.array(names, pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())]
-            yield pa.RecordBatch.from_arrays(fields, names=["doc_id", "x"])
+            places = [np.flatnonzero(r).astype(np.uint16) for r in x]
+            values = [r[p].tobytes() for r, p in zip(x, places)]
+            fields = [pa.array(names, pa.int64()), pa.array([p.tobytes() for p in places], pa.binary()), pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays(fields, names=["doc_id", "places", "x"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = texts.join(F.broadcast(ids), "doc_id")  # at most n ids
-    got = sorted((r.doc_id, bytes(r.x)) for r in chosen.mapInArrow(rows, "doc_id long, x binary").collect())
-    return np.array([np.frombuffer(x, np.float32) for _, x in got[:n]]).reshape(-1, N_FEATURES)
+    got = chosen.mapInArrow(rows, "doc_id long, places binary, x binary").toArrow().sort_by([("doc_id", "ascending")]).slice(0, n)
+    pairs = zip(got.column("places").to_pylist(), got.column("x").to_pylist())
+    return [(np.frombuffer(p, np.uint16), np.frombuffer(x, np.float32)) for p, x in pairs]
+
+
+def _dense(rows: list[tuple[np.ndarray, np.ndarray]], columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for i, (places, values) in enumerate(rows):
+        out[i, np.searchsorted(columns, places)] = values
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 3000) -> Model | None:
@@ -168,9 +188,12 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unla
     unknown = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     unknown = unknown.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
     positive, unlabelled = _sample(docs, trusted, max_positive), _sample(docs, unknown, max_unlabelled)
-    if not len(positive) or not len(unlabelled):
+    if not positive or not unlabelled:
         return None
-    return fit(positive, unlabelled)
+    columns = np.unique(np.concatenate([places for places, _ in positive + unlabelled])).astype(np.int64)
+    model = fit(_dense(positive, columns), _dense(unlabelled, columns))
+    model.used = columns[model.used]
+    return model
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **sizes: int) -> DataFrame:
@@ -197,7 +220,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **sizes:
             for ids, texts in text_batches([numbered]):
                 part = batch.slice(done, len(ids))
                 done += len(ids)
-                score = np.full(len(ids), 0.5) if sent.value is None else sent.value.score(features(texts))
+                score = np.full(len(ids), 0.5) if sent.value is None else _scores(sent.value, texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*part.schema.names, "score"])
 
     scored = docs.mapInArrow(rows, docs.select("*", F.lit(0.5).alias("score")).schema)
