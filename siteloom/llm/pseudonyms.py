@@ -81,9 +81,13 @@ def _into(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+def _is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and int(digits[-1]) == _luhn(digits[:-1])
+
+
 def _card(p: Feistel, m: re.Match) -> str | None:
     digits = re.sub(r"\D", "", m[0])
-    if not 13 <= len(digits) <= 19 or len(set(digits)) == 1 or int(digits[-1]) != _luhn(digits[:-1]):
+    if not _is_card(digits):
         return None
     own = _by_class(p, b"card", digits[:-1], (_DIGITS,))
     while len(set(own)) == 1:  # all one digit is not taken for a card, so never given out
@@ -162,11 +166,15 @@ def _iban_check(country: str, rest: str) -> int:
     return 98 - int(number) % 97
 
 
+def _is_iban(plain: str) -> bool:
+    return 15 <= len(plain) <= 34 and int(plain[2:4]) == _iban_check(plain[:2], plain[4:])
+
+
 def _iban(p: Feistel, m: re.Match) -> str | None:
     plain = m[0].replace(" ", "")
-    country, check, rest = plain[:2], plain[2:4], plain[4:]
-    if not 15 <= len(plain) <= 34 or int(check) != _iban_check(country, rest):
+    if not _is_iban(plain):
         return None
+    country, rest = plain[:2], plain[4:]
     rest = _by_class(p, b"iban", rest, (_DIGITS, _UPPER))
     new = iter(f"{country}{_iban_check(country, rest):02d}{rest}")
     return "".join(c if c == " " else next(new) for c in m[0])
@@ -191,16 +199,69 @@ def _secret(p: Feistel, m: re.Match) -> str | None:
     return new
 
 
+# characters of an account number by country, as registered
+_IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(n: int) -> re.Pattern:
+    groups, rest = divmod(n - 4, 4)
+    last = f"(?: ?[A-Z0-9]{{{rest}}})" if rest else ""
+    return re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{last}(?![A-Za-z0-9])")
+
+
+_IBAN_BY_COUNTRY = {c: _iban_of(n) for n, countries in _IBAN_CHARS.items() for c in countries.split()}
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_CARD_SHAPES = [
+    re.compile(r"[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])"),
+    re.compile(r"[0-9]{4}([ -])(?:[0-9]{4}\1){3}[0-9]{1,3}(?![0-9])"),
+    re.compile(r"[0-9]{4}([ -])[0-9]{6}\1[0-9]{4,5}(?![0-9])"),
+]
+
+
+def _valid_iban(shape: re.Pattern | None, text: str, at: int) -> re.Match | None:
+    m = shape and shape.match(text, at)
+    return m if m and _is_iban(m[0].replace(" ", "")) else None
+
+
+def _iban_at(text: str, at: int) -> re.Match | None:
+    """The account number of its country's length that begins there."""
+    return _valid_iban(_IBAN_BY_COUNTRY.get(text[at : at + 2]), text, at)
+
+
+def _other_iban_at(text: str, at: int) -> re.Match | None:
+    """One of another length, as far as its groups go."""
+    return None if _iban_at(text, at) else _valid_iban(_IBAN, text, at)
+
+
+def _card_at(text: str, at: int) -> re.Match | None:
+    """The grouped card that begins there; what stands behind it is looked at only where the check fails."""
+    for shape in _CARD_SHAPES:
+        m = shape.match(text, at)
+        if m and _is_card(re.sub(r"\D", "", m[0])):
+            return m
+    return None
+
+
+# values of groups, told by their check alone: every start is tried
+_AT_START = {"iban": _iban_at, "other iban": _other_iban_at, "grouped card": _card_at}
+_WIDEST = 43  # 34 characters and the blanks between their groups
+
 # in order of precedence; a place taken by one is not offered to the next
 RULES: list[tuple[str, re.Pattern, Callable]] = [
     ("mail", re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"), _mail),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})"), _iban),
+    ("other iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4})"), _iban),
     ("secret", re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])"), _secret),
     ("address", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), _address),
     ("date", re.compile(r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9]|[./-][0-9])"), _date),
     ("social", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"), _social),
     ("phone", re.compile(r"(?<![0-9+])(?P<lead>\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9]|-[0-9])"), _phone),
-    ("card", re.compile(r"(?<![0-9])[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9]|[ -][0-9])"), _card),
+    ("grouped card", re.compile(r"(?<![0-9])[0-9]{4}(?=[ -][0-9]{4})"), _card),
     ("card", re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])"), _card),
     ("number", re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])"), _number),
 ]
@@ -218,9 +279,43 @@ def _found(name: str, rule: re.Pattern, text: str):
             yield m
 
 
+def _grouped(name: str, rule: re.Pattern, fn: Callable, text: str, permute: Feistel, taken: list[tuple[int, int, str, str]]) -> None:
+    """Add to ``taken`` the values of groups, from left to right.
+
+    A value is permuted on until it is found in the same place: no other length of it and no start before
+    it that failed may pass the check, so that the way back finds what the way there gave out.
+    """
+    at_start, failed, end = _AT_START[name], [], 0
+    for x, y, _, _ in taken:  # whatever stands there, it is no part of a candidate
+        text = text[:x] + "\0" * (y - x) + text[y:]
+    for start in rule.finditer(text):
+        a = start.start()
+        if a < end:
+            continue
+        m = at_start(text, a)
+        if m is None:
+            failed.append(a)
+            continue
+        b = m.end()
+        low = max(0, a - _WIDEST)
+        near = [x - low for x in failed if x >= low]
+        new = fn(permute, m)
+        while True:
+            changed = text[low:a] + new + text[b : b + _WIDEST]
+            again = at_start(changed, a - low)
+            if again and again.end() == b - low and not any(at_start(changed, x) for x in near):
+                break
+            new = fn(permute, re.fullmatch(".*", new))
+        taken.append((a, b, new, name.split()[-1]))
+        end = b
+
+
 def _in_line(text: str, permute: Feistel) -> tuple[str, list[str]]:
     taken: list[tuple[int, int, str, str]] = []
     for name, rule, fn in RULES:
+        if name in _AT_START:
+            _grouped(name, rule, fn, text, permute, taken)
+            continue
         for m in _found(name, rule, text):
             if any(m.start() < b and a < m.end() for a, b, _, _ in taken):
                 continue
@@ -254,7 +349,8 @@ def replace(text: str, permute: Feistel) -> tuple[str, list[str]]:
 def pseudonyms(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """Replace personal numbers and dates by keyed pseudonyms of the same format, in whole texts.
 
-    Cards (check digit), account numbers (mod 97), calendar dates of 1900-2099, dotted addresses, social
+    Cards (check digit; grouped ones whatever groups stand around them), account numbers (mod 97; of their
+    country's length, else as far as their groups go), calendar dates of 1900-2099, dotted addresses, social
     numbers, telephone numbers, other numbers of 13 to 19 digits, mail names and hexadecimal secrets are
     recognised and, where the format has a check, validated; what fails it is left. A value is
     permuted by a Feistel network over all values of its format, keyed by ``key``, so equal values get
