@@ -247,7 +247,8 @@ _INGEST = f"""SELECT cache_key, min(page_id) AS page_id FROM (SELECT page_id, re
 def incremental_ingest(spark, sf):
     schema = table(spark, sf, "pages").schema
     root = f"{stage_folder(spark)}/ingest-{uuid.uuid4().hex}"
-    stream = ingest.page_stream(spark, sf, schema, glob="pages.parquet")
+    # as a pattern it may be one file or a folder of files
+    stream = ingest.page_stream(spark, f"{sf}/pages.parque[t]", schema)
     ingest.incremental_pages(stream, f"{root}/store", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/store").select("cache_key", "page_id")
 

@@ -42,7 +42,8 @@ def incremental_pages(
     A capture that is empty, a challenge page or, where ``status`` names a column, a blocked or failed
     response is not stored, so a later good one of the same address still can be. Within a batch the first page per key (by ``order``) is kept; against the store an anti join on
     the key decides, so no streaming state grows. Each batch writes its own folder and overwrites
-    only that, and looks up only earlier batches, so a replayed batch gives the same result.
+    only that, and looks up only earlier batches, so a replayed batch gives the same result. Pages
+    without a key are one key; rows without ``order`` come last.
     ``force`` stores one page per key of every batch, stored or not. ``store`` and ``checkpoint``
     belong together: start both anew or neither.
     """
@@ -57,10 +58,11 @@ def incremental_pages(
         rows = batch.where(good).withColumn("cache_key", key)
         if not force and batch_id > 0 and _exists(spark, store):
             seen = spark.read.option("basePath", store).parquet(store).where(F.col("batch") < batch_id)
-            rows = rows.join(seen.select("cache_key"), "cache_key", "left_anti")
+            seen = seen.select(F.col("cache_key").alias("_key"))
+            rows = rows.join(seen, F.col("cache_key").eqNullSafe(F.col("_key")), "left_anti")
         # the narrow keys choose, then the chosen rows are kept
         first = rows.groupBy("cache_key").agg(F.min(order).alias("_first")).withColumnRenamed("cache_key", "_key")
-        rows = rows.join(first, (F.col("cache_key") == F.col("_key")) & (F.col(order) == F.col("_first")), "left_semi")
+        rows = rows.join(first, F.col("cache_key").eqNullSafe(F.col("_key")) & F.col(order).eqNullSafe(F.col("_first")), "left_semi")
         rows = rows.dropDuplicates(["cache_key"])
         rows.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 

@@ -107,6 +107,19 @@ def test_incremental_pages_equal_batch(spark, tmp_path):
     assert rows(spark.read.parquet(store).select("page_id"), "page_id") == [(1,), (3,), (5,), (6,), (8,)]
 
 
+def test_ingest_without_url_or_order(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    data = [(None, "https://h/a", "1"), (2, None, "2"), (3, None, "3"), (None, "https://h/b", "4"), (5, "https://h/b", "5")]
+    later = [(6, None, "6"), (7, "https://h/a", "7")]
+    for batch in (data, later):
+        df = spark.createDataFrame(batch, "page_id long, url string, html string")
+        df.coalesce(1).write.mode("append").parquet(str(src))
+        stream = ingest.page_stream(spark, str(src), df.schema)
+        ingest.incremental_pages(stream, str(tmp_path / "s"), str(tmp_path / "c")).awaitTermination()
+        assert rows(spark.read.parquet(str(tmp_path / "s")).select("html"), "html") == [("1",), ("2",), ("5",)]
+
+
 def test_ingest_rejects_bad_captures(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
