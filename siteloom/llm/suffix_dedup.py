@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import cut_lineage
-from .blocks import SENT_SCHEMA, Codec, answers, bucket_bits, map_blocks, unpack_texts, with_replies, write_blocks
+from .blocks import SENT_SCHEMA, Codec, Replies, answers, bucket_bits, log_class, map_blocks, unpack_texts, with_replies, write_blocks
 from .words import Words, minimisers, mix, words
 
 SUFFIX_SCHEMA = "bucket int, block long, position binary, member binary, weight binary, room binary, right binary, left binary"
@@ -41,6 +41,33 @@ def _context(w: Words, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray,
     return room.astype(np.uint16), right, left
 
 
+def _cores(w: Words, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the stretches around the anchors ``at`` that lie within their text, one rightwards and one
+    leftwards: the ``length`` words around an anchor hold one or the other. Whose, and which of the two."""
+    half = (length - k) // 2
+    doc = w.doc_of(at)
+    right = np.flatnonzero(at + length - half <= w.first[doc + 1])
+    left = np.flatnonzero(at - half >= w.first[doc])
+    return np.concatenate([at[right], at[left] - half]), np.concatenate([right, left]), np.repeat([False, True], [len(right), len(left)])
+
+
+def _core_hashes(w: Words, start: np.ndarray, leftwards: np.ndarray, length: int, k: int) -> np.ndarray:
+    half = (length - k) // 2
+    return w.windows(start, np.where(leftwards, half + k, length - half))
+
+
+def _windows_of(w: Words, at: np.ndarray, leftwards: np.ndarray, length: int, k: int) -> np.ndarray:
+    """Starts of the ``length``-word windows that hold the stretches found again at the anchors ``at``."""
+    half, before = (length - k) // 2, length - k
+    starts = [np.zeros(0, np.int64)]
+    for side, reach in ((False, np.arange(half + 1)), (True, np.arange(half, before + 1))):
+        spot = at[leftwards == side]
+        doc = w.doc_of(spot)
+        start = spot[:, None] - reach
+        starts.append(start[(start >= w.first[doc][:, None]) & (start + length <= w.first[doc + 1][:, None])])
+    return np.unique(np.concatenate(starts))
+
+
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First row of each distinct row over all columns, which of them each row is, and how often it occurs."""
     raw = np.ascontiguousarray(np.concatenate([c.astype(np.uint32) for c in columns], axis=1))
@@ -84,7 +111,7 @@ def compare(
     return out[0], out[1]
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 8) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 8, hot: int = 4096) -> DataFrame:
     """Passages of ``length`` words or more that also stand elsewhere, in any document.
 
     Words are runs without ASCII white space, unchanged, of whole texts. Of all suffixes only those are
@@ -95,23 +122,63 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 8) -> DataFrame:
     right (``compare``). A block sends equal suffixes once, so a frequent passage costs a bucket one
     row per block. Words are compared by 32-bit hash, passages thus by ``32 * length`` bits.
 
+    The suffixes of an anchor that stands in more than about ``hot`` places do not meet. Their stretches of
+    half the words around are counted next; where one stands elsewhere too, the windows that hold it are
+    counted by their 64-bit hashes. So an anchor in every document costs a bucket at most one hash per
+    block and window, and nothing where the passage around it is too short.
+
     Returns a row per maximal repeated passage: doc_id, start_word (from 0), n_words, span_sha256 (of the
     words joined by one blank) and span_text. Documents without any are not in the result. Null and short
     texts have none; null and repeated ids stay as they are; other columns are ignored.
     """
     blocks = write_blocks(docs, lambda texts: len(words(texts).hash))
     bits = bucket_bits(blocks)
-    codec = Codec(bits, 3)
+    codec, whole = Codec(bits, 3), Codec(bits, 8)
+    limit = int(log_class(np.array([hot]))[0])
 
     def send(block, _, texts):
-        return codec.send(block, codec.short(_anchors(words(texts), length, k)[1]))
+        return codec.send(block, codec.short(_anchors(words(texts), length, k)[1]), with_counts=True)
+
+    counted = cut_lineage(answers(map_blocks(blocks, send, SENT_SCHEMA), codec, 0, as_class=True), "anchors")
+
+    def hot_cores(w: Words, got: Replies) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        at, grams = _anchors(w, length, k)
+        at = at[got.values(codec, 0, codec.short(grams), as_class=True) > limit]
+        start, of, leftwards = _cores(w, at, length, k)
+        return at[of], start, leftwards, codec.short(_core_hashes(w, start, leftwards, length, k))
+
+    def hot_windows(w: Words, got: Replies) -> tuple[np.ndarray, np.ndarray]:
+        at, _, leftwards, keys = hot_cores(w, got)
+        again = got.values(codec, 1, keys).astype(bool)
+        start = _windows_of(w, at[again], leftwards[again], length, k)
+        return start, w.windows(start, length)
+
+    def send_cores(block, _, texts, got):
+        return codec.send(block, hot_cores(words(texts), got)[3])
+
+    def send_windows(block, _, texts, got):
+        return whole.send(block, hot_windows(words(texts), got)[1])
+
+    def hot_hits(block, _, texts, got):
+        start, keys = hot_windows(words(texts), got)
+        start = start[got.values(whole, 2, keys).astype(bool)].astype(np.int32)
+        none = np.zeros(len(start), np.int32).tobytes()
+        values = [[block], [start.tobytes()], [none], [none]] if len(start) else [[], [], [], []]
+        types = [pa.int64(), *[pa.binary()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=["block", "position", "first", "last"])
 
-    counted = cut_lineage(answers(map_blocks(blocks, send, SENT_SCHEMA), codec, 0), "anchors")
+    cores = cut_lineage(answers(with_replies(blocks, counted, send_cores, SENT_SCHEMA), codec, 1), "cores")
+    met_often = None
+    if not cores.isEmpty():
+        replies = counted.unionByName(cores)
+        found = cut_lineage(answers(with_replies(blocks, replies, send_windows, SENT_SCHEMA), whole, 2), "windows")
+        met_often = with_replies(blocks, replies.unionByName(found), hot_hits, HIT_SCHEMA)
 
     def suffixes(block, _, texts, got):
         w = words(texts)
         at, grams = _anchors(w, length, k)
-        kept = got.values(codec, 0, codec.short(grams)).astype(bool)
+        count = got.values(codec, 0, codec.short(grams), as_class=True)
+        kept = (count > 0) & (count <= limit)
         at, grams = at[kept], grams[kept]
         order = np.argsort(grams, kind="stable")
         at, bucket = at[order], (grams[order] >> np.uint64(64 - bits)).astype(np.int32)
@@ -153,7 +220,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, k: int = 8) -> DataFrame:
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types)})
 
     sent = with_replies(blocks, counted, suffixes, SUFFIX_SCHEMA)
-    hits = cut_lineage(sent.groupBy("bucket").applyInArrow(meet, HIT_SCHEMA), "repeats")
+    hits = sent.groupBy("bucket").applyInArrow(meet, HIT_SCHEMA)
+    hits = cut_lineage(hits if met_often is None else hits.unionByName(met_often), "repeats")
 
     def spans(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"doc_id": [], "start_word": [], "n_words": [], "span_sha256": [], "span_text": []}

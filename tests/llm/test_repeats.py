@@ -82,6 +82,24 @@ def test_suffix_documents(documents):
     assert got == span_reference(pairs(documents), 30)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_suffix_hot_anchors(awkward, hot):
+    got = Counter(tuple(r) for r in suffix_dedup(awkward, 50, hot=hot).drop("span_text").collect())
+    assert got == span_reference(pairs(awkward), 50)
+
+
+def test_suffix_phrase_with_other_words_around(spark, documents):
+    # a phrase of 40 words in every text, longer by its neighbours in some; too short for 50 words in the others
+    phrase = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{' '.join(f'a{i % 90}x{j}' for j in range(30))} {phrase} {' '.join(f'b{i % 70}x{j}' for j in range(i % 40))}" for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for length, k in ((50, 8), (45, 8), (50, 9), (60, 7)):
+        got = Counter(tuple(r) for r in suffix_dedup(docs, length, k, hot=20).drop("span_text").collect())
+        assert got == span_reference(list(enumerate(texts)), length)
+    got = Counter(tuple(r) for r in suffix_dedup(documents, 30, 6, hot=1).drop("span_text").collect())
+    assert got == span_reference(pairs(documents), 30)
+
+
 def test_suffix_empty_table(nothing):
     assert suffix_dedup(nothing).collect() == []
 
