@@ -339,8 +339,5 @@ def media_totals(spark, sf):
     """SELECT p_type, CASE WHEN contains(lower(p_type), 'type') THEN 'type' ELSE regexp_replace(lower(p_type), '[^a-z0-9]', '-', 'g') END AS attr, count(*) AS n FROM part GROUP BY p_type""",
 )
 def facet_attributes(spark, sf):
-    kinds = [r[0] for r in table(spark, sf, "part").select("p_type").distinct().orderBy("p_type").limit(1000).collect()]
-    spec = spark.createDataFrame([(k, listing.parse_facet(f"{k}|Label")[2]) for k in kinds], "p_type string, attr string")
-    return table(spark, sf, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n")).join(spec, "p_type").select("p_type", "attr", "n")
-
-
+    counted = table(spark, sf, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("p_type", listing.facet_attribute(F.col("p_type")).alias("attr"), "n")

@@ -139,6 +139,13 @@ def parse_facet(spec: str) -> tuple[str, str, str]:
     return field, label, attr
 
 
+def facet_attribute(field: Column) -> Column:
+    """The attribute of ``parse_facet`` for a column of field names."""
+    low = F.lower(field)
+    plain = F.regexp_replace(low, r"[^a-z0-9]", "-")
+    return F.when(low.contains("theme"), "theme").when(low.contains("type"), "type").otherwise(plain)
+
+
 def facets(rows: DataFrame, attrs: dict[str, tuple[str, str]], order: str) -> DataFrame:
     """(attr, value, label, n) for each facet attribute; the label is the first one seen by ``order``.
 

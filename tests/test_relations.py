@@ -136,6 +136,16 @@ def test_paginate_slots_facets(spark):
     assert listing.parse_facet("newsTheme|Topic") == ("newsTheme", "Topic", "theme") and listing.parse_facet("Le Pays") == ("Le Pays", "Le Pays", "le-pays")
 
 
+def test_facet_attributes_of_many_types(spark, tmp_path):
+    from siteloom import catalog
+
+    catalog.load_all()
+    names = [f"Kind {i}" for i in range(1200)] + ["newsTheme", "My TYPE", "É-x", None]
+    spark.createDataFrame([(n,) for n in names], "p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.p_type: (r.attr, r.n) for r in catalog.QUERIES["q98_facet_attributes"](spark, str(tmp_path)).collect()}
+    assert got == {n: (listing.parse_facet(n)[2] if n else None, 1) for n in names}
+
+
 def test_facet_columns_last_wins(spark):
     cats = spark.createDataFrame([("1", "/t/themes/a", "a", "A"), ("2", "/t/themes/b", "b", None), ("3", "/t/types/c", "c", "C")], "category_uuid string, path string, name string, title string")
     n = spark.createDataFrame([("n1", ["1", "2", "zz"]), ("n2", ["3"]), ("n3", [])], "uuid string, categories array<string>")
