@@ -96,6 +96,16 @@ def category_groups(spark, sf):
     return out.select("category", "n", F.col("c_custkey").alias("first_member"))
 
 
+@query(
+    "q15_category_members",
+    f"""SELECT coalesce({_CAT}, '') AS category, row_number() OVER (PARTITION BY coalesce({_CAT}, '') ORDER BY -c_acctbal, c_custkey) AS position, c_custkey
+        FROM customer""",
+)
+def category_members(spark, sf):
+    rows = table(spark, sf, "customer").withColumn("category", F.expr(_CAT))
+    return ls.category_members(rows, "category", [-F.col("c_acctbal"), "c_custkey"], ["c_custkey"])
+
+
 @query(
     "q15_available_categories",
     f"""WITH {_NODES} SELECT c_mktsegment AS category, 'Segment ' || lower(c_mktsegment) AS name, min(c_custkey) AS first_seen

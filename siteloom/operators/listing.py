@@ -207,5 +207,15 @@ def group_by_category(rows: DataFrame, category: str, order: list, keep: list[st
     return grouped.select(F.col("_cat").alias(category), "n", "_first.*")
 
 
+def category_members(rows: DataFrame, category: str, order: list, keep: list[str]) -> DataFrame:
+    """The children grouped by category ('' for none), a row each: category, position in its group (from 1), ``keep``.
+
+    ``order`` must identify a row within its category. A group is never gathered, so any size will do.
+    """
+    cat = F.coalesce(F.col(category), F.lit(""))
+    numbered = number_rows(rows.withColumn(category, cat), order, [category], "position")
+    return numbered.select(category, F.col("position").cast("long").alias("position"), *keep)
+
+
 def type_counts(nodes: DataFrame, type_col: str = "primary_type") -> DataFrame:
     return nodes.groupBy(type_col).agg(F.count(F.lit(1)).alias("n")).orderBy(type_col)

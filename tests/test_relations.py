@@ -146,6 +146,12 @@ def test_facet_attributes_of_many_types(spark, tmp_path):
     assert got == {n: (listing.parse_facet(n)[2] if n else None, 1) for n in names}
 
 
+def test_category_members_are_all_there(spark):
+    df = spark.createDataFrame([("a", 3), (None, 1), ("a", 2), ("", 5), (None, 4)], "c string, id int")
+    got = rows(listing.category_members(df, "c", [-F.col("id")], ["id"]), "c", "position")
+    assert got == [("", 1, 5), ("", 2, 4), ("", 3, 1), ("a", 1, 3), ("a", 2, 2)]
+
+
 def test_facet_columns_last_wins(spark):
     cats = spark.createDataFrame([("1", "/t/themes/a", "a", "A"), ("2", "/t/themes/b", "b", None), ("3", "/t/types/c", "c", "C")], "category_uuid string, path string, name string, title string")
     n = spark.createDataFrame([("n1", ["1", "2", "zz"]), ("n2", ["3"]), ("n3", [])], "uuid string, categories array<string>")
