@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations, collocations_sql
 from .histogram_shards import histogram_shards
 from .mih_search import nearest
 from .ngram_join import ngram_join
@@ -95,3 +96,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_suffix_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), length=50).drop("span_text")
+
+
+@query("op13_collocations", collocations_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), longest=3, min_count=10, contained_percent=50, top=2000)
