@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,7 @@ def coded(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(own, np.uint8), out
 
 
-def _write_blocks(docs: DataFrame, shards: int, size: int) -> tuple[DataFrame, str]:
+def _write_blocks(docs: DataFrame, shards: int, size: int) -> DataFrame:
     """Texts as word numbers, about ``size`` bytes of one lang a block, dealt to the shards in turn."""
 
     def pack(batches):
@@ -101,7 +102,7 @@ def _write_blocks(docs: DataFrame, shards: int, size: int) -> tuple[DataFrame, s
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     path = f"{stage_folder(docs.sparkSession)}/collocations-{uuid.uuid4().hex}"
     text.mapInArrow(pack, BLOCK_SCHEMA).write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path), path
+    return docs.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path)
 
 
 def word_keys(own: bytes, lang: str) -> np.ndarray:
@@ -112,51 +113,66 @@ def word_keys(own: bytes, lang: str) -> np.ndarray:
     return np.where(keys == 0, _U(1), keys)
 
 
-def slot(parts: list[np.ndarray], slots: int) -> np.ndarray:
-    """Where a phrase stands in the table of activations."""
-    h = np.full(len(parts[0]), len(parts), _U)
-    for p in parts:
-        h = mix((h ^ p) * _ODD)
-    return (h % _U(slots)).astype(np.int64)
+@dataclass(frozen=True)
+class Slots:
+    """Where counters of phrases stand: a bucket of the hash space, and a place in the bucket's part of a fixed table."""
+
+    buckets: int
+    slots: int
+
+    @property
+    def per(self) -> int:
+        return self.slots // self.buckets // 8 * 8
+
+    def of(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, four more bytes of the hash) of phrases given as columns of word keys."""
+        h = np.full(len(parts[0]), len(parts), _U)
+        for p in parts:
+            h = mix((h ^ p) * _ODD)
+        return ((h >> _U(32)) * _U(self.buckets) >> _U(32)).astype(np.int32), h.astype(np.uint32)
+
+    def place(self, bucket, low: np.ndarray) -> np.ndarray:
+        return np.asarray(bucket, np.int64) * self.per + (mix(low.astype(_U)) % _U(self.per)).astype(np.int64)
+
+    def at(self, parts: list[np.ndarray]) -> np.ndarray:
+        return self.place(*self.of(parts))
 
 
 def _unique_rows(codes: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct phrases of ``length`` from positions ``at``: a position of each, and how often it occurs."""
-    key = codes[at].astype(np.int64)
+    wide = codes[at].astype(np.int64)
     spread = int(codes.max()) + 1
-    wide = key
     for i in range(1, length):
-        nxt = codes[at + i].astype(np.int64)
         if wide.size and int(wide.max()) > (1 << 62) // spread:
             _, wide = np.unique(wide, return_inverse=True)
-        wide = wide * spread + nxt
+        wide = wide * spread + codes[at + i]
     _, first, n = np.unique(wide, return_index=True, return_counts=True)
     return at[first], n
 
 
-def active_phrases(codes: np.ndarray, keys: np.ndarray, acts: list[np.ndarray], step: int, shards: int):
-    """(length, columns of word keys, counts) of what a block adds at ``step``.
+def active_phrases(codes: np.ndarray, keys: np.ndarray, acts: list[np.ndarray], slots: Slots, step: int, shards: int):
+    """(start, columns of word keys, counts) of what a block adds at ``step``; ``start`` is when those phrases began.
 
     ``acts[j]`` has, by slot, the step from which phrases of j + 1 words count as frequent. A phrase begins when
-    both parts that are one word shorter are frequent, and is counted for ``shards`` steps: one full cycle. Slots
-    may be shared; then a phrase begins earlier, always at the same step, and its count stays exact.
+    both parts that are one word shorter are frequent, and is counted for ``shards`` steps: one full cycle. A slot
+    may be shared; then a phrase begins earlier, but at the same step in every block, so its cycle stays full.
     """
-    slots = len(acts[0])
-    if step < shards and len(keys):
-        yield 1, [keys], np.bincount(codes, minlength=len(keys) + 1)[1:]
-    if step == 0 or not len(codes):
+    if not len(keys):
         return
+    if step < shards:
+        yield 0, [keys], np.bincount(codes, minlength=len(keys) + 1)[1:]
     start = np.full(len(keys) + 1, _NEVER, np.uint8)
-    start[1:] = acts[0][slot([keys], slots)]
+    start[1:] = acts[0][slots.at([keys])]
     begins = start[codes]  # of the phrase of ``length - 1`` words from each position
     for length in range(2, len(acts) + 2):
         if len(begins) < 2:
             return
         here = np.maximum(begins[:-1], begins[1:])
-        at = np.flatnonzero((here <= step) & (here + shards > step))
-        if len(at):
-            first, n = _unique_rows(codes, at, length)
-            yield length, [keys[codes[first + i] - 1] for i in range(length)], n
+        for began in range(max(1, step - shards + 1), step + 1):
+            at = np.flatnonzero(here == began)
+            if len(at):
+                first, n = _unique_rows(codes, at, length)
+                yield began, [keys[codes[first + i] - 1] for i in range(length)], n
         if length > len(acts):
             return
         # from when the phrase itself is frequent, wherever it stands; never before it was counted at all
@@ -164,97 +180,158 @@ def active_phrases(codes: np.ndarray, keys: np.ndarray, acts: list[np.ndarray],
         begins = np.full(len(here), _NEVER, np.uint8)
         if len(begun):
             parts = [keys[codes[begun + i] - 1] for i in range(length)]
-            begins[begun] = np.maximum(acts[length - 1][slot(parts, slots)], here[begun] + 1)
+            begins[begun] = np.maximum(acts[length - 1][slots.at(parts)], here[begun] + 1)
 
 
-def _scan(blocks: DataFrame, acts, step: int, shards: int, longest: int, flush: int = 1 << 20) -> DataFrame:
-    """Counts of one shard: (size, lang, word, w1.., n); words carry their text, longer phrases their word keys."""
-    names = [f"w{i + 1}" for i in range(longest)]
+SENT_SCHEMA = "size int, start int, bucket int, keys binary, counts binary"
+
+
+def _count_step(blocks: DataFrame, acts, slots: Slots, step: int, shards: int, flush: int) -> DataFrame:
+    """What one shard adds to the counters: per task, length, start and bucket the hashes in order, and a byte of count each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.frombuffer(a, np.uint8) for a in acts.value]
+        held: dict[tuple[int, int], list] = {}
+        total = 0
+
+        def drain():
+            for (size, start), found in held.items():
+                bucket, low, n = (np.concatenate(x) for x in zip(*found))
+                whole = (bucket.astype(_U) << _U(32)) | low
+                order = np.argsort(whole)
+                whole, n = whole[order], n[order]
+                edge = np.flatnonzero(np.append(True, whole[1:] != whole[:-1]))
+                whole, n = whole[edge], np.minimum(np.add.reduceat(n, edge), 255).astype(np.uint8)
+                bucket = (whole >> _U(32)).astype(np.int32)
+                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                ends = np.append(cuts[1:], len(bucket))
+                low = whole.astype(np.uint32)
+                columns = [np.full(len(cuts), size, np.int32), np.full(len(cuts), start, np.int32), bucket[cuts]]
+                bodies = [[x[a:b].tobytes() for a, b in zip(cuts, ends)] for x in (low, n)]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, columns), *[pa.array(b, pa.binary()) for b in bodies]], names=["size", "start", "bucket", "keys", "counts"]
+                )
+            held.clear()
+
+        for own, codes, lang in _unpacked(batches):
+            for start, parts, n in active_phrases(codes, word_keys(own, lang), tables, slots, step, shards):
+                held.setdefault((len(parts), start), []).append((*slots.of(parts), n))
+                total += len(n)
+            if total > flush:
+                yield from drain()
+                total = 0
+        yield from drain()
+
+    return blocks.where(F.col("shard") == step % shards).select("lang", "words", "codes").mapInArrow(count, SENT_SCHEMA)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray, str]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang, own, code = (batch.column(c)[i].as_py() for c in ("lang", "words", "codes"))
+            yield _spread(own), np.frombuffer(_spread(code), np.int32), lang
 
-        def rows(length, parts, n, lang=None, text=None):
-            size = len(n)
-            zero = np.zeros(size, np.int64)
-            cols = [p.view(np.int64) for p in parts] + [zero] * (longest - len(parts))
-            head = [pa.array(np.full(size, length), pa.int32()), lang or pa.nulls(size, pa.string()), text or pa.nulls(size, pa.string())]
-            return pa.RecordBatch.from_arrays(
-                [*head, *[pa.array(c) for c in cols], pa.array(n.astype(np.int64))], names=["size", "lang", "word", *names, "n"]
-            )
 
+def _reached(sent: DataFrame, slots: Slots, min_count: int) -> DataFrame:
+    """(size, bucket, bits): the slots of each bucket whose phrases have ``min_count`` occurrences so far."""
+
+    def add_up(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, n = [], []
+        for b in batches:
+            low += [np.frombuffer(x, np.uint32) for x in b.column("keys").to_pylist()]
+            n += [np.frombuffer(x, np.uint8) for x in b.column("counts").to_pylist()]
+        low, n = np.concatenate(low), np.concatenate(n)
+        order = np.argsort(low)
+        low = low[order]
+        edge = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        found = low[edge][np.add.reduceat(n[order], edge, dtype=np.int64) >= min_count]
+        bits = np.zeros(slots.per, bool)
+        bits[slots.place(0, found)] = True
+        row = [key[0].as_py(), key[2].as_py(), np.packbits(bits).tobytes()]
+        types = [pa.int32(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=["size", "bucket", "bits"])
+
+    return sent.groupBy("size", "start", "bucket").applyInArrow(add_up, "size int, bucket int, bits binary")
+
+
+def _exact(blocks: DataFrame, found, slots: Slots, longest: int, flush: int) -> DataFrame:
+    """Whole counts of every phrase whose slot was reached: (size, lang, word, w1.., n); size 0: all words of a lang."""
+    names = [f"w{i + 1}" for i in range(longest)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [np.unpackbits(np.frombuffer(b, np.uint8)).view(bool) for b in found.value]
         held: dict[int, list] = {}
+        words_of: dict[str, int] = {}
         total = 0
 
+        def rows(size, parts, n, langs=None, texts=None):
+            none = pa.nulls(len(n), pa.string())
+            zero = np.zeros(len(n), np.int64)
+            columns = [p.view(np.int64) for p in parts] + [zero] * (longest - len(parts))
+            head = [pa.array(np.full(len(n), size, np.int32)), none if langs is None else pa.array(langs), none if texts is None else pa.array(texts)]
+            tail = [*map(pa.array, columns), pa.array(np.asarray(n, np.int64))]
+            return pa.RecordBatch.from_arrays([*head, *tail], names=["size", "lang", "word", *names, "n"])
+
         def drain():
-            nonlocal total
-            for length, found in held.items():
-                parts = [np.concatenate(x) for x in zip(*(f[0] for f in found))]
-                n = np.concatenate([f[1] for f in found])
-                # sorted by a mixed key, equal phrases next to each other; what a chance tie parts is added up later
+            for size, own in held.items():
+                *parts, n, text = (np.concatenate(x) for x in zip(*own))
+                if not len(n):
+                    continue
                 mixed = np.zeros(len(n), _U)
                 for p in parts:
                     mixed = mix((mixed ^ p) * _ODD)
                 order = np.argsort(mixed)
-                parts, n = [p[order] for p in parts], n[order]
-                new = np.ones(len(n), bool)
-                new[1:] = np.any([p[1:] != p[:-1] for p in parts], axis=0)
-                edge = np.flatnonzero(new)
-                n = np.add.reduceat(n, edge)
-                parts = [p[edge] for p in parts]
+                parts, n, text = [p[order] for p in parts], n[order], text[order]
+                edge = np.flatnonzero(np.append(True, np.any([p[1:] != p[:-1] for p in parts], axis=0)))
+                parts, n, text = [p[edge] for p in parts], np.add.reduceat(n, edge), text[edge]
                 for i in range(0, len(n), 100_000):
-                    yield rows(length, [p[i : i + 100_000] for p in parts], n[i : i + 100_000])
+                    j = slice(i, i + 100_000)
+                    named = zip(*(x.split("\t", 1) for x in text[j])) if size == 1 else (None, None)
+                    yield rows(size, [p[j] for p in parts], n[j], *(x if x is None else list(x) for x in named))
             held.clear()
-            total = 0
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                lang, own, code = (batch.column(c)[i].as_py() for c in ("lang", "words", "codes"))
-                own = _spread(own)
-                codes, keys = np.frombuffer(_spread(code), np.int32), word_keys(own, lang)
-                for length, parts, n in active_phrases(codes, keys, tables, step, shards):
-                    if length == 1:
-                        text = pa.array(own.decode().split("\n"), pa.string())
-                        yield rows(1, parts, n, pa.array([lang] * len(n), pa.string()), text)
-                    else:
-                        held.setdefault(length, []).append((parts, n))
-                        total += len(n)
-                if total > flush:
-                    yield from drain()
+
+        for own, codes, lang in _unpacked(batches):
+            keys = word_keys(own, lang)
+            words_of[lang] = words_of.get(lang, 0) + int(np.count_nonzero(codes))
+            known = np.zeros(len(keys) + 1, bool)
+            if len(keys):
+                known[1:] = bits[0][slots.at([keys])]
+                number = np.flatnonzero(known[1:])
+                own = own.decode().split("\n")
+                # words have no tab, so lang and word can share a string
+                text = np.array([f"{lang.encode().hex()}\t{own[i]}" for i in number.tolist()] + [None], object)[:-1]
+                held.setdefault(1, []).append((keys[number], np.bincount(codes, minlength=len(known))[1:][number], text))
+                total += len(number)
+            there = known[codes]
+            for size in range(2, longest + 1):
+                there = there[:-1] & there[1:]
+                at = np.flatnonzero(there)
+                if not len(at):
+                    break
+                at, n = _unique_rows(codes, at, size)
+                parts = [keys[codes[at + i] - 1] for i in range(size)]
+                kept = bits[size - 1][slots.at(parts)]
+                at, n, parts = at[kept], n[kept], [p[kept] for p in parts]
+                held.setdefault(size, []).append((*parts, n, np.full(len(n), None, object)))
+                total += len(n)
+                if size < longest:
+                    there = np.zeros(len(there), bool)
+                    every = np.flatnonzero(known[codes[: len(there)]])
+                    every = every[np.all([known[codes[every + i]] for i in range(size)], axis=0)]
+                    there[every] = bits[size - 1][slots.at([keys[codes[every + i] - 1] for i in range(size)])]
+            if total > flush:
+                yield from drain()
+                total = 0
         yield from drain()
+        langs = list(words_of)
+        yield rows(0, [], np.array(list(words_of.values()), np.int64), [x.encode().hex() for x in langs])
 
     schema = f"size int, lang string, word string, {', '.join(f'{w} long' for w in names)}, n long"
-    return blocks.where(F.col("shard") == step % shards).select("lang", "words", "codes").mapInArrow(count, schema)
-
-
-def _marks(frequent: DataFrame, length: int, slots: int) -> np.ndarray:
-    """Slots of the frequent phrases as bits: per task, then combined by page, so at most ``slots`` bits arrive."""
-    page = 1 << 15
-
-    def mark(batches):
-        bits = np.zeros(slots, bool)
-        for b in batches:
-            bits[slot([b.column(i).to_numpy().view(_U) for i in range(length)], slots)] = True
-        found = np.flatnonzero(bits.reshape(-1, page).any(axis=1))
-        body = [np.packbits(bits[p * page : (p + 1) * page]).tobytes() for p in found]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(body, pa.binary())], names=["page", "bits"])
-
-    def either(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = np.zeros(page // 8, np.uint8)
-        for b in batches:
-            for x in b.column("bits"):
-                all_ |= np.frombuffer(x.as_py(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([all_.tobytes()], pa.binary())], names=["page", "bits"])
-
-    marked = frequent.select(*[f"w{i + 1}" for i in range(length)]).mapInArrow(mark, "page long, bits binary")
-    out = np.zeros(slots, bool)
-    for r in marked.groupBy("page").applyInArrow(either, "page long, bits binary").collect():
-        out[r.page * page : (r.page + 1) * page] = np.unpackbits(np.frombuffer(r.bits, np.uint8))
-    return out
+    return blocks.select("lang", "words", "codes").mapInArrow(count, schema)
 
 
 def phrase_counts(
-    docs: DataFrame, longest: int = 3, min_count: int = 10, shards: int = 3, slots: int = 1 << 23, block: int = 1 << 20
+    docs: DataFrame, longest: int = 3, min_count: int = 10, shards: int = 3, slots: int = 1 << 24, block: int = 1 << 20, flush: int = 1 << 20
 ) -> tuple[list[DataFrame], DataFrame]:
     """Exact counts of the phrases that reach ``min_count``, for every length, by dynamic itemset counting.
 
@@ -263,43 +340,53 @@ def phrase_counts(
     reached ``min_count``, and is counted for one full cycle. So lengths interleave: phrases of three words begin
     while some of two are still being counted. Scans end when nothing is being counted any more.
 
+    Counters are kept by hash, in buckets whose number follows the input (a bucket's number and four more bytes of
+    the hash; a task sends each hash once per ``flush`` of them); what reached ``min_count`` there is
+    counted once more by whole word keys, so hashes that meet only cost time. A table of ``slots`` says from which step
+    a phrase counts as frequent; it and nothing else is broadcast and collected, whatever the input.
+
     Returns, per length, (w1.., n) - for single words also (lang, word) - and (lang, n): all occurrences of words.
     """
+    if not 1 <= min_count <= 255:
+        raise ValueError("counters hold up to 255")
     spark = docs.sparkSession
-    if slots % (1 << 15):
-        raise ValueError("slots must be a multiple of 32768")
-    blocks, _ = _write_blocks(docs, shards, block)
-    acts = [np.full(slots, _NEVER, np.uint8) for _ in range(longest - 1)]
-    totals: list[DataFrame | None] = [None] * longest
-    keys = [[f"w{i + 1}" for i in range(k + 1)] for k in range(longest)]
+    blocks = _write_blocks(docs, shards, block)
+    total = blocks.agg(F.sum("size")).first()[0] or 0
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total // (1 << 27))
+    where = Slots(buckets, max(slots, 64 * buckets))
+    acts = [np.full(where.per * buckets, _NEVER, np.uint8) for _ in range(longest)]
+    sent: list[DataFrame] = []
     last = [shards - 1] + [-1] * (longest - 1)  # the last step at which a length is still counted
     step = 0
     while step <= max(last):
-        sent = spark.sparkContext.broadcast([a.tobytes() for a in acts])
-        found = cut_lineage(_scan(blocks, sent, step, shards, longest), f"phrases{step}")
-        for k in range(longest):
-            if step > last[k]:
-                continue
-            own = found.where(F.col("size") == k + 1).drop("size")
-            own = own.select(*keys[k], *(["lang", "word"] if k == 0 else []), "n")
-            own = own if totals[k] is None else totals[k].unionByName(own)
-            named = [F.min(c).alias(c) for c in ("lang", "word")] if k == 0 else []
-            totals[k] = cut_lineage(own.groupBy(*keys[k]).agg(F.sum("n").alias("n"), *named), f"totals{k + 1}")
-            if k + 1 == longest:
-                continue
-            reached = _marks(totals[k].where(F.col("n") >= min_count), k + 1, slots) & (acts[k] == _NEVER)
-            if reached.any():
-                acts[k][reached] = step + 1
-                last[k + 1] = max(last[k + 1], step + shards)
-            if k and last[k + 1] >= 0:
+        now = spark.sparkContext.broadcast([a.tobytes() for a in acts[:-1]])
+        sent.append(cut_lineage(_count_step(blocks, now, where, step, shards, flush), f"counts{step}"))
+        both = sent[-1]
+        for earlier in sent[max(0, step - shards + 1) : -1]:
+            both = both.union(earlier)
+        grown = set()
+        for r in _reached(both.where(F.col("start") > step - shards), where, min_count).toLocalIterator():
+            own = acts[r.size - 1][r.bucket * where.per : (r.bucket + 1) * where.per]
+            new = np.unpackbits(np.frombuffer(r.bits, np.uint8)).view(bool) & (own == _NEVER)
+            if new.any():
+                own[new] = step + 1
+                grown.add(r.size)
+        for size in range(1, longest):
+            if size in grown:
+                last[size] = max(last[size], step + shards)
+            if size > 1 and last[size] >= 0:
                 # a phrase that shares the slot of an earlier one counts as frequent a step after it began
-                last[k + 1] = max(last[k + 1], last[k] + 1)
-        sent.destroy()
+                last[size] = max(last[size], last[size - 1] + 1)
+        now.destroy()
         step += 1
-    n = totals[0].groupBy("lang").agg(F.sum("n").alias("n"))
-    empty = found.limit(0)
-    out = [t if t is not None else empty.select(*keys[k], "n") for k, t in enumerate(totals)]
-    return [t.where(F.col("n") >= min_count) for t in out], n
+    found = spark.sparkContext.broadcast([np.packbits(a != _NEVER).tobytes() for a in acts])
+    counted = _exact(blocks, found, where, longest, flush)
+    keys = [f"w{i + 1}" for i in range(longest)]
+    added = counted.groupBy("size", "lang", *keys).agg(F.min("word").alias("word"), F.sum("n").alias("n"))
+    added = cut_lineage(added.where((F.col("size") == 0) | (F.col("n") >= min_count)), "phrases")
+    lang = F.decode(F.unhex("lang"), "UTF-8").alias("lang")
+    out = [added.where(F.col("size") == k + 1).select(*keys[: k + 1], *([lang, "word"] if k == 0 else []), "n") for k in range(longest)]
+    return out, added.where("size = 0").select(lang, "n")
 
 
 def _score(a: str, left: str, right: str, scale: int) -> Column:
@@ -326,7 +413,7 @@ def _cut(phrases: DataFrame, counts: list[DataFrame], length: int, scale: int) -
 
 def collocations(
     docs: DataFrame, longest: int = 3, min_count: int = 10, contained_percent: int = 50, top: int | None = 2000,
-    scale: int = 1_000_000, shards: int = 3, slots: int = 1 << 23,
+    scale: int = 1_000_000, shards: int = 3, slots: int = 1 << 24,
 ) -> DataFrame:
     """Phrases of 2 to ``longest`` words whose parts attract each other, by lang.
 
@@ -341,8 +428,7 @@ def collocations(
 
     A null lang is ``und``; null and empty texts hold no words; repeated rows and ids count as often as they stand
     there; other columns are not read, so none can clash. An empty table gives no rows. Words are told apart by
-    64-bit hashes together with their lang. Nothing but the activations (two bits' worth of ``slots``, a fixed size)
-    reaches the driver or is broadcast.
+    64-bit hashes together with their lang.
     """
     if not 2 <= longest <= 5:
         raise ValueError("phrases may have 2 to 5 words")

@@ -42,7 +42,7 @@ NAMES = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
 def run(df, **options):
-    return sorted(tuple(r) for r in collocations(df, slots=1 << 15, **options).select(*NAMES).collect())
+    return sorted(tuple(r) for r in collocations(df, slots=1 << 12, **options).select(*NAMES).collect())
 
 
 @pytest.mark.parametrize("shards,longest", [(1, 3), (3, 3), (4, 2), (2, 4)])
@@ -54,7 +54,7 @@ def test_awkward(spark, awkward, shards, longest):
 def test_many_small_blocks_and_shared_slots(spark, documents):
     """Blocks of a kilobyte over many partitions: every phrase begins in another shard, and slots collide."""
     docs = documents.select("lang", "text").repartition(7)
-    counts, n = phrase_counts(docs, 3, 5, shards=3, slots=1 << 15, block=1 << 10)
+    counts, n = phrase_counts(docs, 3, 5, shards=3, slots=1 << 12, block=1 << 10)
     rows = [(r.lang, r.text) for r in docs.collect()]
     want = defaultdict(Counter)
     for lang, text in rows:
