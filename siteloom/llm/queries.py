@@ -17,10 +17,13 @@ from .pu_quality import quality
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .template_lines import template_lines, template_lines_sql
+from .token_alignment import align_tokens
 from .winnowing import decontaminate
 
 #: the model file that op5 and the pipeline read; any SentencePiece model of kind unigram or BPE will do
 PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+#: the byte-level BPE file that op11 aligns with it
+BYTE_MODEL = os.environ.get("BYTE_MODEL", "/opt/tokenizers/byte_bpe_50k.json")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +104,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_collocations", collocations_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), longest=3, min_count=10, contained_percent=50, top=2000)
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), read_model(spark, BYTE_MODEL), read_model(spark, PIECE_MODEL))

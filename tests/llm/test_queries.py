@@ -25,6 +25,7 @@ COLUMNS = {
     "op8_pu_quality": "doc_id held_out score predicted",
     "op9_winnowing": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op10_histogram_shards": "doc_id size text_crc32 law shard slot grown_shard",
+    "op11_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
     "op13_collocations": "lang rank phrase a l r n score",
 }
 
