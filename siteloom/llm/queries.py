@@ -14,6 +14,7 @@ from .ngram_join import ngram_join
 from .piece_codec import encode, read_model
 from .pseudonyms import pseudonyms
 from .pu_quality import quality
+from .site_templates import site_text
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .template_lines import template_lines, template_lines_sql
@@ -109,3 +110,8 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_token_alignment")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"), read_model(spark, BYTE_MODEL), read_model(spark, PIECE_MODEL))
+
+
+@query("op12_site_templates")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")

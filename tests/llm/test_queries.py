@@ -26,6 +26,7 @@ COLUMNS = {
     "op9_winnowing": "doc_id n_words n_hit n_items items_sha256 contaminated",
     "op10_histogram_shards": "doc_id size text_crc32 law shard slot grown_shard",
     "op11_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op12_site_templates": "page_id url text n_chars",
     "op13_collocations": "lang rank phrase a l r n score",
 }
 
@@ -41,6 +42,8 @@ def test_columns_and_rows(spark, name):
     n = df.count()
     if name == "op6_mih_search":
         assert n == 5 * queries.table(spark, str(DATA), "embeddings").where("vec_id % 50 = 0").count()
+    elif name == "op12_site_templates":
+        assert n == queries.table(spark, str(DATA), "pages").count()
     elif name not in ("op3_suffix_dedup", "op13_collocations"):
         assert n == queries.table(spark, str(DATA), "documents").count()
 
