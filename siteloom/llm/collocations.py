@@ -331,7 +331,7 @@ def _exact(blocks: DataFrame, found, slots: Slots, longest: int, flush: int) ->
 
 
 def phrase_counts(
-    docs: DataFrame, longest: int = 3, min_count: int = 10, shards: int = 3, slots: int = 1 << 24, block: int = 1 << 20, flush: int = 1 << 20
+    docs: DataFrame, longest: int = 3, min_count: int = 10, shards: int = 2, slots: int = 1 << 24, block: int = 1 << 20, flush: int = 1 << 20
 ) -> tuple[list[DataFrame], DataFrame]:
     """Exact counts of the phrases that reach ``min_count``, for every length, by dynamic itemset counting.
 
@@ -352,8 +352,8 @@ def phrase_counts(
     spark = docs.sparkSession
     blocks = _write_blocks(docs, shards, block)
     total = blocks.agg(F.sum("size")).first()[0] or 0
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total // (1 << 27))
-    where = Slots(buckets, max(slots, 64 * buckets))
+    buckets = min(max(8, total >> 25), slots // 64)  # some four million words each
+    where = Slots(buckets, slots)
     acts = [np.full(where.per * buckets, _NEVER, np.uint8) for _ in range(longest)]
     sent: list[DataFrame] = []
     last = [shards - 1] + [-1] * (longest - 1)  # the last step at which a length is still counted
@@ -382,10 +382,12 @@ def phrase_counts(
     found = spark.sparkContext.broadcast([np.packbits(a != _NEVER).tobytes() for a in acts])
     counted = _exact(blocks, found, where, longest, flush)
     keys = [f"w{i + 1}" for i in range(longest)]
-    added = counted.groupBy("size", "lang", *keys).agg(F.min("word").alias("word"), F.sum("n").alias("n"))
+    # texts are grouping keys, never aggregates, so the counts stay in hash maps
+    added = counted.groupBy("size", "lang", "word", *keys).agg(F.sum("n").alias("n"))
     added = cut_lineage(added.where((F.col("size") == 0) | (F.col("n") >= min_count)), "phrases")
     lang = F.decode(F.unhex("lang"), "UTF-8").alias("lang")
-    out = [added.where(F.col("size") == k + 1).select(*keys[: k + 1], *([lang, "word"] if k == 0 else []), "n") for k in range(longest)]
+    out = [added.where("size = 1").select("w1", lang, "word", "n")]
+    out += [added.where(F.col("size") == k).select(*keys[:k], "n") for k in range(2, longest + 1)]
     return out, added.where("size = 0").select(lang, "n")
 
 
@@ -396,24 +398,30 @@ def _score(a: str, left: str, right: str, scale: int) -> Column:
 
 
 def _cut(phrases: DataFrame, counts: list[DataFrame], length: int, scale: int) -> DataFrame:
-    """(w1.., n, l, r, score) of the cut with the lowest score, the first of equal ones."""
+    """(lang, phrase, n, l, r, score) of the cut with the lowest score, the first of equal ones.
+
+    Single words are joined once each, for their counts and their texts.
+    """
     keys = [f"w{i + 1}" for i in range(length)]
     out, cuts = phrases, []
+    for i, key in enumerate(keys):
+        own = [F.col("w1").alias(key), F.col("word").alias(f"t{i}"), F.col("n").alias(f"n{i}_{i + 1}"), *(["lang"] if i == 0 else [])]
+        out = out.join(counts[0].select(*own), key)
+    for size in range(2, length):
+        for i in (0, length - size):
+            own = [F.col(f"w{j + 1}").alias(keys[i + j]) for j in range(size)]
+            out = out.join(counts[size - 1].select(*own, F.col("n").alias(f"n{i}_{i + size}")), keys[i : i + size])
     for k in range(1, length):
-        sides = {}
-        for side, own in (("l", keys[:k]), ("r", keys[k:])):
-            names = {f"w{i + 1}": c for i, c in enumerate(own)}
-            known = counts[len(own) - 1].select(*[F.col(w).alias(c) for w, c in names.items()], F.col("n").alias(f"{side}{k}"))
-            out = out.join(known, own)
-            sides[side] = F.col(f"{side}{k}").alias(side)
-        cuts.append(F.struct(_score("n", f"l{k}", f"r{k}", scale).alias("score"), F.lit(k).alias("k"), sides["l"], sides["r"]))
+        left, right = f"n0_{k}", f"n{k}_{length}"
+        cuts.append(F.struct(_score("n", left, right, scale).alias("score"), F.lit(k).alias("k"), F.col(left).alias("l"), F.col(right).alias("r")))
     best = F.least(*cuts) if len(cuts) > 1 else cuts[0]
-    return out.select(*keys, "n", best.alias("b")).select(*keys, "n", "b.l", "b.r", "b.score")
+    phrase = F.concat_ws(" ", *[f"t{i}" for i in range(length)])
+    return out.select("lang", phrase.alias("phrase"), F.col("n").alias("a"), best.alias("b")).select("lang", "phrase", "a", "b.l", "b.r", "b.score")
 
 
 def collocations(
     docs: DataFrame, longest: int = 3, min_count: int = 10, contained_percent: int = 50, top: int | None = 2000,
-    scale: int = 1_000_000, shards: int = 3, slots: int = 1 << 24,
+    scale: int = 1_000_000, shards: int = 2, slots: int = 1 << 24,
 ) -> DataFrame:
     """Phrases of 2 to ``longest`` words whose parts attract each other, by lang.
 
@@ -433,7 +441,7 @@ def collocations(
     if not 2 <= longest <= 5:
         raise ValueError("phrases may have 2 to 5 words")
     counts, n = phrase_counts(docs, longest, min_count, shards, slots)
-    parts = []
+    named = None
     for length in range(2, longest + 1):
         keys = [f"w{i + 1}" for i in range(length)]
         own = counts[length - 1]
@@ -450,16 +458,8 @@ def collocations(
             most = most.groupBy(*keys).agg(F.max("most").alias("most"))
             share = F.expr(f"CAST(most AS DECIMAL(20,0)) * 100 >= CAST(n AS DECIMAL(20,0)) * {int(contained_percent)}")
             own = own.join(most, keys, "left").where(~F.coalesce(share, F.lit(False))).drop("most")
-        parts.append((length, _cut(own, counts, length, scale)))
-    lang_of = counts[0].select("w1", "lang", "word")
-    named = None
-    for length, own in parts:
-        for i in range(1, length + 1):
-            known = lang_of.select(F.col("w1").alias(f"w{i}"), F.col("word").alias(f"t{i}"), *(["lang"] if i == 1 else []))
-            own = own.join(known, f"w{i}")
-        phrase = F.concat_ws(" ", *[f"t{i}" for i in range(1, length + 1)])
-        own = own.select("lang", phrase.alias("phrase"), F.col("n").alias("a"), "l", "r", "score")
-        named = own if named is None else named.unionByName(own)
+        part = _cut(own, counts, length, scale)
+        named = part if named is None else named.unionByName(part)
     # the limit per lang is applied in every task before rows of a lang meet
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.col("phrase"))
     ranked = named.withColumn("rank", F.row_number().over(order))
