@@ -253,6 +253,65 @@ def incremental_ingest(spark, sf):
     return spark.read.parquet(f"{root}/store").select("cache_key", "page_id")
 
 
+_MANY = f"""WITH p AS (SELECT page_id, html, CASE WHEN page_id % 9 = 0 THEN NULL ELSE url END AS url, page_id % 12 AS batch FROM pages),
+          every AS (SELECT * FROM p UNION ALL SELECT page_id + 1000000, html, url, 11 FROM p WHERE page_id % 5 = 0),
+          k AS (SELECT *, CASE WHEN url IS NULL THEN 'row:' || page_id WHEN regexp_extract(url, '\\?([^#]*)', 1) = '' THEN {_KEY}
+            ELSE {_KEY} || '@' || left(md5(regexp_extract(url, '\\?([^#]*)', 1)), 12) END AS cache_key FROM every)"""
+
+
+@query("q46_many_batches", f"{_MANY} SELECT cache_key, arg_min(page_id, batch * 10000000 + page_id) AS page_id FROM k GROUP BY cache_key")
+def many_batches(spark, sf):
+    """Twelve batches, the last with pages stored before: each reads what may hold its keys."""
+    root = f"{stage_folder(spark)}/batches-{uuid.uuid4().hex}"
+    every = _captures(spark, sf)
+    schema = every.drop("batch").schema
+    for b in range(12):
+        every.where(F.col("batch") == b).drop("batch").coalesce(1).write.parquet(f"{root}/in/{b:02}")
+        stream = ingest.page_stream(spark, f"{root}/in/*", schema)
+        ingest.incremental_pages(stream, f"{root}/store", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/store").select("cache_key", "page_id")
+
+
+def _captures(spark, sf):
+    """Pages in twelve batches, some captured without URL, a fifth of them again in the last one."""
+    p = table(spark, sf, "pages").withColumn("url", F.when(F.col("page_id") % 9 != 0, F.col("url")))
+    p = p.select("page_id", "html", "url", (F.col("page_id") % 12).cast("int").alias("batch"))
+    again = p.where("page_id % 5 = 0").select((F.col("page_id") + 1000000).alias("page_id"), "html", "url", F.lit(11).alias("batch"))
+    return p.unionByName(again)
+
+
+@query("q46_keyed_stream", f"{_MANY} SELECT DISTINCT cache_key FROM k")
+def keyed_stream(spark, sf):
+    """The same captures as a stream that keeps its keys as Spark's state: every key once, in any order of arrival."""
+    root = f"{stage_folder(spark)}/keyed-{uuid.uuid4().hex}"
+    at = F.timestamp_seconds(F.col("page_id") % 1000 + 1_000_000_000)
+    every = _captures(spark, sf).withColumn("captured", at).repartition(4, F.col("page_id") % 7)
+    every.write.parquet(f"{root}/in")
+    stream = ingest.page_stream(spark, f"{root}/in", every.schema, per_trigger=2)
+    out = ingest.keyed_pages(stream, "captured", "1 day").select("cache_key")
+    run = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("cache_key")
+
+
+@query(
+    "q46_many_upserts",
+    """SELECT '/doc/' || doc_id AS path, n_chars + CASE WHEN doc_id % 7 = 0 THEN 8 ELSE 0 END AS n_chars,
+        CASE WHEN doc_id % 7 = 0 THEN 8 ELSE doc_id % 8 END AS changed FROM documents""",
+)
+def many_upserts(spark, sf):
+    """Eight batches of new rows and a ninth of changed ones; the current rows come from merged runs, not from the log."""
+    root = f"{stage_folder(spark)}/upserts-{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("/doc/"), _s("doc_id")).alias("path"), "n_chars")
+    schema = d.withColumn("n_chars", F.col("n_chars") + F.lit(0)).withColumn("changed", F.lit(0).cast("bigint")).schema
+    for b in range(9):
+        own = d.where("doc_id % 7 = 0").withColumn("n_chars", F.col("n_chars") + 8) if b == 8 else d.where(F.col("doc_id") % 8 == b)
+        own.withColumn("changed", F.lit(b).cast("bigint")).coalesce(1).write.parquet(f"{root}/in/{b}")
+        stream = ingest.page_stream(spark, f"{root}/in/*", schema)
+        ingest.incremental_upserts(stream, lambda x: x, f"{root}/store", f"{root}/state", ["path"], ["n_chars", "changed"]).awaitTermination()
+    return ingest.read_latest(spark, f"{root}/store", ["path"], ["n_chars", "changed"])
+
+
 @query(
     "q46_incremental_upserts",
     """SELECT '/news/' || source || '-' || doc_id AS path, text AS title, n_chars FROM documents WHERE doc_id % 6 <> 0""",
@@ -363,14 +422,13 @@ def _manifest(spark, sf):
 )
 def load_plan(spark, sf):
     inst = cut_lineage(part_instances(spark, sf), "instances")
-    properties = spark.createDataFrame(
-        [
-            ("ns:heading", ["heading", "intro"], ["image", "startNode"], ["heading", "intro", "image", "imageAltText", "startNode"]),
-            ("ns:grid", [], [], ["columns"]),
-            ("ns:card", ["heading", "text"], ["startNode", "image"], ["heading", "text", "image", "ctaLabel", "linkType"]),
-        ],
-        "node_type string, text array<string>, weakref array<string>, names array<string>",
-    )
+    declared = [
+        ("ns:heading", ["heading string", "intro string", "image weakreference", "imageAltText choice", "startNode weakreference"]),
+        ("ns:grid", ["columns long"]),
+        ("ns:card", ["jcr:title string", "heading string", "text string", "startNode weakreference", "image weakreference", "ctaLabel choice", "linkType choice"]),
+    ]
+    rows = [(t, i, *p.split(" "), None) for t, names in declared for i, p in enumerate(names)]
+    properties = load.property_lists(spark.createDataFrame(rows, "node_type string, ord int, name string, ptype string, mandatory boolean"))
     files = table(spark, sf, "part").select(
         F.concat(F.lit("p"), _s("p_partkey")).alias("page"),
         F.explode(F.expr(f"filter(sequence(0, 5), i -> i = 0 OR (i <= {PART_IMAGES} AND (p_partkey + i) % 4 <> 0))")).alias("seq"), "p_partkey",

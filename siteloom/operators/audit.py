@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
 
+# Python workers receive the code itself, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SEVERITY_MARK = {3: "🔴", 2: "🟠", 1: "🟡", 0: "🟢"}
 
 
@@ -73,18 +80,46 @@ def class_counts(audit: DataFrame) -> DataFrame:
     return audit.groupBy("class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "class")
 
 
+def contained(needles: list[str], hay: str) -> int:
+    """How many of ``needles`` occur in ``hay``; repeated needles count each time."""
+    if len(needles) < 4:
+        return sum(n in hay for n in needles)
+    import ahocorasick
+
+    counts: dict[str, int] = {}
+    for n in needles:
+        counts[n] = counts.get(n, 0) + 1
+    found = counts.pop("", 0)
+    automaton = ahocorasick.Automaton()
+    for n in counts:
+        automaton.add_word(n, n)
+    if not counts:
+        return found
+    automaton.make_automaton()
+    return found + sum(counts[n] for n in {n for _, n in automaton.iter(hay)})
+
+
+def _count_contained(batches):
+    for batch in batches:
+        needles, hays = (batch.column(c).to_pylist() for c in ("_headings", "text"))
+        hits = [0 if hay is None else contained([x for x in own if x is not None], hay) for own, hay in zip(needles, hays)]
+        yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("headings"), pa.array(hits, pa.int64())], names=["_key", "headings", "matched"])
+
+
 def heading_match(
     reference: DataFrame, local: DataFrame, key: str = "page", min_pct: int = rules.HEADING_MIN_PCT
 ) -> DataFrame:
     """(key, headings, matched, pct, status) per reference page.
 
     ``reference(key, heading)`` holds distinct normalised headings; ``local(key, text)`` the
-    normalised page text. Equi-join on the page, containment as the residual test. Fewer than three reference
-    headings cannot be scored.
+    normalised page text. A page's headings meet its text in one row, and one pass of an automaton over the text
+    finds all of them, so the work is linear in text and headings. Fewer than three reference headings cannot be scored.
     """
-    pairs = reference.select(key, "heading").join(local.select(key, "text"), key, "left")
-    hit = F.coalesce(F.contains("text", "heading"), F.lit(False))
-    counted = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("headings"), F.count_if(hit).alias("matched"))
+    wanted = reference.groupBy(key).agg(F.collect_list("heading").alias("_headings"))
+    both = wanted.join(local.select(key, "text"), key, "left")
+    packed = both.select(F.struct(key).alias("_key"), F.size("_headings").cast("long").alias("headings"), "_headings", "text")
+    counted = packed.mapInArrow(_count_contained, packed.select("_key", "headings", F.lit(0).cast("long").alias("matched")).schema)
+    counted = counted.select("_key.*", "headings", "matched")
     pct = F.bround(F.col("matched") * 100 / F.col("headings")).cast("int")
     status = F.when(F.col("headings") < rules.HEADING_MIN_COUNT, "unscorable").when(
         pct < min_pct, "fail"

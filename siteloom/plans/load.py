@@ -156,35 +156,32 @@ def load_plan(
     )
 
 
-def nested_paths(rows: DataFrame, page: str, usual: int = 8) -> DataFrame:
-    """Resolve ``_up`` (created parent of the same page, if any) to ``parent_path``.
+def nested_paths(rows: DataFrame, page: str, rounds: int = 40) -> DataFrame:
+    """Resolve ``_up`` (created parent of the same page, if any) to ``parent_path``, by pointer doubling.
 
-    A page's rows are packed once, bounded by that page, and each row walks up its own chain inside
-    the row. Nesting in markup is shallow: ``usual`` steps nearly always reach the top, and only a row
-    still below it then goes on for as many steps as the page has rows.
+    A row carries its nearest unresolved ancestor and the names from below that one down to itself. Each round
+    joins it to the row it points to and takes over what that one has, so the distance doubles: nesting of depth
+    d takes log2(d) rounds, no row ever holds its page, and pages without nesting take none. Only rows still open are
+    joined; every round is written, so a lost executor repeats one round.
     """
-    tree = rows.groupBy(page).agg(
-        F.map_from_entries(F.collect_list(F.struct("idx", F.struct("name", F.col("_up").alias("up"))))).alias("_tree")
-    )
-    start = F.struct(F.col("_up").alias("at"), F.array().cast("array<string>").alias("names"))
-
-    def climb(acc: Column, _: Column) -> Column:
-        here = F.try_element_at("_tree", acc["at"])
-        return F.when(acc["at"].isNull(), acc).otherwise(
-            F.struct(here["up"].alias("at"), F.array_prepend(acc["names"], here["name"]).alias("names"))
-        )
-
-    few = F.sequence(F.lit(1), F.lit(usual))
-    rest = F.sequence(F.lit(1), F.greatest(F.size(F.map_keys("_tree")), F.lit(1)))
-    near = rows.join(tree, page).withColumn("_near", F.aggregate(few, start, climb))
-    walked = F.when(F.col("_near.at").isNull(), F.col("_near")).otherwise(F.aggregate(rest, F.col("_near"), climb))
-    return (
-        near
-        .withColumn("_chain", F.when(F.col("_up").isNull(), F.array().cast("array<string>")).otherwise(walked["names"]))
-        .withColumn("parent_path", F.concat_ws("/", F.col("main_area"), F.array_join("_chain", "/")))
-        .withColumn("parent_path", F.regexp_replace("parent_path", "/$", ""))
-        .drop("_tree", "_chain", "_near")
-    )
+    reached = rows.select(page, "idx", F.col("_up").alias("at"), F.col("name").alias("path"))
+    nested = rows.where(F.col("_up").isNotNull())
+    if not nested.isEmpty():
+        reached = cut_lineage(reached, "reached")
+        for n in range(rounds):
+            open_ = reached.where(F.col("at").isNotNull())
+            above = reached.select(page, F.col("idx").alias("at"), F.col("at").alias("_next"), F.col("path").alias("_above"))
+            farther = open_.join(above, [page, "at"], "left").select(page, "idx", F.col("_next").alias("at"), F.concat_ws("/", "_above", "path").alias("path"))
+            reached = cut_lineage(reached.where(F.col("at").isNull()).unionByName(farther), f"reached{n}")
+            if reached.where(F.col("at").isNotNull()).isEmpty():
+                break
+        else:
+            raise ValueError(f"rows are nested in themselves, or deeper than 2**{rounds}")
+        parents = reached.select(page, F.col("idx").alias("_up"), F.col("path").alias("_chain"))
+        rows = rows.join(parents, [page, "_up"], "left")
+    else:
+        rows = rows.withColumn("_chain", F.lit(None).cast("string"))
+    return rows.withColumn("parent_path", F.concat_ws("/", "main_area", "_chain")).drop("_chain")
 
 
 def start_node_plan(queries: DataFrame, folders: DataFrame, listing_pages: DataFrame) -> DataFrame:

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import sys
+from decimal import Decimal
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
 
+# Python workers receive the code itself, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(seq, value): file order survives, because the files are ordered by name and read in order.
@@ -56,47 +65,73 @@ def property_labels(lines: DataFrame, lang: str) -> DataFrame:
     )
 
 
-def flatten_labels(docs: DataFrame, column: str = "json", keep: tuple[str, ...] = ("lang",)) -> DataFrame:
-    """(keep, key, value): nested dictionaries -> dotted leaf keys.
+def json_leaves(text: str | None) -> list[tuple[str, str | None]]:
+    """(dotted key, value) of every leaf of a nested dictionary, in order; none for anything that is not one.
 
-    Each level explodes the objects and sets the leaves aside, as many times as the deepest text
-    has open braces.
+    Texts are values as they stand; other leaves are JSON. A dictionary that names a key twice is no valid one.
     """
-    outside = F.regexp_replace(F.regexp_replace(F.col(column), r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}]+", "")
-    nested = F.aggregate(
-        F.split(outside, ""),
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
-        lambda a, c: F.struct(
-            (a["now"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("now"),
-            F.greatest(a["most"], a["now"] + F.when(c == "{", 1).otherwise(0)).alias("most"),
-        ),
-        lambda a: a["most"],
-    )
-    max_depth = docs.agg(F.max(nested)).first()[0] or 0
-    level = docs.select(*keep, F.lit("").alias("key"), F.try_parse_json(F.col(column)).alias("v"))
-    exploded = level
-    for _ in range(max_depth):
-        is_object = F.col("v").isNotNull() & F.schema_of_variant("v").startswith("OBJECT")
-        inner = F.from_json(F.to_json("v"), "map<string,variant>")
-        step = F.when(is_object, inner)
-        exploded = exploded.select(
-            *keep,
-            F.explode(
-                F.coalesce(
-                    F.transform(
-                        F.map_entries(step),
-                        lambda e: F.struct(
-                            F.concat(F.when(F.col("key") == "", F.lit("")).otherwise(F.concat("key", F.lit("."))), e["key"]).alias("key"),
-                            e["value"].alias("v"),
-                        ),
-                    ),
-                    F.array(F.struct(F.col("key").alias("key"), F.col("v").alias("v"))),
-                )
-            ).alias("e"),
-        ).select(*keep, "e.key", "e.v")
-    return exploded.where(F.col("key") != "").select(
-        *keep, "key", F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value")
-    )
+
+    def unique(pairs):
+        own = dict(pairs)
+        if len(own) < len(pairs):
+            raise ValueError("a key is named twice")
+        return own
+
+    def refuse(name):
+        raise ValueError(name)
+
+    try:
+        doc = json.loads(text or "", object_pairs_hook=unique, parse_float=Decimal, parse_constant=refuse)
+    except (ValueError, RecursionError):
+        return []
+    out: list[tuple[str, str | None]] = []
+    open_ = [(k, v) for k, v in reversed(doc.items())] if isinstance(doc, dict) else []
+    while open_:
+        key, value = open_.pop()
+        if isinstance(value, dict):
+            open_ += [(f"{key}.{k}" if key else k, v) for k, v in reversed(value.items())]
+        elif key != "":
+            out.append((key, value if isinstance(value, str) else _json(value)))
+    return out
+
+
+def _json(value) -> str:
+    """A leaf that is no text, as compact JSON; a number without trailing zeros."""
+    if isinstance(value, Decimal):
+        plain = value.normalize()
+        return f"{plain:f}" if plain.as_tuple().exponent > -39 and plain.adjusted() < 39 else repr(float(plain))
+    if isinstance(value, list):
+        return "[" + ",".join(json.dumps(v, ensure_ascii=False) if isinstance(v, str) else _json(v) for v in value) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{json.dumps(v, ensure_ascii=False) if isinstance(v, str) else _json(v)}" for k, v in sorted(value.items())) + "}"
+    return json.dumps(value)
+
+
+def flatten_labels(docs: DataFrame, column: str = "json", keep: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """(keep, key, value): nested dictionaries -> dotted leaf keys, one pass over each text at any depth."""
+
+    def flat(batches):
+        for batch in batches:
+            rows, keys, values = [], [], []
+            for i, text in enumerate(batch.column("_json").to_pylist()):
+                for key, value in json_leaves(text):
+                    rows.append(i)
+                    keys.append(key)
+                    values.append(value)
+                if len(rows) > 50_000:  # a long file need not wait for the others
+                    yield part(batch, rows, keys, values)
+                    rows, keys, values = [], [], []
+            yield part(batch, rows, keys, values)
+
+    def part(batch, rows, keys, values):
+        kept = batch.column("_keep").take(pa.array(rows, pa.int64()))
+        return pa.RecordBatch.from_arrays([kept, pa.array(keys, pa.string()), pa.array(values, pa.string())], names=["_keep", "key", "value"])
+
+    packed = docs.select(F.struct(*keep).alias("_keep"), F.col(column).cast("string").alias("_json"))
+    schema = packed.select("_keep", F.lit("").alias("key"), F.lit("").alias("value")).schema
+    for f in schema.fields:
+        f.nullable = True
+    return packed.mapInArrow(flat, schema).select(*[F.col("_keep").getField(c).alias(c) for c in keep], "key", "value")
 
 
 def crawl_errors(lines: DataFrame) -> DataFrame:
