@@ -6,13 +6,16 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import text_batches
+from .words import slices
 
 MARK = "▁"  # stands for a blank
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -137,13 +140,14 @@ def _words(model: PieceModel) -> bool:
 class Codec:
     """Encodes and decodes batches in one process; built once per Python worker and model.
 
-    Where words can be encoded apart, each distinct word of a batch is encoded once, on all threads,
-    and kept for the next batches, up to ``keep`` words.
+    Where words can be encoded apart, each distinct word of a batch is encoded once, on all threads, decoded
+    again to see whether it comes back, and kept for the next batches. Beyond ``keep`` words, those seen
+    once since the last time go; of the others at most half of ``keep`` stay, the more frequent ones.
     """
 
     _built: dict[int, Codec] = {}
 
-    def __init__(self, data: bytes, threads: int = 1, keep: int = 50_000):
+    def __init__(self, data: bytes, threads: int = 1, keep: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if threads > 1 else "false")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         self.model = PieceModel.parse(data)
@@ -156,10 +160,9 @@ class Codec:
             self.simple = not self.model.charsmap and not self.model.squeeze
             self.parts.normalizer = None
             self.parts.pre_tokenizer = None
-            # what each id stands for; an unknown piece stands for no text
-            byte = {i: bytes([int(p[3:-1], 16)]) for i, (p, _, kind) in enumerate(self.model.pieces) if kind == _BYTE}
-            self.spelling = [byte.get(i, p.encode() if kind != _UNKNOWN else b"\xff") for i, (p, _, kind) in enumerate(self.model.pieces)]
-            self._forget()
+            self.known: dict[str, int] = {}
+            self.ids, self.starts, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+            self.seen = np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, data: bytes, threads: int = 1) -> Codec:
@@ -176,20 +179,33 @@ class Codec:
         return self._whole
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts, self.same = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, bool)]
+        """Keep the words that came again, the frequent ones first."""
+        order = np.argsort(-self.seen, kind="stable")[: self.keep // 2]
+        order = np.sort(order[self.seen[order] > 1])
+        names = list(self.known)
+        self.known = {names[i]: n for n, i in enumerate(order.tolist())}
+        size = np.diff(self.starts)[order]
+        self.ids = self.ids[_spread(self.starts[order], size)]
+        self.starts = np.concatenate([[0], np.cumsum(size)])
+        self.same, self.seen = self.same[order], np.zeros(len(order), np.int64)
 
     def _learn(self, new: list[str]) -> None:
         coded: list[list[int]] = []
+        same: list[bool] = []
+        lead = MARK if self.model.add_prefix else ""
         for i in range(0, len(new), _AT_ONCE):  # an encoding is much larger than its ids
-            coded += [e.ids for e in self.parts.encode_batch_fast(new[i : i + _AT_ONCE], add_special_tokens=False)]
-        last = self.starts[-1][-1]
-        self.ids.append(np.fromiter((i for c in coded for i in c), np.int32))
-        self.starts.append(last + np.cumsum([len(c) for c in coded]))
-        spelt = self.spelling
-        self.same.append(np.array([b"".join([spelt[i] for i in c]) == w.encode() for c, w in zip(coded, new)]))
-        for w in new:
-            self.known[w] = len(self.known)
+            own = new[i : i + _AT_ONCE]
+            ids = [e.ids for e in self.parts.encode_batch_fast(own, add_special_tokens=False)]
+            back = self.parts.decode_batch(ids, skip_special_tokens=False)
+            same += [b == w.removeprefix(lead).replace(MARK, " ") for b, w in zip(back, own)]
+            coded += ids
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        flat = np.fromiter(chain.from_iterable(coded), np.int32, int(size.sum()))
+        self.ids = np.concatenate([self.ids, flat])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(size)])
+        self.same = np.concatenate([self.same, np.array(same, bool)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
 
     def encode_arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool]]:
         """Ids of all texts end to end, their offsets, and whether each decodes to its text."""
@@ -205,20 +221,21 @@ class Codec:
         else:
             normal = [self.normalizer.normalize_str(t) for t in texts]
         words = [_WORD.findall(t) for t in normal]
-        known = self.known
-        new = list(dict.fromkeys(w for x in words for w in x if w not in known))
-        if new:
-            self._learn(new)
-        flat, starts, same = (np.concatenate(x) for x in (self.ids, self.starts, self.same))
-        self.ids, self.starts, self.same = [flat], [starts], [same]
-        at = np.fromiter((known[w] for x in words for w in x), np.int64)
-        size = starts[at + 1] - starts[at]
+        every = list(chain.from_iterable(words))
+        get = self.known.get
+        at = np.fromiter((get(w, -1) for w in every), np.int64, len(every))
+        if (at < 0).any():
+            self._learn(list(dict.fromkeys(every[i] for i in np.flatnonzero(at < 0).tolist())))
+            known = self.known
+            for i in np.flatnonzero(at < 0).tolist():
+                at[i] = known[every[i]]
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        size = self.starts[at + 1] - self.starts[at]
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(starts[at] - (ends - size), size) + np.arange(total)]
+        ids = self.ids[_spread(self.starts[at], size)]
         cuts = np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(int)
         offsets = np.concatenate([[0], ends])[cuts]
-        good = np.concatenate([[0], np.cumsum(~same[at])])[cuts]
+        good = np.concatenate([[0], np.cumsum(~self.same[at])])[cuts]
         lead = 1 if self.model.add_prefix else 0
         back = [b == a and n[lead:] == t.replace(" ", MARK) and MARK not in t for a, b, n, t in zip(good, good[1:], normal, texts)]
         return ids, offsets, back
@@ -231,6 +248,12 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False) if ids else []
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 def read_model(spark: SparkSession, path: str) -> bytes:
     """The model file by Spark's reader, from any store; a local file of the driver otherwise."""
     if "://" not in path and os.path.exists(path):
@@ -282,16 +305,23 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2, columns: tuple[str,
 
 
 def decode(tokens: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give a null text."""
+    """(doc_id, text) from (doc_id, ids): the library's decoder over portions of about a million ids; a longer row stands alone.
+
+    Null ids give a null text, no ids the empty one; rows keep their ids, repeated or null; other columns are not read; an
+    empty table gives no rows.
+    """
     sent = tokens.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
         codec = Codec.of(sent.value, threads)
         for batch in batches:
-            ids = batch.column(1).to_pylist()
-            back = iter(codec.decode([i for i in ids if i is not None]))
-            text = [None if i is None else next(back) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
+            sizes = [n or 0 for n in pc.list_value_length(batch.column(1)).to_pylist()]
+            for a, b in slices(sizes):
+                part = batch.slice(a, b - a)
+                ids = part.column(1).to_pylist()
+                back = iter(codec.decode([i for i in ids if i is not None]))
+                text = [None if i is None else next(back) for i in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
 
     return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(
         rows, "doc_id long, text string"
