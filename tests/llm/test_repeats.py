@@ -1,17 +1,19 @@
 """Substring, suffix and line deduplication against plain computations."""
 
 import hashlib
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siteloom.llm.substring_dedup import levels, substring_dedup
 from siteloom.llm.suffix_dedup import compare, suffix_dedup
 from siteloom.llm.template_lines import template_lines
 from siteloom.llm.words import SPACE, minimisers, words
 
-from .conftest import plain_words, repeated_cover
+from .conftest import passage, plain_words, repeated_cover
 
 
 def pairs(df):
@@ -151,15 +153,89 @@ def test_lines_of_templates(spark):
     assert got[7] == (None, 0, 0) and got[8] == ("", 1, 0)
 
 
-def test_lines_awkward(awkward, nothing):
-    got = template_lines(awkward)
+def lines_reference(rows, min_docs=2, min_variable=3, depth=3, similarity=0.5, percent=1):
+    """(doc_id, text) of every row, by dictionaries; ``rows`` of (doc_id, text), ids repeated or null."""
+
+    def mask(line):
+        masked = " ".join("<*>" if re.search("[0-9]", t) else t for t in line.split(" "))
+        return line if masked.count("<*>") > (1 - similarity) * (masked.count(" ") + 1) else masked
+
+    def leaf(line):
+        t = line.split(" ")
+        return len(t), tuple("<*>" if re.search("[0-9]", x) else x for x in t[:depth])
+
+    def first(ids):
+        return min((i for i in ids if i is not None), default=None)
+
+    docs_of, leaf_of = defaultdict(set), {}
+    split = [[(x, re.sub("[ \t\x0b\f\r]+", " ", x).strip(" ")) for x in (t or "").split("\n")] for _, t in rows]
+    for (i, _), lines in zip(rows, split):
+        for _, x in lines:
+            if x:
+                docs_of[mask(x), leaf(x)].add(i)
+    leaves = defaultdict(list)
+    for m, at in docs_of:
+        leaves[at].append(m)
+    pattern_of, docs_with = {}, defaultdict(set)
+    for at, own in leaves.items():
+        if len(own) < 2 or sum(len(docs_of[m, at]) for m in own) < min_variable or at[0] <= depth:
+            continue
+        counts = Counter((p, t) for m in own for p, t in enumerate(m.split(" ")) if p >= depth and t != "<*>")
+        for m in own:
+            fixed = [(p, t) for p, t in enumerate(m.split(" ")) if p >= depth and counts[p, t] >= min_variable and counts[p, t] * 100 >= len(own) * percent]
+            if len(fixed) >= similarity * (at[0] - depth):
+                pattern_of[m] = (at, tuple(fixed))
+                docs_with[at, tuple(fixed)] |= docs_of[m, at]
+
+    def dropped(i, x):
+        if not x:
+            return False
+        sets = [(docs_of[mask(x), leaf(x)], min_docs), (docs_with.get(pattern_of.get(mask(x)), ()), min_variable)]
+        return any(len(ids) >= n and first(ids) is not None and first(ids) != i for ids, n in sets)
+
+    return Counter((i, None if t is None else "\n".join(raw for raw, x in lines if not dropped(i, x))) for (i, t), lines in zip(rows, split))
+
+
+def test_lines_awkward(spark, awkward, nothing):
+    extra = [(None, f"{passage(8, 40)}\nown"), (None, f"{passage(8, 40)}\nown"), (None, "only here\nonly here"), (40, "only there\nonly there"), (40, f"{passage(8, 40)}")]
+    docs = awkward.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
+    got = template_lines(docs)
     assert got.columns == [*awkward.columns, "n_lines", "n_dropped"]
-    rows = got.collect()
-    assert Counter((r.doc_id, r.text) for r in rows) == Counter(pairs(awkward))  # nothing is in three documents
-    assert all(r.block == 1 and r.mask == "m" for r in rows)
+    assert Counter(pairs(got)) == lines_reference(pairs(docs))
+    assert all(r.block == 1 and r.mask == "m" for r in template_lines(awkward).collect())
     assert template_lines(nothing).collect() == []
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_against_plain_computation(spark, seed):
+    """Few words, so that leaves fill with several templates, unlike lines and fields with and without digits."""
+    rng = np.random.default_rng(seed)
+    words_ = ["alpha", "beta", "gamma", "delta", "x1", "y22"]
+    rows = []
+    for i in range(60):
+        lines = [" ".join(["job"] * 3 + [words_[w] for w in rng.integers(0, 6, rng.integers(1, 6))]) for _ in range(rng.integers(0, 5))]
+        rows.append((i, "\n".join(lines)))
+    got = template_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=20)
+    assert Counter(pairs(got)) == lines_reference(rows, percent=20)
+
+
+def test_line_templates_do_not_switch_each_other_off(spark):
+    names = ["ann", "bob", "cat", "dan", "eve", "fay"]
+    rows = [(i, f"Posted by user {n} in forum general") for i, n in enumerate(names)] + [(10, "Posted by user groups from around Europe")]
+    rows += [(20 + i, f"{passage(3, 64)}\nown {passage(50 + i, 3)}") for i in range(2)]
+    got = dict(pairs(template_lines(spark.createDataFrame(rows, "doc_id long, text string"))))
+    assert [got[i] for i in range(6)] == [rows[0][1], "", "", "", "", ""] and got[10] == rows[6][1]
+    assert got[20] == rows[7][1] and got[21] == f"own {passage(51, 3)}"
+
+
+def test_lines_keep_strangers_columns(spark):
+    names = ["row", "hash", "pos", "line", "leaf", "first", "id", "of", "dropped", "every", "token", "n", "fixed", "pattern", "_doc_id", "_kept", "_dropped", "l"]
+    df = spark.createDataFrame([(1, "a b c\nd"), (2, "a b c\ne")], "doc_id long, text string")
+    got = template_lines(df.select("*", *[F.lit(n).alias(n) for n in names]))
+    assert got.columns == ["doc_id", "text", *names, "n_lines", "n_dropped"]
+    assert all(r[n] == n for r in got.collect() for n in names) and dict(pairs(got)) == {1: "a b c\nd", 2: "e"}
+
+
 def test_lines_use_functions_only(documents):
     plan = template_lines(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
