@@ -11,7 +11,7 @@ from ..operators import audit, components, coverage, dom, fingerprint, listing,
 from ..operators.joins import prefix_classify
 from ..plans import article, load
 from ..session import stage_folder
-from ..sources import lists, sinks
+from ..sources import captures, lists, manifests, sinks
 from ..sources import pages as captured
 from . import query
 from .audits import _gate_nodes
@@ -237,12 +237,12 @@ def captured_pages(spark, sf):
 
 @query(
     "q97_token_sheet",
-    f"""WITH {_TOKENS}, {_FONTS} SELECT ':root {{' AS value UNION ALL SELECT '}}' UNION ALL SELECT '  ' || CASE n WHEN 1 THEN '--font-body' ELSE '--font-heading' END || ': ' || stack || ';' FROM fonts""",
+    f"""WITH {_TOKENS}, {_FONTS} SELECT ':root {{' AS value UNION ALL SELECT '}}' UNION ALL SELECT '  ' || CASE n WHEN 1 THEN '--font-body' ELSE '--font-heading' END || ': ' || stack || ';' FROM fonts
+        UNION ALL SELECT CASE WHEN token SIMILAR TO '--color-[a-z]+' THEN '  ' || token || ': ' || value || ';' ELSE '  ' || token || ': ' || value || '; /* used ' || uses || 'x */' END FROM colors""",
 )
 def token_sheet(spark, sf):
     sheets = _sheets(spark, sf)
-    whole = tokens.stylesheet(tokens.color_tokens(sheets), tokens.font_tokens(sheets))
-    return whole.where("grp <> 0 AND grp <> 1").select("value")
+    return tokens.stylesheet(tokens.color_tokens(sheets), tokens.font_tokens(sheets)).select("value")
 
 
 @query(
@@ -341,3 +341,120 @@ def media_totals(spark, sf):
 def facet_attributes(spark, sf):
     counted = table(spark, sf, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("p_type", listing.facet_attribute(F.col("p_type")).alias("attr"), "n")
+
+
+@query(
+    "q84_write_tally",
+    """SELECT count(*) AS total, count(*) FILTER (o_orderkey % 9 <> 0 AND o_totalprice >= 20000) AS ok, count(*) FILTER (o_orderkey % 9 <> 0 AND o_totalprice < 20000) AS failed,
+          count(*) FILTER (o_orderkey % 9 = 0) AS skipped, round(sum(o_totalprice)) AS value FROM orders""",
+)
+def write_tally(spark, sf):
+    """The tallies of a run, taken while its rows are written: no second pass over them."""
+    status = F.when(F.col("o_orderkey") % 9 == 0, "skipped").when(F.col("o_totalprice") < 20000, "failed").otherwise("ok")
+    rows = table(spark, sf, "orders").withColumn("status", status)
+    got = sinks.write_observed(rows, _folder(spark, "run"), **sinks.run_metrics(), value=F.round(F.sum("o_totalprice")))
+    return spark.createDataFrame([got], "total bigint, ok bigint, failed bigint, skipped bigint, value double")
+
+
+_HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"
+
+
+@query(
+    "q98_page_sample",
+    f"""SELECT {_HOST} AS host, page_id FROM pages QUALIFY row_number() OVER (PARTITION BY {_HOST} ORDER BY md5(page_id::VARCHAR), page_id) <= 8""",
+)
+def page_sample(spark, sf):
+    """Eight pages of every site, those of least hash: the same for any partitioning."""
+    p = table(spark, sf, "pages").select(urls.host(F.col("url")).alias("host"), "page_id")
+    return captured.sample_pages(p.repartition(7), ["host"], "page_id", 8)
+
+
+@query(
+    "q96_sampled_translations",
+    f"""WITH {_NODES}, t AS (SELECT *, c_custkey % 2 = 0 AND c_custkey % 8 = 0 AS gap FROM cust WHERE c_custkey % 2 = 0 OR c_custkey % 8 <> 0),
+        s AS (SELECT * FROM t QUALIFY row_number() OVER (ORDER BY md5(c_custkey::VARCHAR), c_custkey) <= 60),
+        n AS (SELECT 'all' AS rows, count(*) AS total, count(*) FILTER (gap) AS gap FROM t UNION ALL SELECT 'sample', count(*), count(*) FILTER (gap) FROM s)
+        SELECT rows, total, gap, CASE WHEN gap > total * 0.2 THEN 'fail' WHEN gap > 0 THEN 'note' ELSE 'ok' END AS status FROM n""",
+)
+def sampled_translations(spark, sf):
+    """The gate over all titled nodes, and over sixty of them as the short probe takes it."""
+    k = F.col("c_custkey")
+    titles = F.map_filter(
+        F.create_map(F.lit("fr"), F.when(k % 2 == 0, "t"), F.lit("en"), F.when(k % 8 != 0, "t")), lambda _, v: v.isNotNull()
+    )
+    nodes = customer_nodes(spark, sf).select("c_custkey", titles.alias("titles"))
+    return coverage.sampled_translation_coverage(nodes, "fr", "en", "c_custkey", 60)
+
+
+@query(
+    "q97_capture_tree",
+    """WITH c AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'curated' ELSE 'crawled' END AS src, html FROM pages)
+        SELECT 'p' || page_id AS slug, CASE WHEN src = 'crawled' THEN 'https://h.example/p' || page_id END AS url, md5(CASE WHEN src = 'curated' THEN 'curated ' ELSE '' END || html) AS digest FROM c""",
+)
+def capture_tree(spark, sf):
+    """Pages written as capture files, a third of them curated too, and read back by the data source."""
+    root = _folder(spark, "tree").removeprefix("file:")
+    p = table(spark, sf, "pages").select(F.concat(F.lit("p"), _s("page_id")).alias("slug"), "html", "page_id")
+    captures.write_captures(p.select(F.concat(F.lit("h.example/"), "slug", F.lit(".html")).alias("file"), "html"), f"{root}/crawl")
+    curated = p.where("page_id % 3 = 0").select(F.concat("slug", F.lit(".html")).alias("file"), F.concat(F.lit("curated "), "html").alias("html"))
+    captures.write_captures(curated, f"{root}/curated")
+    found = captures.captures(spark, f"{root}/curated", f"{root}/crawl")
+    return found.select("slug", "url", F.md5("html").alias("digest"))
+
+
+@query(
+    "q97_capture_stream",
+    """SELECT 'p' || page_id || '.html' AS file, length(html) AS n_chars FROM pages WHERE page_id % 2 = 0""",
+)
+def capture_stream(spark, sf):
+    """The same files as a stream of two runs: what arrives between them follows, nothing comes twice."""
+    root = _folder(spark, "stream").removeprefix("file:")
+    p = table(spark, sf, "pages").where("page_id % 2 = 0").select(F.concat(F.lit("p"), _s("page_id"), F.lit(".html")).alias("file"), "html", "page_id")
+    for part in (0, 2):
+        captures.write_captures(p.where(F.col("page_id") % 4 == part), f"{root}/in")
+        found = captures.capture_stream(spark, f"{root}/in").select("file", F.length("html").cast("bigint").alias("n_chars"))
+        run = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state")
+        run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+@query(
+    "q98_reference_fallbacks",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'line ' || l_linenumber WHEN p_size > 10 THEN p_name ELSE l_shipmode END AS title,
+          CASE WHEN p_size > 10 THEN p_brand ELSE '-' END AS subtitle FROM (SELECT *, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) LEFT JOIN part ON p_partkey = l_partkey""",
+)
+def reference_fallbacks(spark, sf):
+    """A card's own title, else that of what it refers to, else a general one; some references do not resolve."""
+    own = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("line "), _s("l_linenumber"))).otherwise("")
+    cards = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", own.alias("own"), F.concat("l_returnflag", "l_linestatus").alias("mode"))
+    targets = table(spark, sf, "part").where("p_size > 10")
+    found = tree.filled_or_referenced(cards, "l_partkey", targets, "p_partkey", {"title": ["own", "ref.p_name", "mode"], "subtitle": ["ref.p_brand", F.lit("-")]})
+    return found.select("l_orderkey", "l_linenumber", "title", "subtitle")
+
+
+@query(
+    "q98_facet_specs",
+    """WITH s AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_type || '|' || p_brand WHEN 1 THEN p_type ELSE 'My Theme|' || p_name || '|x' END AS spec FROM part)
+        SELECT p_partkey, split_part(spec, '|', 1) AS field, CASE WHEN contains(spec, '|') THEN split_part(spec, '|', 2) ELSE spec END AS label,
+          CASE WHEN contains(lower(split_part(spec, '|', 1)), 'theme') THEN 'theme' WHEN contains(lower(split_part(spec, '|', 1)), 'type') THEN 'type'
+            ELSE regexp_replace(lower(split_part(spec, '|', 1)), '[^a-z0-9]', '-', 'g') END AS attr FROM s""",
+)
+def facet_specs(spark, sf):
+    k = F.col("p_partkey") % 3
+    spec = F.when(k == 0, F.concat_ws("|", "p_type", "p_brand")).when(k == 1, F.col("p_type")).otherwise(F.concat(F.lit("My Theme|"), "p_name", F.lit("|x")))
+    return table(spark, sf, "part").select("p_partkey", listing.facet_spec(spec).alias("f")).select("p_partkey", "f.*")
+
+
+@query(
+    "q65_fingerprint_maps",
+    """SELECT 'p' || p_partkey AS page, p_size AS t, p_size % 4 AS i FROM part""",
+)
+def fingerprint_maps(spark, sf):
+    """Fingerprint files, one page-keyed dictionary per brand, read back as rows."""
+    folder = _folder(spark, "fingerprints")
+    entry = F.struct(F.concat(F.lit("p"), _s("p_partkey")), F.struct(F.col("p_size").alias("t"), (F.col("p_size") % 4).alias("i")))
+    part = table(spark, sf, "part")
+    # a file holds a hundred pages, as one site's would
+    part.groupBy(F.floor(F.col("p_partkey") / 100)).agg(F.map_from_entries(F.collect_list(entry)).alias("pages")).select("pages").write.json(folder)
+    doc = spark.read.schema("pages map<string, struct<t: int, i: int>>").json(folder)
+    return manifests.fingerprints(doc)

@@ -236,8 +236,8 @@ def type_counts(spark, sf):
 )
 def node_children(spark, sf):
     nodes = customer_nodes(spark, sf)
-    parent = places(spark, sf).where("n_nationkey = 4").select(F.col("nation_path").alias("parent_path"))
-    kids = nodes.join(parent, "parent_path", "left_semi").where(F.array_contains("categories", "BUILDING"))
+    parent = places(spark, sf).where("n_nationkey = 4").select("nation_path").first()
+    kids = tree.children(nodes, parent.nation_path, F.array_contains("categories", "BUILDING"))
     return kids.select("path", "title", F.col("c_custkey").alias("ord")).orderBy("ord")
 
 
@@ -370,6 +370,25 @@ def pricing_matrix(spark, sf):
     return tree.labelled_cells(table(spark, sf, "part").withColumnRenamed("p_name", "label"), ["p_partkey", "label"], cells, headers)
 
 
+@query(
+    "q88_pricing_table",
+    """WITH c AS (SELECT p_type AS tbl, p_name || ' ' || p_partkey AS label, unnest(['Brand', 'Size', NULL]) AS header, unnest([0, 1, 2]) AS pos,
+          unnest([p_brand, p_size::VARCHAR, CASE WHEN p_size % 2 = 0 THEN (p_size * 3)::VARCHAR END]) AS cell FROM part),
+        k AS (SELECT tbl, label, coalesce(header, (pos + 1)::VARCHAR) AS name, pos, cell FROM c WHERE cell IS NOT NULL)
+        SELECT tbl, label, string_agg(name || '=' || cell, ';' ORDER BY name) AS cells, string_agg(name, ',' ORDER BY pos) AS headers FROM k GROUP BY tbl, label""",
+)
+def pricing_table(spark, sf):
+    """Tables whose rows have two or three cells; the third column has no header."""
+    part = table(spark, sf, "part").select(
+        F.col("p_type").alias("tbl"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("label"),
+        F.array("p_brand", F.col("p_size").cast("string"), (F.col("p_size") * 3).cast("string")).alias("c"), (F.col("p_size") % 2 == 0).alias("priced"),
+    )
+    cells = F.when(F.col("priced"), F.col("c")).otherwise(F.slice("c", 1, 2))
+    rows = tree.pricing_table(tree.labelled_cells(part, ["tbl", "label"], cells, F.array(F.lit("Brand"), F.lit("Size"))), ["tbl"])
+    pairs = F.transform(F.map_entries("cells"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.select("tbl", "label", F.array_join(pairs, ";").alias("cells"), F.array_join("headers", ",").alias("headers"))
+
+
 @query(
     "q90_category_names",
     """SELECT o_orderkey, CASE WHEN p_size > 25 THEN p_name ELSE (o_orderkey % 2500)::VARCHAR END AS category_name

@@ -89,7 +89,7 @@ def link_inventory(spark, sf):
         WHERE length(heading) >= 3 GROUP BY page_id, heading""",
 )
 def headings_norm(spark, sf):
-    found = blocks.headings(dom.dom_nodes(pages(spark, sf)))
+    found = blocks.headings(dom.dom_nodes(pages(spark, sf)), min_chars=3)
     return found.select("page_id", "heading", F.length("heading").alias("chars"))
 
 

@@ -242,9 +242,10 @@ def looks_like_uuid(c: Column) -> Column:
     return (F.length(c) >= 32) & c.contains("-")
 
 
-def partner_category(path: Column) -> Column:
+def partner_category(path: Column, categories: list[tuple[str, str]] | None = None) -> Column:
+    """Category of a logo by its folder: the first of ``categories`` (part of the path, category) that fits."""
     ladder = None
-    for needle, cat in rules.PARTNER_CATEGORIES:
+    for needle, cat in categories or rules.PARTNER_CATEGORIES:
         hit = path.contains(needle)
         ladder = F.when(hit, cat) if ladder is None else ladder.when(hit, cat)
     return ladder.otherwise(rules.DEFAULT_PARTNER_CATEGORY)

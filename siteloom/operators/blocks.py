@@ -46,11 +46,11 @@ def content_blocks(dom: DataFrame, keys: tuple[str, ...] = ("page_id",), min_cha
 
 
 def headings(
-    dom: DataFrame, keys: tuple[str, ...] = ("page_id",), tags=("h1", "h2", "h3", "h4"), min_chars: int = 3, max_chars: int | None = None
+    dom: DataFrame, keys: tuple[str, ...] = ("page_id",), tags=("h1", "h2", "h3", "h4"), min_chars: int = 1, max_chars: int | None = None
 ) -> DataFrame:
     """Distinct normalised headings of the main region (else the body) with their first position.
 
-    Shorter ones than ``min_chars`` say nothing; ``max_chars`` leaves out long ones where that is wanted.
+    ``min_chars`` leaves out short ones where they say nothing, as for matching; ``max_chars`` leaves out long ones where that is wanted.
     """
     rows = dom.where(F.col("tag").isin(*tags) & F.col("main")).select(
         *keys, "seq", text.heading_norm(F.col("spaced")).alias("heading")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import skew_join
+from .ranking import bottom_k
 from ..functions import rules
 
 
@@ -168,6 +169,16 @@ def translation_coverage(nodes: DataFrame, source: str, target: str, max_gap: fl
     return counted.withColumn("status", status)
 
 
+def sampled_translation_coverage(
+    nodes: DataFrame, source: str, target: str, key: str, k: int, max_gap: float = rules.TRANSLATION_MAX_GAP
+) -> DataFrame:
+    """``translation_coverage`` of all nodes, and of the ``k`` titled ones with the least hash of ``key``, as rows."""
+    titled = nodes.where(F.size(F.map_keys("titles")) > 0)
+    parts = [("all", titled), ("sample", bottom_k(titled, [], key, k))]
+    both = [translation_coverage(rows, source, target, max_gap).select(F.lit(name).alias("rows"), "*") for name, rows in parts]
+    return both[0].unionByName(both[1])
+
+
 def image_references(nodes: DataFrame, names: tuple[str, ...] = tuple(rules.GATE_IMAGE_PROPERTIES)) -> DataFrame:
     """One row: nodes, and how many image references are set on them, each counted."""
     filled = F.filter(F.map_entries("refs"), lambda e: e["key"].isin(*names) & (F.coalesce(e["value"], F.lit("")) != ""))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
-from .ranking import top_n
+from .ranking import bottom_k
 
 
 def fingerprint(
@@ -88,6 +89,33 @@ def seo_baseline(dom: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFr
     return counted.withColumn("missing", missing)
 
 
+def required_text(pattern: str) -> tuple[str, bool]:
+    """The longest text that every match of ``pattern`` contains, and whether that is all of the pattern.
+
+    Empty where a pattern has alternatives, groups, flags or quantified signs, of which nothing is known.
+    """
+    parts = re.findall(r"\\[A-Za-z]|\[[^\]]*\][*+?]?|\\.|.", pattern, re.S)
+    if any(p in "|(){?*+^$." for p in parts):
+        return "", False
+    runs, whole = [""], True
+    for p in parts:
+        if len(p) == 1 or (p[0] == "\\" and not p[1].isalpha()):
+            runs[-1] += p[-1]
+        else:
+            runs.append("")
+            whole = False
+    return max(runs, key=len), whole
+
+
+def _matches(html: Column, pattern: str) -> Column:
+    """A plain search of what the pattern needs settles most pages; only the others are matched."""
+    needed, whole = required_text(pattern)
+    if not needed:
+        return html.rlike(pattern)
+    found = F.contains(html, F.lit(needed))
+    return found if whole else F.when(found, html.rlike(pattern)).otherwise(F.when(html.isNotNull(), F.lit(False)))
+
+
 def signature_hits(html: Column, signatures=None) -> Column:
     """array<struct<platform, ord, hits>> for one page."""
     table = signatures or rules.SIGNATURES
@@ -96,7 +124,7 @@ def signature_hits(html: Column, signatures=None) -> Column:
             F.struct(
                 F.lit(name).alias("platform"),
                 F.lit(i).alias("ord"),
-                reduce(lambda a, b: a + b, [html.rlike(p).cast("int") for p in patterns]).alias("hits"),
+                reduce(lambda a, b: a + b, [_matches(html, p).cast("int") for p in patterns]).alias("hits"),
             )
             for i, (name, patterns) in enumerate(table)
         ]
@@ -114,7 +142,7 @@ def detect_platform(
 ) -> DataFrame:
     """(by, pages, platform, score): best-scoring platform per group, 'generic' below ``min_hits``."""
     if sample:
-        pages = top_n(pages, by, [order], sample)
+        pages = bottom_k(pages, by, order, sample)
     table = signatures or rules.SIGNATURES
     scored = pages.select(*by, signature_hits(F.col(html), table).alias("_s"))
     sums = scored.groupBy(*by).agg(

@@ -146,6 +146,13 @@ def facet_attribute(field: Column) -> Column:
     return F.when(low.contains("theme"), "theme").when(low.contains("type"), "type").otherwise(plain)
 
 
+def facet_spec(spec: Column) -> Column:
+    """struct<field, label, attr> of 'field|label', as ``parse_facet`` for a column."""
+    field = F.substring_index(spec, "|", 1)
+    label = F.when(F.contains(spec, F.lit("|")), F.split_part(spec, F.lit("|"), F.lit(2))).otherwise(field)
+    return F.struct(field.alias("field"), label.alias("label"), facet_attribute(field).alias("attr"))
+
+
 def facets(rows: DataFrame, attrs: dict[str, tuple[str, str]], order: str) -> DataFrame:
     """(attr, value, label, n) for each facet attribute; the label is the first one seen by ``order``.
 

@@ -29,6 +29,15 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return df.withColumn("_rn", rn).where(F.col("_rn") <= n).drop("_rn")
 
 
+def bottom_k(df: DataFrame, keys: list[str], of: str, k: int) -> DataFrame:
+    """A sample of ``k`` rows per key (none: of the table): those with the least hash of ``of``.
+
+    Mergeable: the k least of two parts are the k least of both, so every task sends at most k rows per key and
+    the sample depends on the rows alone, not on their order or partitioning.
+    """
+    return top_n(df, keys, [F.md5(F.col(of).cast("string")), of], k)
+
+
 def number_rows(
     df: DataFrame, order: list, by: list[str] | None = None, name: str = "rn", parts: int | None = None
 ) -> DataFrame:

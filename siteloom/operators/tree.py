@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import text, urls
 from ..session import cut_lineage
 from .joins import hot_keys, skew_join
 
@@ -133,6 +133,22 @@ def item_link(kind: Column, own_url: Column, target_url: Column, external_url: C
     )
 
 
+def filled_or_referenced(
+    rows: DataFrame, ref: str, targets: DataFrame, uuid: str, chains: dict[str, list[str | Column]], skew: bool = False
+) -> DataFrame:
+    """Fallback chains that go on over a reference: ``chains`` maps a new column to its sources in order.
+
+    A source is a column, or ``ref.<column>`` of the referenced row; the first that is neither null nor empty counts, and a
+    reference that does not resolve has nothing to give. One join serves all chains.
+    """
+    wanted = sorted({s[4:] for own in chains.values() for s in own if isinstance(s, str) and s.startswith("ref.")})
+    found = resolve_refs(rows, ref, targets, uuid, {c: f"_ref_{c}" for c in wanted}, skew)
+    named = {
+        name: text.first_filled(*[f"_ref_{s[4:]}" if isinstance(s, str) and s.startswith("ref.") else s for s in own]) for name, own in chains.items()
+    }
+    return found.withColumns(named).drop(*[f"_ref_{c}" for c in wanted])
+
+
 def language_alternates(pages: DataFrame, locales: list[str], lang: str = "lang") -> DataFrame:
     """One row per page and site locale (a short literal list), the page's own flagged."""
     each = F.explode(F.array(*[F.lit(x) for x in locales])).alias("alternate")
@@ -160,6 +176,22 @@ def folder_tree(paths: DataFrame, path: str = "path") -> DataFrame:
     return folders.withColumn("depth", F.size(F.split("folder", "/")) - 1)
 
 
+def pricing_table(cells: DataFrame, ids: list[str], label: str = "label") -> DataFrame:
+    """(ids, label, cells map<string,string>, headers array): one row per label, whatever the headers are.
+
+    ``cells(ids, label, pos, header, cell)``, as ``labelled_cells`` gives them. An open pivot: cells go into a map by their
+    header, a cell without one under its number; each table's headers, in order of position, come from the same grouping, so
+    no list of columns passes the driver and tables may differ in theirs. Of cells with the same header the first counts.
+    """
+    named = F.coalesce("header", (F.col("pos") + 1).cast("string"))
+    packed = cells.withColumn("_name", named).groupBy(*ids, label, "_name").agg(F.min_by(F.struct("pos", "cell"), "pos").alias("_c"))
+    rows = packed.groupBy(*ids, label).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("_name", "_c.cell")))).alias("cells"),
+        F.array_sort(F.collect_list(F.struct("_c.pos", "_name"))).alias("_heads"),
+    )
+    return rows.select(*ids, label, "cells", F.transform("_heads", lambda h: h["_name"]).alias("headers"))
+
+
 def labelled_cells(df: DataFrame, ids: list[str], cells: Column, headers: Column) -> DataFrame:
     """(ids, pos, header, cell) of a row of cells; a cell beyond the headers has none."""
     flat = df.select(*ids, headers.alias("_h"), F.posexplode(cells).alias("pos", "cell"))

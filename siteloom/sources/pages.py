@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
-from ..operators.ranking import top_n
+from ..operators.ranking import bottom_k
 
 
 def lenient_text(content: Column) -> Column:
@@ -49,9 +49,9 @@ def merge_captures(curated: DataFrame, crawled: DataFrame) -> DataFrame:
     return curated.unionByName(crawled.join(curated.select("slug"), "slug", "left_anti"))
 
 
-def sample_pages(pages: DataFrame, by: list[str], order: str = "page_id", n: int = 8) -> DataFrame:
-    """First ``n`` pages per site, by a stated order."""
-    return top_n(pages, by, [order], n)
+def sample_pages(pages: DataFrame, by: list[str], key: str = "page_id", n: int = 8) -> DataFrame:
+    """``n`` pages per site, the same ones however the table is partitioned."""
+    return bottom_k(pages, by, key, n)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,18 @@ def write_import_result(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def write_observed(rows: DataFrame, path: str, fmt: str = "parquet", **metrics: Column) -> dict[str, object]:
+    """Write ``rows`` and return aggregates taken while they were written, so tallies cost no second pass."""
+    watch = Observation()
+    rows.observe(watch, *[m.alias(name) for name, m in metrics.items()]).write.mode("overwrite").format(fmt).save(path)
+    return watch.get
+
+
+def run_metrics(status: str = "status") -> dict[str, Column]:
+    """Tallies of a run for ``write_observed``: all rows and those that are ok, failed and skipped."""
+    return {"total": F.count(F.lit(1))} | {s: F.count_if(F.col(status) == s) for s in ("ok", "failed", "skipped")}
+
+
 def write_folder_map(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
