@@ -254,7 +254,7 @@ def _reached(sent: DataFrame, slots: Slots, min_count: int) -> DataFrame:
     return sent.groupBy("size", "start", "bucket").applyInArrow(add_up, "size int, bucket int, bits binary")
 
 
-def _exact(blocks: DataFrame, found, slots: Slots, longest: int, flush: int) -> DataFrame:
+def _exact(blocks: DataFrame, found, slots: Slots, longest: int, flush: int, tasks: int) -> DataFrame:
     """Whole counts of every phrase whose slot was reached: (size, lang, word, w1.., n); size 0: all words of a lang."""
     names = [f"w{i + 1}" for i in range(longest)]
 
@@ -272,18 +272,23 @@ def _exact(blocks: DataFrame, found, slots: Slots, longest: int, flush: int) ->
             tail = [*map(pa.array, columns), pa.array(np.asarray(n, np.int64))]
             return pa.RecordBatch.from_arrays([*head, *tail], names=["size", "lang", "word", *names, "n"])
 
-        def drain():
+        def merge() -> int:
+            """Add up equal phrases of all that is held; how many different ones there are."""
             for size, own in held.items():
                 *parts, n, text = (np.concatenate(x) for x in zip(*own))
-                if not len(n):
-                    continue
                 mixed = np.zeros(len(n), _U)
                 for p in parts:
                     mixed = mix((mixed ^ p) * _ODD)
                 order = np.argsort(mixed)
                 parts, n, text = [p[order] for p in parts], n[order], text[order]
-                edge = np.flatnonzero(np.append(True, np.any([p[1:] != p[:-1] for p in parts], axis=0)))
-                parts, n, text = [p[edge] for p in parts], np.add.reduceat(n, edge), text[edge]
+                new = np.any([p[1:] != p[:-1] for p in parts], axis=0)
+                edge = np.flatnonzero(np.append(True, new)) if len(n) else np.zeros(0, np.int64)
+                held[size] = [(*[p[edge] for p in parts], np.add.reduceat(n, edge) if len(n) else n, text[edge])]
+            return sum(len(own[0][0]) for own in held.values())
+
+        def drain():
+            for size, own in held.items():
+                *parts, n, text = own[0]
                 for i in range(0, len(n), 100_000):
                     j = slice(i, i + 100_000)
                     named = zip(*(x.split("\t", 1) for x in text[j])) if size == 1 else (None, None)
@@ -320,14 +325,17 @@ def _exact(blocks: DataFrame, found, slots: Slots, longest: int, flush: int) ->
                     every = every[np.all([known[codes[every + i]] for i in range(size)], axis=0)]
                     there[every] = bits[size - 1][slots.at([keys[codes[every + i] - 1] for i in range(size)])]
             if total > flush:
-                yield from drain()
+                # what a task counts more than once stays here; it goes on only where it would not fit
+                if 2 * merge() > flush:
+                    yield from drain()
                 total = 0
+        merge()
         yield from drain()
         langs = list(words_of)
         yield rows(0, [], np.array(list(words_of.values()), np.int64), [x.encode().hex() for x in langs])
 
     schema = f"size int, lang string, word string, {', '.join(f'{w} long' for w in names)}, n long"
-    return blocks.select("lang", "words", "codes").mapInArrow(count, schema)
+    return blocks.select("lang", "words", "codes").coalesce(tasks).mapInArrow(count, schema)
 
 
 def phrase_counts(
@@ -380,7 +388,9 @@ def phrase_counts(
         now.destroy()
         step += 1
     found = spark.sparkContext.broadcast([np.packbits(a != _NEVER).tobytes() for a in acts])
-    counted = _exact(blocks, found, where, longest, flush)
+    # tasks of some 128 MB of text: the larger, the fewer rows have the same phrase
+    tasks = max(2 * spark.sparkContext.defaultParallelism, total >> 27)
+    counted = _exact(blocks, found, where, longest, 2 * flush, tasks)
     keys = [f"w{i + 1}" for i in range(longest)]
     # texts are grouping keys, never aggregates, so the counts stay in hash maps
     added = counted.groupBy("size", "lang", "word", *keys).agg(F.sum("n").alias("n"))
