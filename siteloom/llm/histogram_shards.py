@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .carry import carried
 
 _LEAST, _MOST = -(2**63), 2**63 - 1
 
@@ -91,11 +92,14 @@ def histogram_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.001,
     the partitions' counts, so no task holds a shard.
 
     Returns all columns of ``docs`` plus size (long), shard (int), slot (long, gapless from 0 in each
-    shard, in order of partition, key and doc_id); columns of these names in ``docs`` are replaced. Null
+    shard, in order of partition, key and doc_id) and spread (boolean: the row's group of equal texts is larger
+    than a shard, so it stands in several); columns of these names in ``docs`` are replaced. Null
     ids and repeated rows are kept like others. An empty table gives an empty one.
     """
-    own = ("size", "shard", "slot", "_key", "_part", "_pos")
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in own])
+    return carried(docs, ("size", "shard", "slot", "spread"), lambda rows: _deal(rows, shards, tolerance, heavy))
+
+
+def _deal(docs: DataFrame, shards: int, tolerance: float, heavy: float) -> DataFrame:
     keys = cut_lineage(docs.select(_text_key().alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"), _size().alias("size")), "keys")
     share = (keys.agg(F.sum("size")).first()[0] or 0) / shards
     groups = keys.groupBy("text_key").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
@@ -123,6 +127,7 @@ def histogram_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.001,
     per_shard = max(1, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
 
     moved = docs.withColumns({"_text_key": _text_key(), "size": _size()}).withColumn("_key", key(F.col("_text_key")))
+    moved = moved.withColumn("_spread", F.col("_text_key").isin(giants) if giants else F.lit(False))
     own_shard = F.coalesce(F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c <= F.col("_key"))), F.lit(0)) if cuts else F.lit(0)
     edges = F.lit([_LEAST, *cuts, _MOST]).cast("array<bigint>")
     if placed:
@@ -144,4 +149,5 @@ def histogram_shards(docs: DataFrame, shards: int = 8, tolerance: float = 0.001,
     earlier = W.partitionBy(F.floor(F.col("_part") / per_shard)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     runs = runs.select("_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     slot = (F.col("_pos") - F.col("_first") + F.col("_before")).cast("long")
-    return dealt.join(F.broadcast(runs), "_part").select(*docs.columns, "size", "shard", slot.alias("slot"))  # a row per partition
+    spread = F.col("_spread")
+    return dealt.join(F.broadcast(runs), "_part").select("row", "text", "size", "shard", slot.alias("slot"), spread.alias("spread"))  # a row per partition

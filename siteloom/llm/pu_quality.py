@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .blocks import text_batches
-from .words import SPACE, words
+from .words import SPACE, mix, words
 
 # byte classes: lower-case and non-ASCII letters, upper-case letters, digits, blanks, line feeds, each other sign
 _CLASS = np.zeros(256, np.uint8)
@@ -83,64 +85,128 @@ class Model:
         return _sigmoid((((x[:, self.used] - self.mean) / self.scale) @ self.weight).astype(np.float64) + self.bias)
 
 
+@dataclass
+class Moments:
+    """Sums over rows of features that the squared loss needs: how many, their sum, their products."""
+
+    n: float
+    first: np.ndarray
+    second: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        x = x.astype(np.float64)
+        return cls(len(x), x.sum(axis=0), x.T @ x)
+
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.n + other.n, self.first + other.first, self.second + other.second)
+
+    def scaled(self, mean: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and mean product of (x - mean) / scale, a constant 1 at the end."""
+        m = (self.first / self.n - mean) / scale
+        c = self.second / self.n - np.outer(mean, self.first / self.n) - np.outer(self.first / self.n, mean) + np.outer(mean, mean)
+        q = np.empty((len(m) + 1, len(m) + 1))
+        q[:-1, :-1] = c / np.outer(scale, scale)
+        q[:-1, -1] = q[-1, :-1] = m
+        q[-1, -1] = 1.0
+        return np.append(m, 1.0), q
+
+
+def _apart(positive, unlabelled, decay: float) -> np.ndarray:
+    """Linear g that tells positives from unlabelled rows with the least squared loss, all in moments."""
+    (mp, qp), (mu, qu) = positive, unlabelled
+    ridge = decay * np.eye(len(mp))
+    ridge[-1, -1] = 0.0
+    return np.linalg.solve(qp + qu + 2 * ridge + 1e-9 * np.eye(len(mp)), mp - mu)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _descend(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, rounds: int, rate: float, decay: float):
-    """Linear model by Adam. Without a prior: positive against unlabelled. With one: the risk
+def _margin(n_positive: float, n_unlabelled: float) -> float:
+    """How far two shares counted over so many rows may be off, at one chance in ten."""
+    return float(np.sqrt(np.log(4 / 0.1) / 2) * (n_positive**-0.5 + n_unlabelled**-0.5))
+
+
+def least_risk(positive: np.ndarray, prior: float, sums, decay: float, rounds: int) -> np.ndarray:
+    """Linear g with the least non-negative risk
 
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]),   l logistic,
 
-    where a round in which the bracket is negative steps back along the bracket instead.
+    by Newton's method: as l(g) - l(-g) = -g, the risk is convex where the bracket is not negative. ``sums(w)`` is one pass
+    over the unlabelled rows: their number, loss, gradient and curvature at w. A step to where the bracket is negative,
+    even for the least prior within its margin, is halved back. ``positive`` and the rows of ``sums`` are scaled, with a constant 1 at the end.
     """
-    # single precision throughout: a mixed product would copy the whole matrix in every round
-    w, b = np.zeros(positive.shape[1], np.float32), 0.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-
-    def mean_grad(x, c):
-        return np.append(c.astype(np.float32) @ x, c.sum()) / len(x)
-
-    for t in range(1, rounds + 1):
-        gp, gu = ((x @ w).astype(np.float64) + b for x in (positive, unlabelled))
-        up = mean_grad(positive, -_sigmoid(-gp))  # gradient of E_p[l(g)]
-        pn = mean_grad(positive, _sigmoid(gp))  # of E_p[l(-g)]
-        un = mean_grad(unlabelled, _sigmoid(gu))  # of E_u[l(-g)]
-        if prior is None:
-            g = up + un
-        else:
-            bracket = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            g = prior * up + un - prior * pn if bracket >= 0 else -(un - prior * pn)
-        g[:-1] += decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = (w - step[:-1]).astype(np.float32), b - step[-1]
-    return w, b
+    w = before = np.zeros(positive.shape[1])
+    mean = positive.mean(axis=0)
+    # the fewer positives for the features, the easier they are learnt by heart
+    ridge = decay * (1 + 3 * len(w) / len(positive)) * np.eye(len(w))
+    ridge[-1, -1] = 1e-6
+    for _ in range(rounds):
+        n, loss, first, second = sums(w)
+        if loss / n < (prior - _margin(len(positive), n)) * np.logaddexp(0, positive @ w).mean():
+            w = (before + w) / 2
+            continue
+        step = np.linalg.solve(second / n + ridge, first / n - prior * mean + ridge @ w)
+        before, w = w, w - step
+        if np.abs(step).max() < 1e-4:
+            break
+    return w
+
+
+_BINS = 4000
+_SPAN = 4.0  # values beyond it share the outer bins
+
+
+def _histogram(g: np.ndarray) -> np.ndarray:
+    spot = np.clip((g + _SPAN) / (2 * _SPAN) * _BINS, 0, _BINS - 1).astype(np.int64)
+    return np.bincount(spot, minlength=_BINS)
 
 
 def _class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled: the least ratio, over thresholds, of unlabelled to
-    positive mass above it, each with a margin for its sampling error."""
-    cuts = np.quantile(positive, np.linspace(0.0, 0.9, 91))
-    p = np.array([(positive >= c).mean() for c in cuts])
-    u = np.array([(unlabelled >= c).mean() for c in cuts])
-    margin = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(len(positive)) + 1 / np.sqrt(len(unlabelled)))
-    best = int(np.argmin((u + margin) / p))
+    """Share of positives among the unlabelled, from histograms of their values: the least ratio, over thresholds, of
+    unlabelled to positive mass above it, each with a margin for its sampling error."""
+    p, u = (np.cumsum(h[::-1])[::-1] / h.sum() for h in (positive, unlabelled))
+    margin = _margin(positive.sum(), unlabelled.sum())
+    usable = np.flatnonzero(p >= 0.1)
+    best = usable[np.argmin((u[usable] + margin) / p[usable])]
     return float(np.clip(u[best] / p[best], 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 200, rate: float = 0.03, decay: float = 1e-3) -> Model:
-    """Class prior from halves kept apart, then the non-negative risk over all rows."""
-    used = np.flatnonzero(np.maximum(np.ptp(positive, axis=0), np.ptp(np.concatenate([positive[:1], unlabelled]), axis=0)) > 0)
-    positive, unlabelled = positive[:, used], unlabelled[:, used]
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), np.maximum(both.std(axis=0), 0.05)
-    del both
-    p, u = (((x - mean) / scale).astype(np.float32) for x in (positive, unlabelled))
-    w, b = _descend(p[::2], u[::2], None, rounds, rate, decay)
-    prior = _class_prior(p[1::2] @ w + b, u[1::2] @ w + b) if len(p) > 1 and len(u) > 1 else 0.5
-    w, b = _descend(p, u, prior, rounds, rate, decay)
-    return Model(used, mean, scale, w, float(b), prior)
+def fit(positive: np.ndarray, halves: tuple[Moments, Moments], histogram, sums, decay: tuple[float, float] = (0.3, 0.05), rounds: int = 8) -> tuple:
+    """(weights, bias, mean, scale, prior) from positives and all unlabelled rows, which are met in sums only.
+
+    ``halves`` are their moments in two halves. Values of the second half under what was fitted to the first come from
+    ``histogram(mean, scale, w)``; with those of the positives kept apart they give the class prior. Then the risk is
+    taken over all rows, with ``sums(mean, scale, w)`` in each round.
+    """
+    every, half = Moments.of(positive), Moments.of(positive[::2])
+    both = every + halves[0] + halves[1]
+    mean = both.first / both.n
+    scale = np.maximum(np.sqrt(np.maximum(np.diag(both.second) / both.n - mean**2, 0)), 0.05)
+    z = _with_one(positive, mean, scale)
+    prior = 0.5
+    if len(positive) > 1 and halves[0].n and halves[1].n:
+        w = _apart(half.scaled(mean, scale), halves[0].scaled(mean, scale), decay[0])
+        prior = _class_prior(_histogram(z[1::2] @ w), histogram(mean, scale, w))
+    w = least_risk(z, prior, lambda w: sums(mean, scale, w), decay[1], rounds)
+    return w[:-1], float(w[-1]), mean, scale, prior
+
+
+def _with_one(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x - mean) / scale, np.ones((len(x), 1))], axis=1)
+
+
+def risk_sums(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Number, loss l(-g), gradient and curvature of scaled rows, in one array."""
+    g = z @ w
+    s = _sigmoid(g)
+    return np.concatenate([[len(z), np.logaddexp(0, g).sum()], s @ z, ((z * (s * (1 - s))[:, None]).T @ z).ravel()])
+
+
+def _parts(sums: np.ndarray, d: int) -> tuple[float, float, np.ndarray, np.ndarray]:
+    return float(sums[0]), float(sums[1]), sums[2 : 2 + d], sums[2 + d :].reshape(d, d)
 
 
 def _scores(model: Model, texts: list[bytes | None]) -> np.ndarray:
@@ -151,57 +217,165 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sample(docs: DataFrame, ids: DataFrame, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features that are not zero (places, values) of at most ``n`` documents, those of least id hash."""
-    ids = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+FEATURES = "doc_id long, half int, places binary, x binary"
+
+
+def _written(docs: DataFrame, label: str) -> DataFrame:
+    """Features that are not zero (places, values) of every row of (doc_id, text), in two halves by a hash of the id."""
 
     def rows(batches):
         for names, texts in text_batches(batches):
             x = features(texts)
             places = [np.flatnonzero(r).astype(np.uint16) for r in x]
-            values = [r[p].tobytes() for r, p in zip(x, places)]
-            fields = [pa.array(names, pa.int64()), pa.array([p.tobytes() for p in places], pa.binary()), pa.array(values, pa.binary())]
-            yield pa.RecordBatch.from_arrays(fields, names=["doc_id", "places", "x"])
+            values = [r[p].astype(np.float16).tobytes() for r, p in zip(x, places)]
+            half = (mix(np.array([n or 0 for n in names], np.int64).view(np.uint64)) & np.uint64(1)).astype(np.int32)
+            fields = [pa.array(names, pa.int64()), pa.array(half), pa.array([p.tobytes() for p in places], pa.binary()), pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays(fields, names=["doc_id", "half", "places", "x"])
+
+    return cut_lineage(docs.mapInArrow(rows, FEATURES), label)
+
+
+def _dense(places: list[bytes], values: list[bytes], columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(places), len(columns)), np.float32)
+    for i, (p, x) in enumerate(zip(places, values)):
+        p = np.frombuffer(p, np.uint16)
+        at = np.searchsorted(columns, p)
+        at[at == len(columns)] = 0
+        own = columns[at] == p
+        out[i, at[own]] = np.frombuffer(x, np.float16)[own]
+    return out
+
 
+def _portions(batches):
+    for b in batches:
+        for i in range(0, b.num_rows, 1000):
+            part = b.slice(i, 1000)
+            yield part.column("half").to_numpy(), part.column("places").to_pylist(), part.column("x").to_pylist()
+
+
+def _gathered(rows: DataFrame, make) -> dict[tuple[int, int], np.ndarray]:
+    """Arrays by (kind, half) that ``make(batches)`` yields once a task, added up in two stages of a bounded number of rows."""
+
+    def each(batches):
+        for kind, half, array in make(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([kind], pa.int32()), pa.array([half], pa.int32()), pa.array([array.astype(np.float64).tobytes()], pa.binary())],
+                names=["kind", "half", "body"],
+            )
+
+    def both(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for x in b.column("body"):
+                own = np.frombuffer(x.as_py(), np.float64)
+                total = own if total is None else total + own
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())],
+            names=["kind", "half", "body"],
+        )
+
+    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return both(key, batches)
+
+    schema = "kind int, half int, body binary"
+    # first in groups of tasks, then all: no task adds up what every task sent
+    parts = rows.select("half", "places", "x").mapInArrow(each, schema).withColumn("by", F.pmod(F.spark_partition_id(), F.lit(64)))
+    parts = parts.groupBy("kind", "half", "by").applyInArrow(added, schema)
+    return {(r.kind, r.half): np.frombuffer(r.body, np.float64) for r in parts.groupBy("kind", "half").applyInArrow(added, schema).collect()}
+
+
+def _usual(rows: DataFrame, at_most: int) -> np.ndarray:
+    """Features that most rows have, ``at_most`` of them: counted over all rows."""
+
+    def make(batches):
+        count = np.zeros(N_FEATURES)
+        for _, places, _ in _portions(batches):
+            count += np.bincount(np.frombuffer(b"".join(places), np.uint16), minlength=N_FEATURES)
+        yield 0, 0, count
+
+    found = _gathered(rows, make).get((0, 0))
+    if found is None:
+        return np.zeros(0, np.int64)
+    best = np.lexsort((np.arange(N_FEATURES), -found))[:at_most]
+    return np.sort(best[found[best] > 0])
+
+
+def _moments(rows: DataFrame, columns: np.ndarray) -> tuple[Moments, Moments]:
+    def make(batches):
+        total = [[0.0, np.zeros(len(columns)), np.zeros((len(columns), len(columns)))] for _ in range(2)]
+        for half, places, values in _portions(batches):
+            x = _dense(places, values, columns)
+            for h in (0, 1):
+                own = x[half == h]
+                if len(own):
+                    total[h][0] += len(own)
+                    total[h][1] += own.sum(axis=0, dtype=np.float64)
+                    total[h][2] += own.T @ own
+        for h, (n, first, second) in enumerate(total):
+            yield 0, h, np.concatenate([[n], first, second.ravel()])
+
+    found = _gathered(rows, make)
+    d = len(columns)
+    empty = np.zeros(1 + d + d * d)
+    parts = [found.get((0, h), empty) for h in (0, 1)]
+    return tuple(Moments(float(x[0]), x[1 : 1 + d], x[1 + d :].reshape(d, d)) for x in parts)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_features: int = 400) -> Model | None:
+    """Model from trusted positives (``quality`` 1, not held out) and all documents without a label.
+
+    The positives are a bounded sample: those of least id hash, ``max_positive`` of them. Of the unlabelled documents every
+    one counts, at any size: features are written once, then summed up in a number of passes that does not grow with them - which of
+    them are usual (``max_features``), their moments in two halves, the histogram of one half's values for the class prior, and
+    at most eight rounds of the risk. What reaches the driver has the size of the moments. Other labels are not looked at. None without positives or
+    unlabelled documents.
+    """
+    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    trusted = known.where("quality = 1").where(~held_out()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = texts.join(F.broadcast(ids), "doc_id")  # at most n ids
-    got = chosen.mapInArrow(rows, "doc_id long, places binary, x binary").toArrow().sort_by([("doc_id", "ascending")]).slice(0, n)
-    pairs = zip(got.column("places").to_pylist(), got.column("x").to_pylist())
-    return [(np.frombuffer(p, np.uint16), np.frombuffer(x, np.float32)) for p, x in pairs]
+    positives = _written(texts.join(F.broadcast(trusted), "doc_id"), "trusted")  # at most max_positive ids
+    got = positives.select("doc_id", "places", "x").distinct().orderBy("doc_id", "places", "x").limit(max_positive).collect()
+    unknown = _written(texts.where("doc_id is not null").join(known.select("doc_id").distinct(), "doc_id", "left_anti"), "unlabelled")
+    columns = _usual(unknown.unionByName(positives), max_features)
+    if not got or not len(columns):
+        return None
+    halves = _moments(unknown, columns)
+    if not halves[0].n + halves[1].n:
+        return None
+    positive = _dense([r.places for r in got], [r.x for r in got], columns).astype(np.float64)
 
+    def histogram(mean, scale, w):
+        def make(batches):
+            total = np.zeros(_BINS)
+            for half, places, values in _portions(batches):
+                x = _dense([p for p, h in zip(places, half) if h], [v for v, h in zip(values, half) if h], columns)
+                if len(x):
+                    total += _histogram(_with_one(x, mean, scale) @ w)
+            yield 0, 1, total
 
-def _dense(rows: list[tuple[np.ndarray, np.ndarray]], columns: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows), len(columns)), np.float32)
-    for i, (places, values) in enumerate(rows):
-        out[i, np.searchsorted(columns, places)] = values
-    return out
+        return _gathered(unknown, make)[0, 1]
 
+    def sums(mean, scale, w):
+        d = len(columns) + 1
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_unlabelled: int = 3000) -> Model | None:
-    """Model from trusted positives (``quality`` 1, not held out) and documents without a label.
+        def make(batches):
+            total = np.zeros(2 + d + d * d)
+            for _, places, values in _portions(batches):
+                total += risk_sums(_with_one(_dense(places, values, columns), mean, scale), w)
+            yield 0, 0, total
 
-    Both samples are bounded by their parameters. Other labels are not looked at. None without
-    positives or unlabelled documents.
-    """
-    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    trusted = known.where("quality = 1").where(~held_out()).select("doc_id")
-    unknown = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    unknown = unknown.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
-    positive, unlabelled = _sample(docs, trusted, max_positive), _sample(docs, unknown, max_unlabelled)
-    if not positive or not unlabelled:
-        return None
-    columns = np.unique(np.concatenate([places for places, _ in positive + unlabelled])).astype(np.int64)
-    model = fit(_dense(positive, columns), _dense(unlabelled, columns))
-    model.used = columns[model.used]
-    return model
+        return _parts(_gathered(unknown, make)[0, 0], d)
+
+    w, b, mean, scale, prior = fit(positive, halves, histogram, sums)
+    return Model(columns, mean, scale, w, b, prior)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **sizes: int) -> DataFrame:
     """Score of every document's whole text: the likelihood that ``labels.quality`` is 1.
 
     ``train`` fits a linear model on what the text looks like (neighbouring byte classes, repeated
-    and shouted words) by the non-negative unbiased positive-unlabelled risk, with a class prior
-    estimated from the same data. Labels of held-out documents (crc32 of the id as text, modulo
+    and shouted words) by the non-negative unbiased positive-unlabelled risk over all documents
+    without label, with a class prior estimated from the same data. Labels of held-out documents (crc32 of the id as text, modulo
     5, is 0) are never read. Scoring is one pass without a shuffle.
 
     Returns all columns of ``docs`` plus held_out, score (double, 0 to 1) and predicted (1 if ``score >=

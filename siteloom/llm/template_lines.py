@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .carry import carried
 
 _BLANKS = r"[ \t\x0B\f\r]+"
 _FIELD = r"(^| )[^ 0-9]*+[0-9][^ ]*+"  # a token with a digit; begins at a token's start, so one pass
@@ -65,9 +66,10 @@ def template_lines(
     that repeat a doc_id are one document, and so are rows without one, which are never the first unless all are. An
     empty table gives no rows.
     """
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    text = F.col("text").cast("string")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id"), text.alias("text"))
+    return carried(docs, ("n_lines", "n_dropped"), lambda rows: _drop_lines(rows, min_docs, min_variable, depth, similarity, percent))
+
+
+def _drop_lines(rows: DataFrame, min_docs: int, min_variable: int, depth: int, similarity: float, percent: int) -> DataFrame:
     # rows without id, or with the same one, are told apart by their text
     keyed = rows.withColumn("hash", F.xxhash64("text"))
     own = F.transform(_lines(F.col("text")), lambda x: F.when(x != "", F.struct(F.xxhash64(_masked(x, similarity)).alias("line"), _leaf(x, depth).alias("leaf"))))
@@ -117,8 +119,7 @@ def template_lines(
     new = F.when(changed, F.array_join(kept, "\n")).otherwise(F.col("text"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("every")).cast("long")
     n_dropped = F.when(changed, F.size("dropped")).otherwise(0).cast("long")
-    out = out.select("row", new.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
-    return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names], "n_lines", "n_dropped")
+    return out.select("row", new.alias("text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def template_lines_sql(

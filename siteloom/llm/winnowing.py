@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .blocks import text_batches
+from .carry import carried
 from .words import NOT_ALPHANUMERIC, Words, minimisers, words
 
 _ADDED = ("_hit", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "hit_text")
@@ -38,7 +39,7 @@ class Fingerprints:
             self.windows[n] = _lists(w.windows(at, n), np.flatnonzero(counts == n))
 
     def hits(self, w: Words) -> list[tuple[np.ndarray, np.ndarray, int]]:
-        """(start, item index, window length) of every benchmark window in the texts."""
+        """(start, number of the window among those of its length, length) of every benchmark window in the texts."""
         left = w.left()
         found = []
         for n, (names, starts, item) in self.windows.items():
@@ -60,12 +61,14 @@ class Fingerprints:
             spot = np.searchsorted(names, hashes)
             spot[spot == len(names)] = 0
             same = names[spot] == hashes
-            at, spot = at[same], spot[same]
-            many = starts[spot + 1] - starts[spot]
-            first = np.repeat(starts[spot] - np.concatenate([[0], np.cumsum(many)[:-1]]).astype(int), many) if len(at) else at
-            found.append((np.repeat(at, many), item[first + np.arange(many.sum())] if len(at) else at, n))
+            found.append((at[same], spot[same], n))
         return found
 
+    def items_of(self, n: int, windows: np.ndarray) -> np.ndarray:
+        """Distinct indices of the items that hold any of ``windows`` of length ``n``."""
+        _, starts, item = self.windows[n]
+        return np.unique(np.concatenate([item[starts[i] : starts[i + 1]] for i in windows.tolist()]))
+
 
 def _grams(w: Words, left: np.ndarray, k: int) -> np.ndarray:
     out = np.full(len(w.hash), 2**64 - 1, np.uint64)
@@ -120,12 +123,16 @@ def decontaminate(
     of null text has no window; one of null id marks words but has no name to count. Equal items, and
     rows that repeat an id, count once. Ids of documents are not looked at.
     """
+    return carried(docs, _ADDED[1:], lambda rows: _find(rows, benchmark, length, k, one_in, slice_bytes, in_a_row))
+
+
+def _find(docs: DataFrame, benchmark: DataFrame, length: int, k: int, one_in: int, slice_bytes: int, in_a_row: int) -> DataFrame:
     spark = docs.sparkSession
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in _ADDED])
+    docs = docs.select("row", "text")
     own = docs.columns
     at = own.index("text")
     now = docs.withColumns({"_hit": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
-    sent = None
+    sent, used = None, []
     for i, items in enumerate(_slices(benchmark, slice_bytes)):
         if sent is not None:
 
@@ -136,8 +143,12 @@ def decontaminate(
                     yield pa.RecordBatch.from_arrays(columns, names=[*own, "_hit", "items"])
 
             now = now.mapInArrow(mark, now.schema)
+            used.append(sent)
             if i % in_a_row == 0:
                 now = cut_lineage(now, "marked")
+                # what is written needs them no more
+                while used:
+                    used.pop().destroy()
         sent = spark.sparkContext.broadcast(Fingerprints(items, length, k))
 
     # the last slice is marked in the pass that gives the result
@@ -169,12 +180,15 @@ def _mark(prints: Fingerprints, texts, hit: list, items: list) -> None:
     w = words(texts, NOT_ALPHANUMERIC, lower=True)
     cover = np.zeros(len(w.hash) + 1, np.int32)
     named: dict[int, set] = {}
-    for at, item, n in prints.hits(w):
+    for at, window, n in prints.hits(w):
         np.add.at(cover, at, 1)
         np.add.at(cover, at + n, -1)
-        for d, i in np.unique(np.stack([w.doc_of(at), item], axis=1), axis=0).tolist():
-            if prints.names[i] is not None:
-                named.setdefault(d, set()).add(prints.names[i])
+        # each window of a text once, however often it occurs; its items only then
+        seen = np.unique(np.stack([w.doc_of(at), window], axis=1), axis=0)
+        cuts = np.flatnonzero(np.append(True, seen[1:, 0] != seen[:-1, 0])) if len(seen) else []
+        for a, b in zip(cuts, [*cuts[1:], len(seen)]):
+            own = {prints.names[i] for i in prints.items_of(n, seen[a:b, 1]).tolist()} - {None}
+            named.setdefault(int(seen[a, 0]), set()).update(own)
     covered = np.cumsum(cover)[:-1] > 0
     for d in np.unique(w.doc_of(np.flatnonzero(covered))).tolist():
         own = covered[w.first[d] : w.first[d + 1]]

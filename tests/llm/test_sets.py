@@ -179,7 +179,7 @@ def shard_facts(df):
 def test_shards_awkward(awkward, nothing):
     rows, sizes = shard_facts(histogram_shards(awkward, 8))
     assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in awkward.collect())
-    assert "_key" not in rows[0].asDict() and all(r.shard in range(8) for r in rows)
+    assert all(r._key == "k" and r.shard in range(8) for r in rows)
     assert histogram_shards(nothing, 8).collect() == []
 
 
@@ -220,3 +220,24 @@ def test_levels_fill_evenly():
     assert _levels([10, 0, 0], 20) == [0, 10, 10]
     assert _levels([0, 0], 0) == [0, 0]
     assert sum(_levels([5, 1, 1, 1], 9)) == 9
+
+
+def test_one_prompt_of_many_items(spark):
+    """A text that repeats what thousands of items share: its windows meet the items once each."""
+    prompt = passage(77, 30)
+    items = spark.createDataFrame([(f"i{i:05}", f"{prompt} {passage(100 + i, 5)}") for i in range(4000)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join([prompt] * 100)), (2, passage(5, 50))], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate(docs, items, slice_bytes=1 << 17).collect()}
+    assert got[1].n_items == 4000 and got[1].items == sorted(f"i{i:05}" for i in range(4000)) and got[1].n_hit == 3000 and got[2].n_hit == 0
+
+
+def test_strangers_columns_survive(spark):
+    """Every name the operators use inside, as somebody else's column."""
+    names = ["row", "_hit", "_text_key", "_at", "_first", "_key", "_part", "_pos", "_n", "_before", "_spread", "text_key", "key", "items_", "hash", "doc", "nothing"]
+    docs = spark.createDataFrame([(i, passage(i, 20)) for i in range(6)], "doc_id long, text string").select("*", *[F.lit(n).alias(n) for n in names])
+    items = spark.createDataFrame([("a", passage(2, 20))], "item_id string, text string")
+    for got, added in ((decontaminate(docs, items), 7), (histogram_shards(docs, 2), 4)):
+        assert got.columns[: len(docs.columns)] == docs.columns and len(got.columns) == len(docs.columns) + added
+        rows = got.collect()
+        assert len(rows) == 6 and all(r[n] == n for r in rows for n in names)
+    assert not any(r.spread for r in rows)

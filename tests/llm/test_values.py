@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from siteloom.llm.mih_search import Codes, Index, learn, nearest
 from siteloom.llm.piece_codec import Codec, PieceModel, decode, encode
 from siteloom.llm.pseudonyms import Feistel, _luhn, pseudonyms, replace
-from siteloom.llm.pu_quality import N_FEATURES, _class_prior, features, fit, quality
+from siteloom.llm import pu_quality
+from siteloom.llm.pu_quality import N_FEATURES, Moments, features, fit, quality
 
 from .conftest import DATA
 
@@ -223,14 +224,69 @@ def test_features_ignore_everything_but_the_text():
     assert np.allclose(features([b"a b"])[0], features([b"zz", b"a b"])[1])
 
 
+def pu_sample(seed=1):
+    rng = np.random.default_rng(seed)
+    positive = rng.normal(1.5, 1, (2000, 4))
+    unlabelled = rng.permutation(np.concatenate([rng.normal(1.5, 1, (1400, 4)), rng.normal(-1.5, 1, (600, 4))]))
+    halves = np.arange(2000) % 2
+    moments = tuple(Moments.of(unlabelled[halves == h]) for h in (0, 1))
+
+    def histogram(mean, scale, w):
+        return pu_quality._histogram(pu_quality._with_one(unlabelled[halves == 1], mean, scale) @ w)
+
+    def sums(mean, scale, w):
+        z = pu_quality._with_one(unlabelled, mean, scale)
+        return pu_quality._parts(pu_quality.risk_sums(z[:700], w) + pu_quality.risk_sums(z[700:], w), 5)
+
+    return rng, positive, unlabelled, moments, histogram, sums
+
+
 def test_prior_and_risk():
-    rng = np.random.default_rng(1)
-    positive = rng.normal(1.5, 1, (2000, 4)).astype(np.float32)
-    unlabelled = np.concatenate([rng.normal(1.5, 1, (1400, 4)), rng.normal(-1.5, 1, (600, 4))]).astype(np.float32)
-    model = fit(positive, rng.permutation(unlabelled))
-    assert 0.6 < model.prior < 0.8 and 0.6 < _class_prior(positive[:, 0], unlabelled[:, 0]) < 0.85
-    good, bad = model.score(rng.normal(1.5, 1, (500, 4))), model.score(rng.normal(-1.5, 1, (500, 4)))
-    assert (good > 0.5).mean() > 0.95 and (bad < 0.5).mean() > 0.95
+    rng, positive, unlabelled, moments, histogram, sums = pu_sample()
+    w, b, mean, scale, prior = fit(positive, moments, histogram, sums)
+    assert 0.6 < prior < 0.8
+    good, bad = (((rng.normal(m, 1, (500, 4)) - mean) / scale) @ w + b for m in (1.5, -1.5))
+    assert (good > 0).mean() > 0.95 and (bad < 0).mean() > 0.95
+    assert np.allclose((moments[0] + moments[1]).second, unlabelled.T @ unlabelled)
+
+
+def test_risk_against_plain_search():
+    """The least risk of a plain optimiser over the same rows, and a prior counted threshold by threshold."""
+    _, positive, unlabelled, moments, histogram, sums = pu_sample(2)
+    w, b, mean, scale, prior = fit(positive, moments, histogram, sums, rounds=20)
+    zp, zu = (pu_quality._with_one(x, mean, scale) for x in (positive, unlabelled))
+
+    def risk(v):
+        bracket = np.logaddexp(0, zu @ v).mean() - prior * np.logaddexp(0, zp @ v).mean()
+        return prior * np.logaddexp(0, -(zp @ v)).mean() + max(0.0, bracket) + 0.05 * (1 + 3 * 5 / 2000) * v[:-1] @ v[:-1] / 2
+
+    found = np.append(w, b)
+    v = np.zeros(5)
+    for step in (0.5, 0.1, 0.02, 0.004):
+        for _ in range(300):
+            tries = [v + s * step * e for e in np.eye(5) for s in (1, -1)]
+            best = min(tries, key=risk)
+            if risk(best) >= risk(v):
+                break
+            v = best
+    assert risk(found) <= risk(v) + 1e-4
+    half = Moments.of(positive[::2]).scaled(mean, scale)
+    g = pu_quality._apart(half, moments[0].scaled(mean, scale), 0.3)
+    p, u = zp[1::2] @ g, zu[np.arange(2000) % 2 == 1] @ g
+    ratios = [((u >= c).mean() + np.sqrt(np.log(40) / 2) * (len(p) ** -0.5 + len(u) ** -0.5), (u >= c).mean(), (p >= c).mean()) for c in np.arange(-4, 4, 0.002)]
+    plain = min((a / m, x / m) for a, x, m in ratios if m >= 0.1)[1]
+    assert abs(plain - prior) < 0.01
+
+
+def test_every_unlabelled_document_counts(spark):
+    """No cap: one more kind of unlabelled document, however rare, moves the model."""
+    texts = [(i, f"The plain text number {i} says something new each time, and more.", 1 if i < 40 else None) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in texts if q], "doc_id long, quality int")
+    one = pu_quality.train(docs, labels, max_positive=20)
+    more = docs.union(spark.createDataFrame([(1000, "#### $$$$ !!!! " * 50)], docs.schema))
+    two = pu_quality.train(more.repartition(5), labels, max_positive=20)
+    assert len(two.mean) > len(one.mean), (len(one.mean), len(two.mean), one.prior)
 
 
 def test_quality_held_out(spark):
