@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siteloom.llm import queries
@@ -90,3 +91,21 @@ def test_pipeline_stage_by_stage(spark):
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.run(spark, str(DATA)).columns == ["doc_id", "n_tokens", "ids", "round_trip"]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and set(corpus_pipeline.QUERIES) == {"pipeline"}
+
+
+def test_stages_on_awkward_input(spark, awkward, nothing, tmp_path):
+    """Nulls, empty and long texts, repeated rows, names the operators use inside: every stage keeps the columns."""
+    labels = spark.createDataFrame([(1, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "none of these words stands anywhere in the documents at all here")], "item_id long, text string")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["row", "kept", "_kept", "n_lines", "n_dropped", "predicted", "contaminated", "component_id", "hash", "n_hit"]
+    docs = awkward.select("*", *[F.lit(n).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert all(r[n] == n and r.block == 1 and r._key == "k" for r in rows for n in names), name
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in awkward.collect()}
+        assert stage(spark, nothing, str(tmp_path)).collect() == []
+    assert corpus_pipeline.tokens(spark, docs, str(tmp_path)).count() == awkward.count()
