@@ -254,12 +254,17 @@ def _reached(sent: DataFrame, slots: Slots, min_count: int) -> DataFrame:
     return sent.groupBy("size", "start", "bucket").applyInArrow(add_up, "size int, bucket int, bits binary")
 
 
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each bit is set, in the order of ``packbits``."""
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
 def _exact(blocks: DataFrame, found, slots: Slots, longest: int, flush: int, tasks: int) -> DataFrame:
     """Whole counts of every phrase whose slot was reached: (size, lang, word, w1.., n); size 0: all words of a lang."""
     names = [f"w{i + 1}" for i in range(longest)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [np.unpackbits(np.frombuffer(b, np.uint8)).view(bool) for b in found.value]
+        bits = [np.frombuffer(b, np.uint8) for b in found.value]
         held: dict[int, list] = {}
         words_of: dict[str, int] = {}
         total = 0
@@ -275,20 +280,24 @@ def _exact(blocks: DataFrame, found, slots: Slots, longest: int, flush: int, tas
         def merge() -> int:
             """Add up equal phrases of all that is held; how many different ones there are."""
             for size, own in held.items():
-                *parts, n, text = (np.concatenate(x) for x in zip(*own))
+                *parts, n = (np.concatenate(x) for x in zip(*(x[0] for x in own)))
+                # only words carry their text
+                text = np.concatenate([x[1] for x in own]) if size == 1 else None
+                held[size] = own = None
                 mixed = np.zeros(len(n), _U)
                 for p in parts:
                     mixed = mix((mixed ^ p) * _ODD)
                 order = np.argsort(mixed)
-                parts, n, text = [p[order] for p in parts], n[order], text[order]
+                parts, n = [p[order] for p in parts], n[order]
                 new = np.any([p[1:] != p[:-1] for p in parts], axis=0)
                 edge = np.flatnonzero(np.append(True, new)) if len(n) else np.zeros(0, np.int64)
-                held[size] = [(*[p[edge] for p in parts], np.add.reduceat(n, edge) if len(n) else n, text[edge])]
-            return sum(len(own[0][0]) for own in held.values())
+                kept = (*[p[edge] for p in parts], np.add.reduceat(n, edge) if len(n) else n)
+                held[size] = [(kept, text[order[edge]] if size == 1 else None)]
+            return sum(len(own[0][0][0]) for own in held.values())
 
         def drain():
             for size, own in held.items():
-                *parts, n, text = own[0]
+                (*parts, n), text = own[0]
                 for i in range(0, len(n), 100_000):
                     j = slice(i, i + 100_000)
                     named = zip(*(x.split("\t", 1) for x in text[j])) if size == 1 else (None, None)
@@ -300,12 +309,12 @@ def _exact(blocks: DataFrame, found, slots: Slots, longest: int, flush: int, tas
             words_of[lang] = words_of.get(lang, 0) + int(np.count_nonzero(codes))
             known = np.zeros(len(keys) + 1, bool)
             if len(keys):
-                known[1:] = bits[0][slots.at([keys])]
+                known[1:] = _set(bits[0], slots.at([keys]))
                 number = np.flatnonzero(known[1:])
                 own = own.decode().split("\n")
                 # words have no tab, so lang and word can share a string
                 text = np.array([f"{lang.encode().hex()}\t{own[i]}" for i in number.tolist()] + [None], object)[:-1]
-                held.setdefault(1, []).append((keys[number], np.bincount(codes, minlength=len(known))[1:][number], text))
+                held.setdefault(1, []).append(((keys[number], np.bincount(codes, minlength=len(known))[1:][number]), text))
                 total += len(number)
             there = known[codes]
             for size in range(2, longest + 1):
@@ -315,22 +324,23 @@ def _exact(blocks: DataFrame, found, slots: Slots, longest: int, flush: int, tas
                     break
                 at, n = _unique_rows(codes, at, size)
                 parts = [keys[codes[at + i] - 1] for i in range(size)]
-                kept = bits[size - 1][slots.at(parts)]
+                kept = _set(bits[size - 1], slots.at(parts))
                 at, n, parts = at[kept], n[kept], [p[kept] for p in parts]
-                held.setdefault(size, []).append((*parts, n, np.full(len(n), None, object)))
+                held.setdefault(size, []).append(((*parts, n), None))
                 total += len(n)
                 if size < longest:
                     there = np.zeros(len(there), bool)
                     every = np.flatnonzero(known[codes[: len(there)]])
                     every = every[np.all([known[codes[every + i]] for i in range(size)], axis=0)]
-                    there[every] = bits[size - 1][slots.at([keys[codes[every + i] - 1] for i in range(size)])]
+                    there[every] = _set(bits[size - 1], slots.at([keys[codes[every + i] - 1] for i in range(size)]))
             if total > flush:
                 # what a task counts more than once stays here; it goes on only where it would not fit
-                if 2 * merge() > flush:
+                if merge() > flush:
                     yield from drain()
                 total = 0
         merge()
         yield from drain()
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
         langs = list(words_of)
         yield rows(0, [], np.array(list(words_of.values()), np.int64), [x.encode().hex() for x in langs])
 
@@ -390,7 +400,7 @@ def phrase_counts(
     found = spark.sparkContext.broadcast([np.packbits(a != _NEVER).tobytes() for a in acts])
     # tasks of some 128 MB of text: the larger, the fewer rows have the same phrase
     tasks = max(2 * spark.sparkContext.defaultParallelism, total >> 27)
-    counted = _exact(blocks, found, where, longest, 2 * flush, tasks)
+    counted = _exact(blocks, found, where, longest, flush, tasks)
     keys = [f"w{i + 1}" for i in range(longest)]
     # texts are grouping keys, never aggregates, so the counts stay in hash maps
     added = counted.groupBy("size", "lang", "word", *keys).agg(F.sum("n").alias("n"))
