@@ -333,10 +333,12 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 3000, max_feat
     known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     trusted = known.where("quality = 1").where(~held_out()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positive)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    positives = _written(texts.join(F.broadcast(trusted), "doc_id"), "trusted")  # at most max_positive ids
+    # features first, in one pass without a shuffle; only they are compared with the labels
+    every = _written(texts.where("doc_id is not null"), "features")
+    positives = every.join(F.broadcast(trusted), "doc_id")  # at most max_positive ids
     got = positives.select("doc_id", "places", "x").distinct().orderBy("doc_id", "places", "x").limit(max_positive).collect()
-    unknown = _written(texts.where("doc_id is not null").join(known.select("doc_id").distinct(), "doc_id", "left_anti"), "unlabelled")
-    columns = _usual(unknown.unionByName(positives), max_features)
+    unknown = cut_lineage(every.join(known.select("doc_id").distinct(), "doc_id", "left_anti"), "unlabelled")
+    columns = _usual(unknown.select(*every.columns).unionByName(positives.select(*every.columns)), max_features)
     if not got or not len(columns):
         return None
     halves = _moments(unknown, columns)
