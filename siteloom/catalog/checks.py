@@ -14,7 +14,7 @@ from ..session import stage_folder
 from ..sources import captures, lists, manifests, sinks
 from ..sources import pages as captured
 from . import query
-from .audits import _gate_nodes
+from .audits import _AUDIT, _fingerprints, _gate_nodes
 from .loads import _manifest, part_instances
 from .listings import _NODES
 from .markup import _INST, _MEDIA, part_dom
@@ -458,3 +458,28 @@ def fingerprint_maps(spark, sf):
     part.groupBy(F.floor(F.col("p_partkey") / 100)).agg(F.map_from_entries(F.collect_list(entry)).alias("pages")).select("pages").write.json(folder)
     doc = spark.read.schema("pages map<string, struct<t: int, i: int>>").json(folder)
     return manifests.fingerprints(doc)
+
+
+@query(
+    "q98_joined_fragments",
+    "SELECT doc_id, md5(array_to_string(string_split(text, chr(10)), '')) AS body FROM documents",
+)
+def joined_fragments(spark, sf):
+    """Bodies given as fragments, joined without anything between."""
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.join_fragments(F.split("text", "\n"))).alias("body"))
+
+
+@query(
+    "q27_audit_notes",
+    f"""WITH {_AUDIT}, x AS (SELECT *, printf('%.2f', CASE WHEN ref_text = 0 THEN 99 ELSE local_text / ref_text END) AS r FROM a)
+        SELECT page, CASE class WHEN 'N/A' THEN 'no reference fingerprint captured' WHEN 'N/A-REF' THEN 'reference page errors' WHEN 'N/A-NEW' THEN 'new section, no reference'
+          WHEN 'FABRICATED' THEN 'reference is nearly empty (' || ref_text || ' chars); local has ' || local_text || ' chars'
+          WHEN 'STUB' THEN 'thin stub: ' || local_text || ' vs ' || ref_text || ' chars (x' || r || ')'
+          WHEN 'THIN' THEN 'thinner than reference: ' || local_text || ' vs ' || ref_text || ' chars (x' || r || ')'
+          WHEN 'MISSING-IMG' THEN 'reference has ' || ref_imgs || ' images, local has ' || local_imgs
+          WHEN 'OK' THEN 'comparable (' || local_text || ' vs ' || ref_text || ' chars, ' || local_imgs || ' vs ' || ref_imgs || ' images)'
+          ELSE local_text || ' vs ' || ref_text || ' chars (x' || r || '), ' || local_imgs || ' vs ' || ref_imgs || ' images' END AS note FROM x""",
+)
+def audit_notes(spark, sf):
+    """What the punch list says of each page, word for word."""
+    return audit.audit_pages(*_fingerprints(spark, sf), "new/").select("page", "note")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +49,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the one the cluster names, else below the warehouse."""
+    """Shared folder for intermediate tables: the one the cluster names, else below a warehouse that executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stages"
+        alone = re.match(r"local(\[|$)", spark.sparkContext.master)
+        if not alone and not re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*://", root):
+            # every executor would write to its own disk, and later reads would miss those files
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if spark.sparkContext.applicationId not in _cleaned:
             _cleaned.add(spark.sparkContext.applicationId)
             atexit.register(_quiet_drop, spark)

@@ -313,3 +313,23 @@ def test_quality_awkward(spark, awkward, nothing):
     assert got.count() == awkward.count() and all(0 <= r.score <= 1 for r in got.collect())
     assert all(r.score == 0.5 for r in quality(awkward, labels.limit(0)).collect())
     assert quality(nothing, labels).collect() == []
+
+
+def test_nearest_recall_on_the_table(spark):
+    """At least 0.95 of the true five nearest of the given vectors, every query and every row."""
+    data = DATA.parent / "sf0.1"
+    if not data.exists():
+        pytest.skip("test tables not present")
+    df = spark.read.parquet(str(data / "embeddings.parquet"))
+    rows = {r.vec_id: np.array(r.embedding, np.float64) for r in df.collect()}
+    ids = np.array(sorted(rows))
+    x = np.stack([rows[i] / np.linalg.norm(rows[i]) for i in ids])
+    found = {}
+    for r in nearest(df, F.col("vec_id") % 50 == 0, 5).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in found:
+        score = x @ x[np.searchsorted(ids, q)]
+        score[np.searchsorted(ids, q)] = -2
+        hits += len(found[q] & set(ids[np.lexsort((ids, -score))[:5]].tolist()))
+    assert len(found) == 40 and hits / (5 * len(found)) >= 0.95
