@@ -177,3 +177,17 @@ def test_unclosed_tags_cost_linear_time():
         began = time.perf_counter()
         dom.outline(broken * 100000, "component", "component-content", frozenset())
         assert time.perf_counter() - began < 5
+
+
+def test_elements_leave_in_portions():
+    """A large Arrow batch of pages is read in portions; together they are what each page gives."""
+    import pyarrow as pa
+
+    page = "<body>" + "<p class='a'>x <b>y</b></p>" * 100 + "</body>"
+    docs = [page, None, "", "<h1>t</h1>" + page * 120, *[page] * 300]
+    markers = frozenset(["card"])
+    got = list(dom._elements([pa.array(docs)], "component", "component-content", markers))
+    assert len(got) > 3 and max(len(part) for part in got) < 120
+    whole = dom._to_arrow([dom.outline(doc or "", "component", "component-content", markers) for doc in docs])
+    assert pa.concat_arrays(got).equals(whole)
+    assert [len(part) for part in dom._elements([pa.array([], pa.string())], "component", "component-content", markers)] == [0]
