@@ -101,8 +101,9 @@ def contained(needles: list[str], hay: str) -> int:
 
 def _count_contained(batches):
     for batch in batches:
-        needles, hays = (batch.column(c).to_pylist() for c in ("_headings", "text"))
-        hits = [0 if hay is None else contained([x for x in own if x is not None], hay) for own, hay in zip(needles, hays)]
+        # iterated, not listed: only one page at a time is held as Python objects, however many an Arrow batch has
+        pairs = ((own.as_py(), hay.as_py()) for own, hay in zip(batch.column("_headings"), batch.column("text")))
+        hits = [0 if hay is None else contained([x for x in own if x is not None], hay) for own, hay in pairs]
         yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("headings"), pa.array(hits, pa.int64())], names=["_key", "headings", "matched"])
 
 

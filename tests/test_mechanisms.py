@@ -146,3 +146,25 @@ def test_fallback_chains_over_references(spark):
     targets = spark.createDataFrame([("x", "target", "img"), ("z", "t", "i")], "uuid string, name string, image string")
     got = tree.filled_or_referenced(cards, "ref", targets, "uuid", {"shown": ["title", "ref.name", F.lit("-")], "pic": ["ref.image"]})
     assert rows(got.select("id", "shown", "pic"), "id") == [(1, "own", "img"), (2, "target", "img"), (3, "-", None), (4, "-", None)]
+
+
+def test_headings_are_counted_page_by_page():
+    """Of an Arrow batch one page at a time is held as Python objects."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 3000
+    heads = [[f"heading {i} {j}" for j in range(40)] for i in range(n)] + [["a", None], ["a", "b", "c", "d"]]
+    texts = [" ".join(own[:20]) for own in heads[:n]] + ["a", None]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(n + 2)), pa.array([len(h) for h in heads]), pa.array(heads), pa.array(texts)], names=["_key", "headings", "_headings", "text"]
+    )
+    want = [sum(h in t for h in own) for own, t in zip(heads[:n], texts)] + [1, 0]
+    del heads, texts
+    tracemalloc.start()
+    (out,) = list(audit._count_contained([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.column("matched").to_pylist() == want
+    assert peak < 3_000_000
