@@ -30,9 +30,13 @@ PART_CARDS = "p_size % 4"
 PART_IMAGES = "p_size % 4 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END"
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` in partitions that stay small however well its file compresses."""
+    return spread(table(spark, sf_dir, "part"), "p_partkey", rows=20_000)
+
+
 def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, url, html, slug, p_*): structured pages rendered from ``part``, one per row."""
-    part = table(spark, sf_dir, "part")
     p = _s("p_partkey")
     cards = F.expr(f"CAST({PART_CARDS} AS INT)")
     images = F.expr(f"CAST({PART_IMAGES} AS INT)")
@@ -84,7 +88,7 @@ def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     error = F.when(F.col("p_partkey") % 50 == 0, text("<!-- javax.jcr.PathNotFoundException: /x/", p, " -->")).otherwise("")
     tail = text('<div class="component spacer"></div>', error, "</main><footer><p>Imprint</p></footer></body></html>")
-    return spread(part, "p_partkey").select(
+    return parts(spark, sf_dir).select(
         F.col("p_partkey").alias("page_id"),
         text("https://shop.example.com/en/", F.lower("p_type"), "/", p).alias("url"),
         F.concat(head, title, grid, rich, video, tail).alias("html"),

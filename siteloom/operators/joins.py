@@ -27,6 +27,14 @@ def hot_keys(df: DataFrame, on: list[str], share: float = 0.01) -> DataFrame:
     )
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """A join side that grows with the input and is never broadcast.
+
+    Spark goes by the size of the files, and keys and paths take thirty times that as rows in every task's memory.
+    """
+    return df.hint("merge")
+
+
 def skew_join(
     left: DataFrame, right: DataFrame, on: list[str], how: str = "left", hot: DataFrame | None = None, salts: int = 32
 ) -> DataFrame:
@@ -56,7 +64,7 @@ def skew_join(
         .withColumn("_salt", F.explode(copies))
         .drop("_h", "_hot")
     )
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return salted.join(unsent(repeated), [*on, "_salt"], how).drop("_salt")
 
 
 def tiered_lookup(
@@ -73,14 +81,14 @@ def tiered_lookup(
     Each tier lists extra columns that must agree besides ``key``; the last tier is usually empty
     ("any page"). Candidates are reduced to one per tier key before joining, so no pairs of a busy
     key are ever formed. With ``skew`` the heavy keys of ``left`` are found by one scan of its key
-    columns per tier: pass a stored table, or switch it off.
+    columns per tier: pass a stored table, or switch it off. Neither side is broadcast: both may grow with the input.
     """
     out = left
     for i, extra in enumerate(tiers, start=1):
         on = [*key, *extra]
         best = pick(right.where(F.col(key[0]).isNotNull()), on, order, values)
         best = best.select(*on, F.struct(*values).alias(f"_tier{i}"))
-        out = skew_join(out, best, on, hot=hot_keys(left, on) if skew else None)
+        out = skew_join(out, unsent(best), on, hot=hot_keys(left, on) if skew else None)
     found = F.coalesce(*[F.col(f"_tier{i}") for i in range(1, len(tiers) + 1)])
     tier = F.coalesce(
         *[F.when(F.col(f"_tier{i}").isNotNull(), F.lit(i)) for i in range(1, len(tiers) + 1)]
@@ -126,7 +134,7 @@ def slug_lookup(
         lines.select("seq", "path", F.lower("path").alias("_key"))
     )
     rank = [-F.col("seq")] if prefer == "last" else ["seq"]
-    hit = pick(keyed, ["_key"], rank, ["path"]).withColumnRenamed("path", "_hit")
+    hit = unsent(pick(keyed, ["_key"], rank, ["path"]).withColumnRenamed("path", "_hit"))
     joined = skew_join(slugs.withColumn("_key", F.lower(slug)), hit, ["_key"])
     target = (
         F.when(F.col(slug) == "home", F.lit(home))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules, urls
-from ..operators.joins import skew_join, slug_lookup, tiered_lookup
+from ..operators.joins import skew_join, slug_lookup, tiered_lookup, unsent
 from ..operators.ranking import pick
 from ..session import cut_lineage
 
@@ -99,7 +99,7 @@ def load_plan(
     wired = found.where(F.col("target_path").isNotNull()).groupBy(page, "idx").agg(
         F.array_sort(F.collect_list(F.struct("_n", "target_path", "alt"))).alias("_pics")
     )
-    rows = typed.join(wired, [page, "idx"], "left")
+    rows = typed.join(unsent(wired), [page, "idx"], "left")
 
     def zipped(names: Column, values: Column) -> Column:
         n = F.least(F.size(names), F.size(values))
@@ -150,7 +150,7 @@ def load_plan(
     # tested on the written table: pushed further down, the test would rebuild every property map
     named = cut_lineage(named, "named").where((F.size("props") > 0) | F.col("is_container"))
     created = named.select(page, F.col("idx").alias("parent"), F.lit(True).alias("_nested"))
-    chained = named.join(created, [page, "parent"], "left").withColumn("_up", F.when(F.col("_nested"), F.col("parent")))
+    chained = named.join(unsent(created), [page, "parent"], "left").withColumn("_up", F.when(F.col("_nested"), F.col("parent")))
     return nested_paths(chained, page).select(
         page, "idx", "node_type", "parent_path", F.concat_ws("/", "parent_path", "name").alias("node_path"), "name", "props"
     )
@@ -171,14 +171,14 @@ def nested_paths(rows: DataFrame, page: str, rounds: int = 40) -> DataFrame:
         for n in range(rounds):
             open_ = reached.where(F.col("at").isNotNull())
             above = reached.select(page, F.col("idx").alias("at"), F.col("at").alias("_next"), F.col("path").alias("_above"))
-            farther = open_.join(above, [page, "at"], "left").select(page, "idx", F.col("_next").alias("at"), F.concat_ws("/", "_above", "path").alias("path"))
+            farther = open_.join(unsent(above), [page, "at"], "left").select(page, "idx", F.col("_next").alias("at"), F.concat_ws("/", "_above", "path").alias("path"))
             reached = cut_lineage(reached.where(F.col("at").isNull()).unionByName(farther), f"reached{n}")
             if reached.where(F.col("at").isNotNull()).isEmpty():
                 break
         else:
             raise ValueError(f"rows are nested in themselves, or deeper than 2**{rounds}")
         parents = reached.select(page, F.col("idx").alias("_up"), F.col("path").alias("_chain"))
-        rows = rows.join(parents, [page, "_up"], "left")
+        rows = rows.join(unsent(parents), [page, "_up"], "left")
     else:
         rows = rows.withColumn("_chain", F.lit(None).cast("string"))
     return rows.withColumn("parent_path", F.concat_ws("/", "main_area", "_chain")).drop("_chain")

@@ -54,9 +54,14 @@ def sample_pages(pages: DataFrame, by: list[str], key: str = "page_id", n: int =
     return bottom_k(pages, by, key, n)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for a table too small to fill them; a table with enough splits is not shuffled."""
+def spread(df: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """Use all cores for a table too small to fill them; a table with enough splits is not shuffled.
+
+    ``rows``: at most about so many in a partition, for small rows from which much is made.
+    """
     want = df.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        want = max(want, -(-df.count() // rows))
     return df.repartition(want, key) if df.rdd.getNumPartitions() < want else df
 
 

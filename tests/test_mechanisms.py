@@ -9,7 +9,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from siteloom.functions import rules
-from siteloom.operators import audit, fingerprint, ranking, tree
+from siteloom.operators import audit, fingerprint, joins, ranking, tree
 from siteloom.plans import load
 from siteloom.sources import captures, lists, sinks
 
@@ -168,3 +168,21 @@ def test_headings_are_counted_page_by_page():
     tracemalloc.stop()
     assert out.column("matched").to_pylist() == want
     assert peak < 3_000_000
+
+
+def test_growing_lookups_are_not_broadcast(spark):
+    """Small files may hold very many keys: lookups whose both sides grow are merge joins whatever the files' size."""
+    from siteloom.sources.pages import spread
+
+    left = spark.createDataFrame([(1, "p", "f"), (2, "q", "g")], "id int, page string, file string")
+    media = spark.createDataFrame([("p", 0, "f", "/a"), ("z", 0, "g", "/b")], "page string, seq int, file string, target_path string")
+    site = spark.createDataFrame([(1, "shop/p")], "seq int, path string")
+    for found in (
+        joins.tiered_lookup(left, media, ["file"], [["page"], []], ["page", "seq"], ["target_path"], skew=False),
+        joins.slug_lookup(left, "page", site),
+    ):
+        assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    salted = joins.tiered_lookup(left, media, ["file"], [["page"], []], ["page", "seq"], ["target_path"])
+    assert salted._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") == 2
+    assert rows(salted.select("id", "target_path", "match_tier"), "id") == [(1, "/a", 1), (2, "/b", 2)]
+    assert spread(spark.range(100), "id", rows=10).rdd.getNumPartitions() == 10
